@@ -316,3 +316,358 @@ def _q_highest(spark, sf):
     hc, lv = hc_lv(spark, sf)
     periods = cal(lv)
     return T.highest_turnover_project(T.project_turnover(hc, lv, periods), periods)
+
+
+# ------------------------------------------------------------------ F
+
+from ..operators import dist as DI  # noqa: E402
+from ..functions import constants as K  # noqa: E402
+from .sqlparts import BRACKET, BRACKET_ORD, lit  # noqa: E402
+
+
+@register("avg_headcount", q(f"""
+SELECT p.period_key, {R2('coalesce(a.a, 0.0)')} AS avg_headcount
+FROM periods p LEFT JOIN (SELECT period_key, sum(headcount) / count(headcount) AS a
+  FROM hc JOIN pm USING (mi) GROUP BY period_key) a USING (period_key)""", "periods", "hc", "pm"))
+def _q_avg_headcount(spark, sf):
+    hc, lv = hc_lv(spark, sf)
+    return DI.avg_headcount(hc, cal(lv))
+
+
+@register("project_avg_headcount", q(f"""
+SELECT period_key, project_name, {R2('sum(headcount) / count(headcount)')} AS avg_headcount
+FROM hc JOIN pm USING (mi) GROUP BY period_key, project_name""", "hc", "pm"))
+def _q_project_avg_headcount(spark, sf):
+    hc, lv = hc_lv(spark, sf)
+    return DI.project_avg_headcount(hc, cal(lv))
+
+
+@register("leaver_counts_project_month", q("""
+SELECT project_name, record_month, CAST(count(*) AS BIGINT) AS leaver_count
+FROM hr_leavers GROUP BY project_name, record_month""", "hr_leavers"))
+def _q_leaver_counts(spark, sf):
+    return DI.leaver_counts_project_month(V.hr_leavers(spark, sf))
+
+
+@register("distribution", q(f"SELECT * FROM {S.dim_counts(DI.DIMENSIONS)} d", "lv", "pm"))
+def _q_distribution(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return DI.distribution(lv, cal(lv))
+
+
+@register("summary_metrics", q(f"""
+SELECT period_key, total_leavers,
+       {R2('coalesce(CASE WHEN service_n > 0 THEN service_sum / service_n END, 0.0)')}
+         AS average_service_length_months FROM ptot""", "ptot"))
+def _q_summary_metrics(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return DI.summary_metrics(lv, cal(lv))
+
+
+@register("service_bracket", q(f"""
+SELECT employee_id, length_of_service_months, {BRACKET('length_of_service_months')} AS service_bracket
+FROM hr_leavers""", "hr_leavers"))
+def _q_service_bracket(spark, sf):
+    return DI.service_brackets(V.hr_leavers(spark, sf))
+
+
+@register("bracket_counts_present", q(f"""
+SELECT period_key, {BRACKET_ORD('length_of_service_months')} AS ordinal,
+       {BRACKET('length_of_service_months')} AS service_bracket, CAST(count(*) AS BIGINT) AS departures
+FROM lv JOIN pm USING (mi) GROUP BY 1, 2, 3""", "lv", "pm"))
+def _q_bracket_present(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return DI.bracket_counts_present(lv, cal(lv))
+
+
+_BRACKET_VALUES = ", ".join(f"({o}, {lit(lab)}, {lit(imp)})" for o, lab, imp in K.BRACKETS)
+_BC_LOCAL = [("bc", f"""
+SELECT s.period_key, s.ordinal, s.service_bracket, CAST(coalesce(c.n, 0) AS BIGINT) AS departures,
+       CASE WHEN t.total_leavers > 0 THEN {R1('coalesce(c.n, 0) / t.total_leavers * 100')}
+            ELSE 0.0 END AS share_pct, s.implication
+FROM (SELECT p.period_key, b.* FROM periods p,
+      (VALUES {_BRACKET_VALUES}) b(ordinal, service_bracket, implication)) s
+LEFT JOIN (SELECT period_key, {BRACKET_ORD('length_of_service_months')} AS ordinal, count(*) AS n
+           FROM lv JOIN pm USING (mi) GROUP BY 1, 2) c
+  ON c.period_key = s.period_key AND c.ordinal = s.ordinal
+LEFT JOIN ptot t ON t.period_key = s.period_key""")]
+
+
+@register("bracket_counts", q("SELECT * FROM bc", "ptot", local=_BC_LOCAL))
+def _q_bracket_counts(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return DI.bracket_counts(lv, cal(lv))
+
+
+@register("early_share", q(f"""
+SELECT t.period_key, CAST(coalesce(e.early_count, 0) AS BIGINT) AS early_count,
+       CASE WHEN t.total_leavers > 0 THEN
+         {R1('coalesce(e.early_count, 0) / t.total_leavers * 100')} ELSE 0.0 END AS early_pct
+FROM ptot t LEFT JOIN (SELECT period_key, sum(departures) AS early_count FROM bc
+                       WHERE ordinal <= 2 GROUP BY period_key) e USING (period_key)""",
+                            "ptot", local=_BC_LOCAL))
+def _q_early_share(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return DI.early_share(lv, cal(lv))
+
+
+@register("top_affected", q(f"""
+SELECT r.period_key, r.dimension, r.rank, r.value AS name, r.departures AS count,
+       {R2('r.departures / t.total_leavers * 100')} AS percentage
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY period_key, dimension
+                ORDER BY departures DESC, value) AS INTEGER) AS rank FROM f) r
+JOIN ptot t USING (period_key) WHERE r.rank <= 3""", "ptot", local=[
+    ("c", "SELECT * FROM " + S.dim_counts(["department", "position", "ai_category",
+                                           "original_reason"]) + " d"),
+    ("h", "SELECT DISTINCT period_key, TRUE AS has_cat FROM c WHERE dimension = 'ai_category'"),
+    ("f", """SELECT c.period_key,
+                    CASE WHEN dimension IN ('ai_category', 'original_reason') THEN 'reason'
+                         ELSE dimension END AS dimension, value, departures
+             FROM c LEFT JOIN h USING (period_key)
+             WHERE dimension IN ('department', 'position')
+                OR (dimension = 'ai_category' AND coalesce(has_cat, FALSE))
+                OR (dimension = 'original_reason' AND NOT coalesce(has_cat, FALSE))""")]))
+def _q_top_affected(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return DI.top_affected(lv, cal(lv))
+
+
+@register("department_risk", q(f"""
+SELECT period_key, department, departures, share_pct,
+       CASE WHEN share_pct > 25.0 THEN 'High' WHEN share_pct > 10.0 THEN 'Medium' ELSE 'Low' END
+         AS risk_level,
+       row_number() OVER (PARTITION BY period_key ORDER BY departures DESC, department) = 1 AS is_top
+FROM {S.single_share('department', 'department')} d""", "ptot"))
+def _q_department_risk(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return DI.department_risk(lv, cal(lv))
+
+
+@register("position_top10", q(f"""
+SELECT period_key, rank, value AS position, departures FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY period_key ORDER BY departures DESC, value)
+         AS INTEGER) AS rank
+  FROM {S.dim_counts(['position'])} d) r WHERE rank <= 10""", "lv", "pm"))
+def _q_position_top10(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return DI.position_top10(lv, cal(lv))
+
+
+@register("reason_share", q(f"""
+SELECT * FROM {S.single_share("coalesce(ai_category, 'Other / Unclassified')", 'category')} r""",
+                            "ptot"))
+def _q_reason_share(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return DI.reason_share(lv, cal(lv))
+
+
+_TERM_EQ = f"coalesce(lower({S.STRIP('status')}) = 'terminated', FALSE)"
+
+
+@register("voluntary_split", q(f"""
+SELECT * FROM {S.single_share(f"CASE WHEN {_TERM_EQ} THEN 'Involuntary (Terminated)' ELSE 'Voluntary (Resigned)' END", 'separation_type')} r""",
+                               "ptot"))
+def _q_voluntary_split(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return DI.voluntary_split(lv, cal(lv))
+
+
+@register("total_person_months", q("""
+SELECT p.period_key, CAST(coalesce(s.s, 0) AS BIGINT) AS total_headcount
+FROM periods p LEFT JOIN (SELECT period_key, sum(headcount) AS s FROM hc JOIN pm USING (mi)
+                          GROUP BY period_key) s USING (period_key)""", "periods", "hc", "pm"))
+def _q_total_person_months(spark, sf):
+    hc, lv = hc_lv(spark, sf)
+    return DI.total_person_months(hc, cal(lv))
+
+
+# ------------------------------------------------------------ D1, D2, E
+
+from ..operators import filters as FI  # noqa: E402
+
+_DETAIL = ", ".join(FI.LEAVER_DETAIL_COLUMNS)
+_PROJ_DIM = f"""(SELECT DISTINCT {S.STRIP('project_name')} AS name FROM (
+  SELECT project_name FROM hr_headcount UNION ALL SELECT project_name FROM hr_leavers) u
+  WHERE {S.STRIP('project_name')} <> '')"""
+
+
+@register("project_dimension", q(f"SELECT name FROM {_PROJ_DIM} d", "hr_headcount", "hr_leavers"))
+def _q_project_dimension(spark, sf):
+    hc, lv = hc_lv(spark, sf)
+    return FI.project_dimension(hc, lv)
+
+
+@register("headcount_with_project", q(f"""
+SELECT h.project_name, h.record_month, h.headcount FROM hr_headcount h
+JOIN {_PROJ_DIM} d ON d.name = h.project_name""", "hr_headcount", "hr_leavers"))
+def _q_hc_with_project(spark, sf):
+    hc, lv = hc_lv(spark, sf)
+    return FI.headcount_with_project(hc, FI.project_dimension(hc, lv))
+
+
+@register("leavers_with_project", q(f"""
+SELECT l.* FROM hr_leavers l JOIN {_PROJ_DIM} d ON d.name = l.project_name""",
+                                    "hr_headcount", "hr_leavers"))
+def _q_lv_with_project(spark, sf):
+    hc, lv = hc_lv(spark, sf)
+    return FI.leavers_with_project(lv, FI.project_dimension(hc, lv))
+
+
+@register("filter_project_month", q("""
+SELECT * FROM hr_leavers WHERE project_name = 'Machinery'
+  AND record_month >= '1996-01' AND record_month <= '1997-06'""", "hr_leavers"))
+def _q_filter_project_month(spark, sf):
+    return FI.filter_project_month(V.hr_leavers(spark, sf), " Machinery ", "1996-01", "1997-06")
+
+
+@register("filter_dept_position", q(f"""
+SELECT * FROM hr_leavers WHERE lower({S.STRIP('department')}) = 'economy'
+  AND lower({S.STRIP('position')}) = 'brand#2'""", "hr_leavers"))
+def _q_filter_dept_position(spark, sf):
+    return FI.filter_dept_position(V.hr_leavers(spark, sf), " economy ", "BRAND#2")
+
+
+@register("filter_multiselect", q("""
+SELECT * FROM hr_leavers WHERE project_name IN ('Machinery', 'Furniture')
+  AND department IN ('Small', 'Large')""", "hr_leavers"))
+def _q_filter_multiselect(spark, sf):
+    return FI.filter_multiselect(V.hr_leavers(spark, sf), ["Machinery", "Furniture"],
+                                 ["Small", "Large"], ["All"])
+
+
+@register("filter_multiselect_headcount", q("""
+SELECT * FROM hr_headcount WHERE project_name IN ('Machinery', 'Furniture')""", "hr_headcount"))
+def _q_filter_multiselect_hc(spark, sf):
+    return FI.filter_multiselect(V.hr_headcount(spark, sf), ["Machinery", "Furniture"],
+                                 ["Small", "Large"], ["Brand#2"])
+
+
+_SEARCH = "customer#0000001[0-4]|^77-"
+
+
+@register("employee_search", q(f"""
+SELECT {_DETAIL} FROM hr_leavers
+WHERE coalesce(regexp_matches(employee_name, '(?i){_SEARCH}'), FALSE)
+   OR coalesce(regexp_matches(employee_id, '(?i){_SEARCH}'), FALSE)""", "hr_leavers"))
+def _q_employee_search(spark, sf):
+    return FI.employee_search(V.hr_leavers(spark, sf), _SEARCH)
+
+
+@register("unclassified_filter", q("""
+SELECT * FROM hr_leavers WHERE ai_category IS NULL OR ai_category = '' OR ai_category = 'Other'""",
+                                   "hr_leavers"))
+def _q_unclassified(spark, sf):
+    return FI.unclassified(V.hr_leavers(spark, sf))
+
+
+@register("early_leavers", q("""
+SELECT employee_id, employee_name, project_name, department, position, length_of_service_months,
+       original_reason FROM hr_leavers WHERE length_of_service_months < 6.0""", "hr_leavers"))
+def _q_early_leavers(spark, sf):
+    return FI.early_leavers(V.hr_leavers(spark, sf))
+
+
+_TCAT = "coalesce(ai_category, 'Other / Unclassified')"
+_TREASON = (f"CASE WHEN original_reason IS NOT NULL AND original_reason <> '' THEN original_reason "
+            f"WHEN {_TCAT} <> '' THEN {_TCAT} ELSE 'N/A' END")
+
+
+@register("terminations_detail", q(f"""
+SELECT employee_id, employee_name, project_name, department, position,
+       strftime(date_of_joining, '%d %b %Y') AS date_of_joining,
+       strftime(date_of_leaving, '%d %b %Y') AS date_of_leaving,
+       CAST({R1('length_of_service_months')} AS VARCHAR) || ' mo' AS tenure,
+       CASE WHEN length({_TREASON}) > 50 THEN substr({_TREASON}, 1, 47) || '...'
+            ELSE {_TREASON} END AS reason
+FROM hr_leavers
+WHERE coalesce(regexp_matches(lower(status), 'terminat|dismiss|discharg'), FALSE)
+   OR coalesce(regexp_matches(lower({_TCAT}), 'terminat|dismiss|discharg'), FALSE)""", "hr_leavers"))
+def _q_terminations(spark, sf):
+    return FI.terminations_detail(V.hr_leavers(spark, sf))
+
+
+@register("separation_split", q(f"""
+SELECT p.period_key, CAST(coalesce(a.n, 0) AS BIGINT) AS total_separations,
+       CAST(coalesce(a.t, 0) AS BIGINT) AS terminations,
+       CAST(coalesce(a.n, 0) - coalesce(a.t, 0) AS BIGINT) AS resignations
+FROM periods p LEFT JOIN (SELECT period_key, count(*) AS n,
+       sum(CASE WHEN {_TERM_EQ} THEN 1 ELSE 0 END) AS t FROM lv JOIN pm USING (mi)
+       GROUP BY period_key) a USING (period_key)""", "periods", "lv", "pm"))
+def _q_separation_split(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return FI.separation_split(lv, cal(lv))
+
+
+@register("separation_detail", q(f"""
+SELECT employee_id AS "Employee ID", employee_name AS "Employee Name", project_name AS "Project",
+       department AS "Department", position AS "Position", date_of_joining AS "Date of Joining",
+       date_of_leaving AS "Date of Leaving", {R1('length_of_service_months')} AS "Tenure (Months)",
+       status AS "Status", ai_category AS "Separation Category", original_reason AS "Original Reason",
+       {_TERM_EQ} AS is_termination, record_month
+FROM hr_leavers""", "hr_leavers"))
+def _q_separation_detail(spark, sf):
+    return FI.separation_detail(V.hr_leavers(spark, sf))
+
+
+@register("facet_values", q("""
+SELECT DISTINCT * FROM (
+  SELECT 'month' AS facet, record_month AS value FROM hr_leavers
+  UNION ALL SELECT 'department', department FROM hr_leavers
+  UNION ALL SELECT 'position', position FROM hr_leavers
+  UNION ALL SELECT 'category', ai_category FROM hr_leavers WHERE ai_category IS NOT NULL
+  UNION ALL SELECT 'year', split_part(record_month, '-', 1) FROM hr_leavers) f""", "hr_leavers"))
+def _q_facet_values(spark, sf):
+    return FI.facet_values(V.hr_leavers(spark, sf))
+
+
+@register("reason_detail", q("""
+SELECT employee_id, employee_name AS "Employee", original_reason AS "Original Reason",
+       coalesce(ai_category, 'Other') AS "Assigned Category"
+FROM hr_leavers WHERE record_month >= '1996-01' AND record_month <= '1996-12'
+  AND project_name IN ('Machinery')""", "hr_leavers"))
+def _q_reason_detail(spark, sf):
+    return FI.reason_detail(V.hr_leavers(spark, sf), "1996-01", "1996-12", projects=["Machinery"])
+
+
+# ------------------------------------------------------------------ H
+
+from ..operators import classify as H  # noqa: E402
+from .sqlparts import LABEL, RULES  # noqa: E402
+
+
+@register("classify_rules", q(f"""
+SELECT employee_id, original_reason, {RULES('original_reason')} AS rule_category FROM hr_leavers""",
+                              "hr_leavers"))
+def _q_classify_rules(spark, sf):
+    return H.classify_rules(V.hr_leavers(spark, sf)).select(
+        "employee_id", "original_reason", "rule_category")
+
+
+@register("canonicalize_model_label", q(f"""
+SELECT employee_id, raw_label, {LABEL('raw_label')} AS model_category FROM raw_labels""",
+                                        "raw_labels"))
+def _q_canonical_label(spark, sf):
+    return H.canonicalize_labels(V.raw_labels(spark, sf))
+
+
+@register("classify_with_fallback", q(f"""
+SELECT l.employee_id, l.original_reason,
+       coalesce({LABEL('r.raw_label')}, {RULES('l.original_reason')}) AS category
+FROM hr_leavers l LEFT JOIN raw_labels r ON r.employee_id = l.employee_id""", "raw_labels"))
+def _q_classify_fallback(spark, sf):
+    lv = V.hr_leavers(spark, sf)
+    return H.classify_with_fallback(lv.select("employee_id", "original_reason"),
+                                    V.raw_labels(spark, sf))
+
+
+_TODO = "(l.ai_category IS NULL OR l.ai_category = '' OR l.ai_category = 'Other')"
+
+
+@register("classify_unprocessed", q(f"""
+SELECT l.employee_id, l.original_reason, {_TODO} AS processed,
+       CASE WHEN {_TODO} THEN {S.STRIP(f"coalesce({LABEL('r.raw_label')}, {RULES('l.original_reason')})")}
+            ELSE l.ai_category END AS ai_category
+FROM hr_leavers l LEFT JOIN raw_labels r ON r.employee_id = l.employee_id""", "raw_labels"))
+def _q_classify_unprocessed(spark, sf):
+    lv = V.hr_leavers(spark, sf).select("employee_id", "original_reason", "ai_category")
+    return H.classify_unprocessed(lv, V.raw_labels(spark, sf))

@@ -205,3 +205,32 @@ def project_rates(ranges: str, keys: list[str], denominator: str = "mean") -> st
   FULL OUTER JOIN (SELECT {kk}, sum(leavers) AS leavers
         FROM {rm} rm JOIN lvc USING (mi) GROUP BY {kk}) num
   ON {" AND ".join(f'den.{x} = num.{x}' for x in keys + ['project_name'])})"""
+
+
+PARTS["ptot"] = (["periods", "lv", "pm"], """
+  SELECT p.period_key, CAST(coalesce(a.n, 0) AS BIGINT) AS total_leavers, a.ss AS service_sum,
+         a.sn AS service_n, CAST(coalesce(a.early, 0) AS BIGINT) AS early_n
+  FROM periods p LEFT JOIN (
+    SELECT period_key, count(*) AS n, sum(length_of_service_months) AS ss,
+           count(length_of_service_months) AS sn,
+           sum(CASE WHEN length_of_service_months < 6.0 THEN 1 ELSE 0 END) AS early
+    FROM lv JOIN pm USING (mi) GROUP BY period_key) a USING (period_key)""")
+
+
+def dim_counts(dims) -> str:
+    """Mirror of dist.dim_counts; needs parts lv, pm."""
+    u = " UNION ALL ".join(f"SELECT mi, '{d}' AS dimension, CAST({d} AS VARCHAR) AS value FROM lv"
+                           for d in dims)
+    return f"""(SELECT period_key, dimension, value, CAST(count(*) AS BIGINT) AS departures
+  FROM ({u}) s JOIN pm USING (mi) WHERE value IS NOT NULL
+  GROUP BY period_key, dimension, value)"""
+
+
+def single_share(expr: str, name: str) -> str:
+    """Mirror of dist._single_dim_share; needs lv, pm, ptot."""
+    return f"""(SELECT c.period_key, c.value AS {name}, c.departures,
+         {R1('c.departures / t.total_leavers * 100')} AS share_pct
+  FROM (SELECT period_key, value, CAST(count(*) AS BIGINT) AS departures
+        FROM (SELECT mi, {expr} AS value FROM lv) s JOIN pm USING (mi)
+        WHERE value IS NOT NULL GROUP BY period_key, value) c
+  JOIN ptot t USING (period_key))"""
