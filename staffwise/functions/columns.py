@@ -89,7 +89,7 @@ def clean_name(c) -> Column:
 
 def parse_date(c) -> Column:
     s = strip_ws(c)
-    return F.coalesce(*[F.try_to_date(s, F.lit(fmt)) for fmt, _ in K.DATE_FORMATS])
+    return F.coalesce(*[F.try_to_date(s, fmt) for fmt, _ in K.DATE_FORMATS])
 
 
 def service_months(doj, dol) -> Column:

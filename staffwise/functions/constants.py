@@ -139,3 +139,29 @@ DEPT_RISK_HIGH = 25.0
 DEPT_RISK_MEDIUM = 10.0
 MONTHLY_ALERT_RATE = 5.0
 RATE_BANDS = [(0.0, 10.0, "0-10"), (10.0, 20.0, "10-20"), (20.0, 30.0, "20-30")]
+
+# --- fixed values: issue messages ('{}' is filled with the cell value) ----
+MSG_FILENAME_NO_MONTH = ("Could not extract month (YYYY-MM) from filename '{}'. Please ensure file "
+                         "name contains year and month (e.g., headcount_2026_06.xlsx).")
+MSG_FILENAME_BAD_MONTH = "Invalid month extracted: {} from file {}"
+MSG_MISSING_COLUMNS = "Missing expected columns: {}"
+MSG_PROJECT_EMPTY = "Project name cannot be empty."
+MSG_HEADCOUNT_NULL = "Headcount cannot be null."
+MSG_HEADCOUNT_NOT_INT = "Headcount must be a non-negative integer. Found: {}"
+MSG_HEADCOUNT_NAN = "Headcount must be a number. Found: {}"
+MSG_ID_EMPTY = "Employee ID cannot be empty."
+MSG_ID_DUPLICATE = "Duplicate Employee ID within file: {}"
+MSG_ID_EXISTS = "Employee ID {} already exists in DB. Importing will update the record."
+MSG_REQUIRED = "{} cannot be empty."
+MSG_DATE_MISSING = "{} is missing."
+MSG_DATE_UNPARSED = "Could not parse {} as date. Recommended format: YYYY-MM-DD"
+MSG_DATE_ORDER = "Date of Leaving cannot be before Date of Joining."
+MSG_SERVICE_EMPTY = "Length of Service is empty. It will be auto-calculated."
+MSG_SERVICE_NEGATIVE = "Length of Service cannot be negative."
+MSG_SERVICE_MISMATCH = "Reported service length significantly differs from date interval."
+MSG_SERVICE_NAN = "Length of Service must be a number. Found: {}"
+MSG_REASON_EMPTY = "Resignation reason is empty."
+MSG_UNRECOGNIZED_HC_PROJECT = ("Unrecognized Project '{}'. Please correct the Excel file, or add this "
+                               "project to System Configurations.")
+MSG_UNRECOGNIZED = "Unrecognized {} '{}'. Please correct or add to System Standards."
+MSG_AUTOCORRECTED = "Auto-corrected to '{}'"

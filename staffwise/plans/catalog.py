@@ -671,3 +671,293 @@ FROM hr_leavers l LEFT JOIN raw_labels r ON r.employee_id = l.employee_id""", "r
 def _q_classify_unprocessed(spark, sf):
     lv = V.hr_leavers(spark, sf).select("employee_id", "original_reason", "ai_category")
     return H.classify_unprocessed(lv, V.raw_labels(spark, sf))
+
+
+# ------------------------------------------------------------- B and C
+
+from ..operators import normalize as N  # noqa: E402
+from ..operators import validate as VA  # noqa: E402
+from .sqlparts import BLANK, ISNUM, STRIP, norm_ctes  # noqa: E402
+
+
+def _issue(sev, column, value, msg):
+    return (f"'{sev}' AS severity, '{column}' AS \"column\", CAST({value} AS VARCHAR) AS value, "
+            f"{msg} AS message")
+
+
+def _ifile(src):
+    return f"SELECT file_name, CAST(row_num AS INTEGER) AS row_num, {{}} FROM {src}"
+
+
+_HC_RAW = f"(SELECT *, {S.MONTH_FROM_FILE('file_name')} AS record_month FROM raw_headcount) h"
+
+
+@register("hc_project_required", q(f"""
+SELECT file_name, CAST(row_num AS INTEGER) AS row_num,
+       {_issue('error', 'Project', '"Project"', lit(K.MSG_PROJECT_EMPTY))}
+FROM {_HC_RAW} WHERE record_month IS NOT NULL AND {BLANK('"Project"')}""", "raw_headcount"))
+def _q_hc_b1(spark, sf):
+    d = VA.month_from_filename(V.raw_headcount(spark, sf)).where(F.col("record_month").isNotNull())
+    return VA._explode_issues(d.withColumn("issues", VA._compact(VA.headcount_rule_b1(d))))
+
+
+_HT = STRIP('"Headcount"')
+
+
+@register("hc_headcount_check", q(f"""
+SELECT file_name, CAST(row_num AS INTEGER) AS row_num, 'error' AS severity, 'Headcount' AS "column",
+       CASE WHEN "Headcount" IS NULL THEN NULL ELSE "Headcount" END AS value,
+       CASE WHEN "Headcount" IS NULL THEN {lit(K.MSG_HEADCOUNT_NULL)}
+            WHEN NOT coalesce({ISNUM(_HT)}, FALSE) THEN 'Headcount must be a number. Found: ' || "Headcount"
+            ELSE 'Headcount must be a non-negative integer. Found: ' || "Headcount" END AS message
+FROM {_HC_RAW}
+WHERE record_month IS NOT NULL AND ("Headcount" IS NULL OR NOT coalesce({ISNUM(_HT)}, FALSE)
+   OR TRY_CAST({_HT} AS DOUBLE) <> floor(TRY_CAST({_HT} AS DOUBLE)) OR TRY_CAST({_HT} AS DOUBLE) < 0)""",
+                                  "raw_headcount"))
+def _q_hc_b2(spark, sf):
+    d = VA.month_from_filename(V.raw_headcount(spark, sf)).where(F.col("record_month").isNotNull())
+    return VA._explode_issues(d.withColumn("issues", VA._compact(VA.headcount_rule_b2(d))))
+
+
+def _checked(spark, sf, existing=True):
+    raw = V.raw_leavers(spark, sf)
+    return VA.leaver_checks(raw, V.hr_leavers(spark, sf) if existing else None)
+
+
+def _rule_query(rule):
+    def fn(spark, sf):
+        return VA.rule_issues(_checked(spark, sf, rule == "lv_exists_warning"), rule)
+    return fn
+
+
+_I = "file_name, CAST(row_num AS INTEGER) AS row_num"
+_LV_RULE_SQL = {
+    "lv_id_required": f"""SELECT {_I}, {_issue('error', 'Employee ID', '"Employee ID"', lit(K.MSG_ID_EMPTY))}
+        FROM lvchk WHERE _blank_id""",
+    "lv_dup_in_file": f"""SELECT {_I}, {_issue('error', 'Employee ID', '_eid',
+                                                "'Duplicate Employee ID within file: ' || _eid")}
+        FROM lvchk WHERE _occ > 1""",
+    "lv_exists_warning": f"""SELECT {_I}, {_issue('warning', 'Employee ID', '_eid',
+        "'Employee ID ' || _eid || ' already exists in DB. Importing will update the record.'")}
+        FROM lvchk WHERE NOT _blank_id AND _eid IN (SELECT {STRIP('employee_id')} FROM hr_leavers)""",
+    "lv_required_text": " UNION ALL ".join(
+        f"""SELECT {_I}, {_issue('error', c, f'"{c}"', lit(K.MSG_REQUIRED.format(c)))}
+            FROM lvchk WHERE {BLANK(f'"{c}"')}""" for c in VA.REQUIRED_TEXT),
+    "lv_parse_dates": " UNION ALL ".join(
+        f"""SELECT {_I}, 'error' AS severity, '{c}' AS "column", "{c}" AS value,
+                   CASE WHEN "{c}" IS NULL THEN {lit(K.MSG_DATE_MISSING.format(c))}
+                        ELSE {lit(K.MSG_DATE_UNPARSED.format(c))} END AS message
+            FROM lvchk WHERE {p} IS NULL""" for c, p in zip(VA.DATE_COLUMNS, ["_doj", "_dol"])),
+    "lv_date_order": f"""SELECT {_I}, {_issue('error', 'Date of Leaving',
+        "'DOJ: ' || strftime(_doj, '%Y-%m-%d') || ', DOL: ' || strftime(_dol, '%Y-%m-%d')",
+        lit(K.MSG_DATE_ORDER))} FROM lvchk WHERE _dol < _doj""",
+    "lv_service_fill": f"""SELECT {_I}, {_issue('warning', 'Length of Service', 'NULL',
+                                                  lit(K.MSG_SERVICE_EMPTY))}
+        FROM lvchk WHERE "Length of Service" IS NULL""",
+    "lv_service_check": f"""SELECT {_I}, 'error' AS severity, 'Length of Service' AS "column",
+        "Length of Service" AS value,
+        CASE WHEN NOT coalesce(_snum, FALSE) THEN 'Length of Service must be a number. Found: ' || "Length of Service"
+             ELSE {lit(K.MSG_SERVICE_NEGATIVE)} END AS message
+        FROM lvchk WHERE ("Length of Service" IS NOT NULL AND NOT coalesce(_snum, FALSE))
+                      OR (coalesce(_snum, FALSE) AND _sx < 0)""",
+    "lv_service_crosscheck": f"""SELECT {_I}, {_issue('warning', 'Length of Service',
+        "'Reported: ' || CAST(_sx AS VARCHAR) || ', Expected: ' || printf('%.2f', date_diff('day', _doj, _dol) / 30.4375)",
+        lit(K.MSG_SERVICE_MISMATCH))}
+        FROM lvchk WHERE coalesce(_snum, FALSE) AND _doj IS NOT NULL AND _dol IS NOT NULL
+          AND abs(_sx - date_diff('day', _doj, _dol) / 30.4375) > 1.5""",
+    "lv_reason_default": f"""SELECT {_I}, {_issue('warning', 'Reason', '"Reason"', lit(K.MSG_REASON_EMPTY))}
+        FROM lvchk WHERE {BLANK('"Reason"')}""",
+}
+for _name, _sql in _LV_RULE_SQL.items():
+    extra = ("hr_leavers",) if _name == "lv_exists_warning" else ()
+    register(_name, q(_sql, "lvchk", *extra))(_rule_query(_name))
+
+
+@register("lv_status_default", q("SELECT file_name, row_num, employee_id, status FROM lvclean", "lvclean"))
+def _q_lv_status(spark, sf):
+    return VA.clean_leaver_rows(_checked(spark, sf, False)).select(
+        "file_name", "row_num", "employee_id", "status")
+
+
+@register("lv_project_clean_row", q("SELECT * FROM lvclean", "lvclean"))
+def _q_lv_clean(spark, sf):
+    return VA.clean_leaver_rows(_checked(spark, sf, False))
+
+
+_LV_VALUES = """SELECT 'projects' AS kind, project_name AS value FROM lvclean
+  UNION ALL SELECT 'departments', department FROM lvclean
+  UNION ALL SELECT 'positions', position FROM lvclean"""
+_RC = [("rnames", "SELECT DISTINCT kind, canonical FROM registry"),
+       ("rc", """SELECT l.*, mp.canonical AS p_can, np.canonical IS NOT NULL AS p_ok,
+                  md.canonical AS d_can, nd.canonical IS NOT NULL AS d_ok,
+                  mq.canonical AS q_can, nq.canonical IS NOT NULL AS q_ok
+           FROM lvclean l
+           LEFT JOIN nmap mp ON mp.kind = 'projects' AND mp.value = l.project_name
+           LEFT JOIN rnames np ON np.kind = 'projects' AND np.canonical = mp.canonical
+           LEFT JOIN nmap md ON md.kind = 'departments' AND md.value = l.department
+           LEFT JOIN rnames nd ON nd.kind = 'departments' AND nd.canonical = md.canonical
+           LEFT JOIN nmap mq ON mq.kind = 'positions' AND mq.value = l.position
+           LEFT JOIN rnames nq ON nq.kind = 'positions' AND nq.canonical = mq.canonical""")]
+_RC_LOCAL = norm_ctes(_LV_VALUES, "SELECT * FROM registry") + _RC
+_RC_COLS = [("Project", "project_name", "p"), ("Department", "department", "d"),
+            ("Position", "position", "q")]
+_B15_SQL = " UNION ALL ".join(
+    f"""SELECT file_name, CAST(NULL AS INTEGER) AS row_num, {_issue('error', lab, col,
+        f"'Unrecognized {lab} ''' || {col} || '''. Please correct or add to System Standards.'")}
+        FROM rc WHERE NOT {a}_ok""" for lab, col, a in _RC_COLS)
+_B16_SQL = " UNION ALL ".join(
+    f"""SELECT file_name, CAST(NULL AS INTEGER) AS row_num, {_issue('warning', lab, col,
+        f"'Auto-corrected to ''' || {a}_can || ''''")}
+        FROM rc WHERE {a}_ok AND {col} <> {a}_can""" for lab, col, a in _RC_COLS)
+
+
+def _leaver_validation(spark, sf, existing=False):
+    return VA.validate_leavers(V.raw_leavers(spark, sf), V.registry(spark, sf),
+                               V.hr_leavers(spark, sf) if existing else None)
+
+
+def _reg_issues(spark, sf, severity):
+    res = _leaver_validation(spark, sf)
+    reg = VA.registry_check(res["clean"], res["mapping"], V.registry(spark, sf))
+    iss = VA._explode_issues(reg.select("file_name", F.lit(None).cast("int").alias("row_num"), "issues"))
+    return iss.where(F.col("severity") == severity)
+
+
+@register("registry_strictness", q(_B15_SQL, "lvclean", "registry", local=_RC_LOCAL))
+def _q_registry_strictness(spark, sf):
+    return _reg_issues(spark, sf, "error")
+
+
+@register("autocorrect_warnings", q(_B16_SQL, "lvclean", "registry", local=_RC_LOCAL))
+def _q_autocorrect(spark, sf):
+    return _reg_issues(spark, sf, "warning")
+
+
+_ALL_ROW_RULES = " UNION ALL ".join(
+    f"SELECT * FROM ({s}) x" for n, s in _LV_RULE_SQL.items() if n != "lv_exists_warning")
+_REPORT_LOCAL = _RC_LOCAL + [
+    ("iss", f"{_ALL_ROW_RULES} UNION ALL {_B15_SQL} UNION ALL {_B16_SQL}"),
+    ("files", f"""SELECT file_name, count(*) AS n, {S.MONTH_FROM_FILE('file_name')} AS record_month
+                  FROM raw_leavers GROUP BY file_name"""),
+]
+
+
+@register("quality_report", q("""
+SELECT f.file_name, 'leavers' AS file_type, f.record_month,
+       coalesce(i.e, 0) = 0 AS is_valid,
+       CAST(CASE WHEN f.record_month IS NULL THEN 0 ELSE f.n END AS BIGINT) AS total_rows,
+       CAST(coalesce(v.n, 0) AS BIGINT) AS valid_rows_count,
+       CAST(coalesce(i.e, 0) AS BIGINT) AS error_count, CAST(coalesce(i.w, 0) AS BIGINT) AS warning_count
+FROM files f
+LEFT JOIN (SELECT file_name, sum(CASE WHEN severity = 'error' THEN 1 ELSE 0 END) AS e,
+                  sum(CASE WHEN severity = 'warning' THEN 1 ELSE 0 END) AS w
+           FROM iss GROUP BY file_name) i ON i.file_name = f.file_name
+LEFT JOIN (SELECT file_name, count(*) AS n FROM rc WHERE p_ok AND d_ok AND q_ok GROUP BY file_name) v
+  ON v.file_name = f.file_name""", "lvchk", "lvclean", "registry", local=_REPORT_LOCAL))
+def _q_quality_report(spark, sf):
+    return _leaver_validation(spark, sf)["report"]
+
+
+@register("unrecognized_candidates", q(f"""
+SELECT DISTINCT "column", value FROM ({_B15_SQL}) u""", "lvclean", "registry", local=_RC_LOCAL))
+def _q_unrecognized(spark, sf):
+    return VA.unrecognized_candidates(_leaver_validation(spark, sf)["issues"])
+
+
+_HC_VALID_LOCAL = norm_ctes("SELECT 'projects' AS kind, project_name AS value FROM hcok",
+                            "SELECT * FROM registry WHERE kind = 'projects'", prefix="h") + [
+    ("hnames", "SELECT DISTINCT canonical FROM registry WHERE kind = 'projects'"),
+]
+_HC_OK = ("hcok", f"""
+  SELECT file_name, row_num, record_month, {_HT.replace('"Headcount"', '"Project"')} AS project_name,
+         CAST(TRY_CAST({_HT} AS DOUBLE) AS BIGINT) AS headcount
+  FROM {_HC_RAW}
+  WHERE record_month IS NOT NULL AND NOT {BLANK('"Project"')} AND "Headcount" IS NOT NULL
+    AND coalesce({ISNUM(_HT)}, FALSE) AND TRY_CAST({_HT} AS DOUBLE) = floor(TRY_CAST({_HT} AS DOUBLE))
+    AND TRY_CAST({_HT} AS DOUBLE) >= 0""")
+
+
+@register("quality_report_headcount", q(f"""
+SELECT f.file_name, 'headcount' AS file_type, f.record_month, coalesce(e.e, 0) = 0 AS is_valid,
+       CAST(f.n AS BIGINT) AS total_rows, CAST(coalesce(v.n, 0) AS BIGINT) AS valid_rows_count,
+       CAST(coalesce(e.e, 0) AS BIGINT) AS error_count, CAST(coalesce(e.w, 0) AS BIGINT) AS warning_count
+FROM (SELECT file_name, count(*) AS n, {S.MONTH_FROM_FILE('file_name')} AS record_month
+      FROM raw_headcount GROUP BY file_name) f
+LEFT JOIN (SELECT file_name, count(*) AS n FROM hm WHERE ok GROUP BY file_name) v USING (file_name)
+LEFT JOIN (SELECT file_name, sum(e) AS e, sum(w) AS w FROM (
+    SELECT file_name, 1 AS e, 0 AS w FROM {_HC_RAW}
+    WHERE record_month IS NOT NULL AND ({BLANK('"Project"')})
+    UNION ALL
+    SELECT file_name, 1, 0 FROM {_HC_RAW}
+    WHERE record_month IS NOT NULL AND ("Headcount" IS NULL OR NOT coalesce({ISNUM(_HT)}, FALSE)
+      OR TRY_CAST({_HT} AS DOUBLE) <> floor(TRY_CAST({_HT} AS DOUBLE)) OR TRY_CAST({_HT} AS DOUBLE) < 0)
+    UNION ALL SELECT file_name, CASE WHEN ok THEN 0 ELSE 1 END,
+                     CASE WHEN ok AND project_name <> canonical THEN 1 ELSE 0 END FROM hm) z
+  GROUP BY file_name) e USING (file_name)""", "raw_headcount", "registry", local=[_HC_OK] + _HC_VALID_LOCAL + [
+    ("hm", """SELECT o.*, m.canonical, n.canonical IS NOT NULL AS ok FROM hcok o
+              JOIN hmap m ON m.value = o.project_name
+              LEFT JOIN hnames n ON n.canonical = m.canonical""")]))
+def _q_quality_report_hc(spark, sf):
+    return VA.validate_headcount(V.raw_headcount(spark, sf), V.registry(spark, sf))["report"]
+
+
+@register("month_from_filename", q(f"""
+SELECT file_name, {S.MONTH_FROM_FILE('file_name')} AS record_month FROM (
+  SELECT DISTINCT file_name FROM raw_leavers UNION SELECT DISTINCT file_name FROM raw_headcount) f""",
+                                   "raw_leavers", "raw_headcount"))
+def _q_month_from_filename(spark, sf):
+    f = V.raw_leavers(spark, sf).select("file_name").distinct().union(
+        V.raw_headcount(spark, sf).select("file_name").distinct()).distinct()
+    return VA.month_from_filename(f).select("file_name", "record_month")
+
+
+# C: normalization of dirty spellings -------------------------------------
+
+_DIRTY_SQL = """SELECT kind, value FROM dirty_dimension
+  UNION SELECT DISTINCT 'projects', c_mktsegment FROM customer
+  UNION SELECT DISTINCT 'positions', lower(p_brand) FROM part"""
+
+
+def _dirty_values(spark, sf):
+    c = V.load(spark, sf, "customer").select(F.lit("projects").alias("kind"),
+                                             F.col("c_mktsegment").alias("value"))
+    p = V.load(spark, sf, "part").select(F.lit("positions").alias("kind"),
+                                         F.lower("p_brand").alias("value"))
+    return V.dirty_dimension(spark, sf).unionByName(c).unionByName(p).distinct()
+
+
+def _mapping(spark, sf):
+    return N.normalize_values(_dirty_values(spark, sf), V.registry(spark, sf))
+
+
+_NORM_LOCAL = norm_ctes(_DIRTY_SQL, "SELECT * FROM registry")
+
+
+@register("norm_clean", q(f"SELECT DISTINCT kind, value, {S.CLEAN('value')} AS cleaned FROM ({_DIRTY_SQL}) d",
+                          "dirty_dimension"))
+def _q_norm_clean(spark, sf):
+    from ..functions.columns import clean_name
+    return _dirty_values(spark, sf).select("kind", "value", clean_name("value").alias("cleaned"))
+
+
+for _step in ["exact", "alias", "prefix", "fuzzy"]:
+    def _mk(step):
+        def fn(spark, sf):
+            return _mapping(spark, sf).where(F.col("step") == step)
+        return fn
+    register(f"norm_{_step}", q(f"SELECT * FROM nmap WHERE step = '{_step}'", "dirty_dimension",
+                                "registry", local=_NORM_LOCAL))(_mk(_step))
+
+
+@register("norm_mapping", q("SELECT * FROM nmap", "dirty_dimension", "registry", local=_NORM_LOCAL))
+def _q_norm_mapping(spark, sf):
+    return _mapping(spark, sf)
+
+
+@register("norm_cluster")
+def _q_norm_cluster(spark, sf):
+    """C6 (iterative, no SQL form): clusters of the values no registry step
+    matched; rows-only check here, exact fixture in tests."""
+    m = _mapping(spark, sf)
+    unmatched = m.where(F.col("step") == "none").select("kind", "cleaned")
+    return N.cluster_values(unmatched)

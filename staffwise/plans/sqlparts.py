@@ -76,7 +76,7 @@ def LABEL(x: str) -> str:
 
 def TITLE(x: str) -> str:
     return ("array_to_string(list_transform(regexp_extract_all(lower(" + x + "), "
-            "'(\\p{L}+|\\P{L}+)'), p -> upper(substr(p, 1, 1)) || substr(p, 2)), '')")
+            "'(\\p{L}+|\\P{L}+)'), lambda p: upper(substr(p, 1, 1)) || substr(p, 2)), '')")
 
 
 def CLEAN(x: str) -> str:
@@ -234,3 +234,82 @@ def single_share(expr: str, name: str) -> str:
         FROM (SELECT mi, {expr} AS value FROM lv) s JOIN pm USING (mi)
         WHERE value IS NOT NULL GROUP BY period_key, value) c
   JOIN ptot t USING (period_key))"""
+
+
+def MONTH_FROM_FILE(fn: str) -> str:
+    y = f"regexp_extract({fn}, '(\\d{{4}})[-_](\\d{{2}})', 1)"
+    m = f"regexp_extract({fn}, '(\\d{{4}})[-_](\\d{{2}})', 2)"
+    return f"(CASE WHEN {y} <> '' AND TRY_CAST({m} AS INTEGER) BETWEEN 1 AND 12 THEN {y} || '-' || {m} END)"
+
+
+_S = 'STRIP("Length of Service")'
+PARTS["lvchk"] = (["raw_leavers"], f"""
+  SELECT *, CASE WHEN NOT _blank_id THEN row_number() OVER (PARTITION BY file_name, _eid
+                 ORDER BY row_num) END AS _occ
+  FROM (
+    SELECT *, {STRIP('"Employee ID"')} AS _eid, {BLANK('"Employee ID"')} AS _blank_id,
+           {PARSE_DATE('"Date of Joining"')} AS _doj, {PARSE_DATE('"Date of Leaving"')} AS _dol,
+           {ISNUM(STRIP('"Length of Service"'))} AS _snum,
+           TRY_CAST({STRIP('"Length of Service"')} AS DOUBLE) AS _sx,
+           {MONTH_FROM_FILE('file_name')} AS record_month
+    FROM raw_leavers) r
+  WHERE record_month IS NOT NULL""")
+
+LV_ERROR = ("(_blank_id OR coalesce(_occ > 1, FALSE) OR " +
+            " OR ".join(BLANK(f'"{c}"') for c in ["Employee Name", "Project", "Department", "Position"]) +
+            " OR _doj IS NULL OR _dol IS NULL OR _dol < _doj"
+            " OR (\"Length of Service\" IS NOT NULL AND NOT coalesce(_snum, FALSE))"
+            " OR (coalesce(_snum, FALSE) AND _sx < 0))")
+
+PARTS["lvclean"] = (["lvchk"], f"""
+  SELECT file_name, row_num, _eid AS employee_id, {STRIP('"Employee Name"')} AS employee_name,
+         {STRIP('"Project"')} AS project_name, {STRIP('"Department"')} AS department,
+         {STRIP('"Position"')} AS position, _doj AS date_of_joining, _dol AS date_of_leaving,
+         CASE WHEN "Length of Service" IS NULL THEN
+              CASE WHEN _doj IS NOT NULL AND _dol IS NOT NULL THEN
+                   {R2("date_diff('day', _doj, _dol) / 30.4375")} END
+              ELSE _sx END AS length_of_service_months,
+         coalesce({STRIP('"Status"')}, 'Resigned') AS status,
+         CASE WHEN {BLANK('"Reason"')} THEN 'Not Specified' ELSE {STRIP('"Reason"')} END
+           AS original_reason,
+         record_month
+  FROM lvchk WHERE NOT {LV_ERROR}""")
+
+
+def norm_ctes(values_sql: str, registry_sql: str, prefix: str = "n") -> list:
+    """Mirror of normalize.normalize_values (levenshtein mode) as local CTEs;
+    the last one, ``{prefix}map``, has (kind, value, cleaned, canonical, step, score)."""
+    p = prefix
+    aliases = ", ".join(f"({lit(k)}, {lit(v)})" for k, v in K.ALIASES)
+    return [
+        (f"{p}v", f"SELECT DISTINCT kind, value, {CLEAN('value')} AS cleaned FROM ({values_sql}) v0"),
+        (f"{p}c", f"SELECT DISTINCT kind, cleaned, lower(cleaned) AS lv FROM {p}v"),
+        (f"{p}reg", f"SELECT kind, ordinal, canonical, lower(canonical) AS lc FROM ({registry_sql}) r0"),
+        (f"{p}ex", f"""SELECT c.kind, c.cleaned, arg_min(r.canonical, r.ordinal) AS exact
+             FROM {p}c c JOIN {p}reg r ON c.kind = r.kind AND c.lv = r.lc GROUP BY 1, 2"""),
+        (f"{p}al", f"""SELECT c.kind, c.cleaned, a.canon AS alias FROM {p}c c
+             JOIN (VALUES {aliases}) a(k, canon) ON c.lv = a.k"""),
+        (f"{p}pf", f"""SELECT c.kind, c.cleaned, arg_min(r.canonical, r.ordinal) AS prefix
+             FROM {p}c c JOIN {p}reg r ON c.kind = r.kind AND length(c.lv) >= 4
+              AND starts_with(r.lc, c.lv) GROUP BY 1, 2"""),
+        (f"{p}fz", f"""SELECT kind, cleaned, canonical AS fuzzy, score FROM (
+               SELECT c.kind, c.cleaned, r.canonical,
+                      1 - levenshtein(c.cleaned, r.canonical)
+                          / greatest(length(c.cleaned), length(r.canonical)) AS score
+               FROM {p}c c JOIN {p}reg r ON c.kind = r.kind) s
+             WHERE score >= 0.78
+             QUALIFY row_number() OVER (PARTITION BY kind, cleaned
+                                        ORDER BY score DESC, canonical DESC) = 1"""),
+        (f"{p}m0", f"""SELECT c.kind, c.cleaned, ex.exact, al.alias, pf.prefix, fz.fuzzy, fz.score,
+               CASE WHEN ex.exact IS NOT NULL THEN 'exact' WHEN al.alias IS NOT NULL THEN 'alias'
+                    WHEN pf.prefix IS NOT NULL THEN 'prefix' WHEN fz.fuzzy IS NOT NULL THEN 'fuzzy'
+                    ELSE 'none' END AS step
+             FROM {p}c c LEFT JOIN {p}ex ex ON ex.kind = c.kind AND ex.cleaned = c.cleaned
+             LEFT JOIN {p}al al ON al.kind = c.kind AND al.cleaned = c.cleaned
+             LEFT JOIN {p}pf pf ON pf.kind = c.kind AND pf.cleaned = c.cleaned
+             LEFT JOIN {p}fz fz ON fz.kind = c.kind AND fz.cleaned = c.cleaned"""),
+        (f"{p}map", f"""SELECT v.kind, v.value, v.cleaned,
+               coalesce(m.exact, m.alias, m.prefix, m.fuzzy, v.cleaned) AS canonical, m.step,
+               CASE WHEN m.step = 'fuzzy' THEN m.score END AS score
+             FROM {p}v v JOIN {p}m0 m ON m.kind = v.kind AND m.cleaned = v.cleaned"""),
+    ]

@@ -69,6 +69,8 @@ DATE_SPELLINGS = [("yyyy-MM-dd", "%Y-%m-%d"), ("dd/MM/yyyy", "%d/%m/%Y"),
                   ("MM/dd/yyyy", "%m/%d/%Y"), ("yyyy/MM/dd", "%Y/%m/%d"),
                   ("dd-MM-yyyy", "%d-%m-%Y")]
 JUNK_DATE = "not a date"
+# junk department spelling by l_partkey % 5: alias keys and near-duplicate junk
+JUNK_DEPARTMENTS = ["hr", "admin", "front desk", "Dept Q3", "Dept Q4"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -200,7 +202,7 @@ def _dirty_department(p_type, linenumber, partkey):
             .when(ix == 2, F.concat(F.lit("  "), F.upper(t), F.lit("  ")))
             .when(ix == 3, F.substring(t, 1, n - 1))
             .when(ix == 4, F.concat(t, F.substring(t, -1, 1)))
-            .otherwise(F.concat(F.lit("Dept Q"), (partkey % 5).cast("string"))))
+            .otherwise(_pick(partkey % 5, JUNK_DEPARTMENTS)))
 
 
 def raw_leavers(spark: SparkSession, sf_dir: str, clean_even: bool = False) -> DataFrame:
@@ -311,7 +313,7 @@ def _sql_dirty_department(t, ln, pk):
             f"WHEN 2 THEN '  ' || upper({c}) || '  ' "
             f"WHEN 3 THEN substr({c}, 1, length({c}) - 1) "
             f"WHEN 4 THEN {c} || substr({c}, length({c}), 1) "
-            f"ELSE 'Dept Q' || CAST({pk} % 5 AS VARCHAR) END")
+            f"ELSE {_sql_pick(f'{pk} % 5', JUNK_DEPARTMENTS)} END")
 
 
 _SQL_ROW_ORDER = ", ".join(_ROW_ORDER)
