@@ -961,3 +961,340 @@ def _q_norm_cluster(spark, sf):
     m = _mapping(spark, sf)
     unmatched = m.where(F.col("step") == "none").select("kind", "cleaned")
     return N.cluster_values(unmatched)
+
+
+# ------------------------------------------------------------ G17 - G20
+
+from . import kpis as KP  # noqa: E402
+
+_RATES_LOCAL = [
+    _PC_LOCAL[0],
+    ("ovr", "SELECT * FROM " + S.overall_rates("SELECT period_key, role, start_mi, end_mi FROM rng",
+                                               ["period_key", "role"]) + " o"),
+    ("rates", """SELECT period_key,
+                        max(CASE WHEN role = 'current' THEN turnover_rate END) AS cur,
+                        max(CASE WHEN role = 'previous' THEN turnover_rate END) AS prv
+                 FROM ovr GROUP BY period_key"""),
+]
+_TOP_LOCAL = [
+    ("tc", "SELECT * FROM " + S.dim_counts(["department", "ai_category", "original_reason"]) + " d"),
+    ("th", "SELECT DISTINCT period_key, TRUE AS has_cat FROM tc WHERE dimension = 'ai_category'"),
+    ("tf", """SELECT tc.period_key,
+                     CASE WHEN dimension IN ('ai_category', 'original_reason') THEN 'reason'
+                          ELSE dimension END AS dimension, value, departures
+              FROM tc LEFT JOIN th USING (period_key)
+              WHERE dimension = 'department'
+                 OR (dimension = 'ai_category' AND coalesce(has_cat, FALSE))
+                 OR (dimension = 'original_reason' AND NOT coalesce(has_cat, FALSE))"""),
+    ("t1", """SELECT period_key,
+                     max(CASE WHEN dimension = 'department' THEN value END) AS highest_dept,
+                     max(CASE WHEN dimension = 'department' THEN departures END) AS highest_dept_count,
+                     max(CASE WHEN dimension = 'reason' THEN value END) AS most_common_reason,
+                     max(CASE WHEN dimension = 'reason' THEN departures END) AS most_common_reason_count
+              FROM (SELECT * FROM tf QUALIFY row_number() OVER (PARTITION BY period_key, dimension
+                                                 ORDER BY departures DESC, value) = 1) r1
+              GROUP BY period_key"""),
+    ("hi", f"""SELECT p.period_key,
+       CASE WHEN coalesce(b.turnover_rate, 0.0) > 0 THEN b.project_name ELSE 'None' END
+         AS highest_turnover_project,
+       CASE WHEN coalesce(b.turnover_rate, 0.0) > 0 THEN b.turnover_rate ELSE 0.0 END
+         AS highest_turnover_rate
+FROM periods p LEFT JOIN (
+  SELECT period_key, project_name, turnover_rate FROM {S.project_rates(_PERIOD_RANGES, ['period_key'])} x
+  QUALIFY row_number() OVER (PARTITION BY period_key ORDER BY turnover_rate DESC, project_name) = 1
+) b ON b.period_key = p.period_key"""),
+]
+_KPI_SQL = q(f"""
+SELECT pp.period_key, pp.range_label AS current_label, pp.prev_range_label AS previous_label,
+       coalesce(r.cur, 0.0) AS current_turnover, coalesce(r.prv, 0.0) AS previous_turnover,
+       {R2('coalesce(r.cur, 0.0) - coalesce(r.prv, 0.0)')} AS difference,
+       t.total_leavers AS total_departures,
+       {R2('coalesce(CASE WHEN t.service_n > 0 THEN t.service_sum / t.service_n END, 0.0)')}
+         AS average_service_length_months,
+       hi.highest_turnover_project, hi.highest_turnover_rate,
+       coalesce(t1.highest_dept, 'N/A') AS highest_dept,
+       CAST(coalesce(t1.highest_dept_count, 0) AS BIGINT) AS highest_dept_count,
+       coalesce(t1.most_common_reason, 'N/A') AS most_common_reason,
+       CAST(coalesce(t1.most_common_reason_count, 0) AS BIGINT) AS most_common_reason_count,
+       t.early_n AS early_turnover_count
+FROM pperiods pp LEFT JOIN rates r USING (period_key) LEFT JOIN ptot t USING (period_key)
+LEFT JOIN hi USING (period_key) LEFT JOIN t1 USING (period_key)""",
+             "pperiods", "ptot", "madj", "mlv", "adj", "lvc", local=_RATES_LOCAL + _TOP_LOCAL)
+
+
+@register("period_kpis", _KPI_SQL)
+def _q_period_kpis(spark, sf):
+    hc, lv = hc_lv(spark, sf)
+    return KP.period_kpis(hc, lv, cal(lv))
+
+
+@register("period_narrative")
+def _q_narrative(spark, sf):
+    """G19 (text; key phrases are checked by fixture tests)."""
+    hc, lv = hc_lv(spark, sf)
+    return KP.period_narrative(KP.period_kpis(hc, lv, cal(lv)))
+
+
+_DASH_P = ["Machinery", "Building", "Furniture"]
+_DASH_D = ["Small", "Medium", "Large", "Promo"]
+_DP = ", ".join(lit(x) for x in _DASH_P)
+_DD = ", ".join(lit(x) for x in _DASH_D)
+
+
+@register("dashboard_kpis", q(f"""
+SELECT p.period_key, CAST(coalesce(r.hc, 0) AS BIGINT) AS headcount,
+       {R1('coalesce(a.adj, 0.0)')} AS headcount_adjusted, CAST(coalesce(l.n, 0) AS BIGINT) AS leavers,
+       {R2(PCT('coalesce(l.n, 0)', R1('coalesce(a.adj, 0.0)')))} AS turnover,
+       CAST(coalesce(l.e, 0) AS BIGINT) AS early_turnover
+FROM periods p
+LEFT JOIN (SELECT period_key, sum(headcount) AS hc FROM hc JOIN pm USING (mi)
+           WHERE project_name IN ({_DP}) GROUP BY 1) r USING (period_key)
+LEFT JOIN (SELECT period_key, sum(adj_headcount) AS adj FROM adj JOIN pm USING (mi)
+           WHERE project_name IN ({_DP}) GROUP BY 1) a USING (period_key)
+LEFT JOIN (SELECT period_key, count(*) AS n,
+                  sum(CASE WHEN length_of_service_months < 6.0 THEN 1 ELSE 0 END) AS e
+           FROM lv JOIN pm USING (mi) WHERE project_name IN ({_DP}) AND department IN ({_DD})
+           GROUP BY 1) l USING (period_key)""", "periods", "pm", "hc", "adj", "lv"))
+def _q_dashboard(spark, sf):
+    hc, lv = hc_lv(spark, sf)
+    return KP.dashboard_kpis(hc, lv, cal(lv), _DASH_P, _DASH_D, ["All"])
+
+
+_CHG = R2("coalesce(r.cur, 0.0) - coalesce(r.prv, 0.0)")
+
+
+@register("report_kpis", q(f"""
+SELECT p.period_key, CAST(coalesce(s.s, 0) AS BIGINT) AS total_headcount,
+       t.total_leavers AS total_departures, coalesce(r.cur, 0.0) AS turnover_rate,
+       {_CHG} AS turnover_change,
+       CASE WHEN {_CHG} > 0 THEN '+' ELSE '' END || CAST({_CHG} AS VARCHAR) || '%' AS change_text,
+       (SELECT CAST(count(*) AS BIGINT) FROM {_PROJ_DIM} d) AS projects_analyzed
+FROM periods p
+LEFT JOIN (SELECT period_key, sum(headcount) AS s FROM hc JOIN pm USING (mi) GROUP BY 1) s USING (period_key)
+LEFT JOIN ptot t USING (period_key) LEFT JOIN rates r USING (period_key)""",
+                              "pperiods", "ptot", "hc", "madj", "mlv", local=_RATES_LOCAL))
+def _q_report_kpis(spark, sf):
+    hc, lv = hc_lv(spark, sf)
+    return KP.report_kpis(hc, lv, cal(lv))
+
+
+@register("report_marts")
+def _q_report_marts(spark, sf):
+    """Write every report section (partitioned by period) to the shared
+    staging folder, read them back and list (mart, rows)."""
+    from ..session import staging_path
+    hc, lv = hc_lv(spark, sf)
+    paths = KP.write_report_marts(KP.report_marts(hc, lv, cal(lv)), staging_path(spark, "marts"))
+    out = None
+    for name, path in paths.items():
+        d = spark.read.parquet(path).groupBy().count().select(F.lit(name).alias("mart"),
+                                                              F.col("count").alias("rows"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+# --------------------------------------------------------------- A state
+
+from ..operators import state as ST  # noqa: E402
+from .sqlparts import gated  # noqa: E402
+
+
+@register("registry_source", q("SELECT * FROM registry", "registry"))
+def _q_registry_source(spark, sf):
+    """A5: the registry derived from the tables, saved as JSON and read back."""
+    from ..session import staging_path
+    from ..sources.files import read_registry, write_registry
+    path = staging_path(spark, "registry")
+    write_registry(V.registry(spark, sf), path)
+    return read_registry(spark, path)
+
+
+_ADD_SQL = f"""
+SELECT kind, ordinal, canonical FROM registry
+UNION ALL
+SELECT a.kind, CAST(coalesce(b.base, 0) + row_number() OVER (PARTITION BY a.kind ORDER BY a.canonical)
+       AS INTEGER) AS ordinal, a.canonical
+FROM (SELECT DISTINCT CASE "column" WHEN 'Project' THEN 'projects' WHEN 'Department' THEN 'departments'
+                      WHEN 'Position' THEN 'positions' END AS kind, {STRIP('value')} AS canonical
+      FROM ({_B15_SQL}) u WHERE value IS NOT NULL AND {STRIP('value')} <> '') a
+LEFT JOIN (SELECT kind, max(ordinal) AS base FROM registry GROUP BY kind) b ON b.kind = a.kind
+WHERE NOT EXISTS (SELECT 1 FROM registry r WHERE r.kind = a.kind AND r.canonical = a.canonical)"""
+
+
+@register("registry_edit", q(_ADD_SQL, "lvclean", "registry", local=_RC_LOCAL))
+def _q_registry_edit(spark, sf):
+    cands = _q_unrecognized(spark, sf)
+    return ST.registry_edit(V.registry(spark, sf), ST.candidates_to_additions(cands))
+
+
+@register("existing_employee_check", q(f"""
+SELECT i.employee_id, s.employee_id IS NOT NULL AS "exists"
+FROM (SELECT DISTINCT {STRIP('"Employee ID"')} AS employee_id FROM raw_leavers) i
+LEFT JOIN (SELECT DISTINCT {STRIP('employee_id')} AS employee_id FROM hr_leavers) s
+  ON s.employee_id = i.employee_id""", "raw_leavers", "hr_leavers"))
+def _q_existing(spark, sf):
+    return ST.existing_employee_check(V.raw_leavers(spark, sf), V.hr_leavers(spark, sf),
+                                      id_col="Employee ID")
+
+
+# gated landing (clean even-month files): leavers ------------------------
+
+_G_LOCAL = [(n, gated(s)) for n, s in _REPORT_LOCAL] + [
+    ("ok_files", """SELECT f.file_name FROM files f
+        LEFT JOIN (SELECT file_name, sum(CASE WHEN severity = 'error' THEN 1 ELSE 0 END) AS e
+                   FROM iss GROUP BY file_name) i ON i.file_name = f.file_name
+        WHERE coalesce(i.e, 0) = 0"""),
+    ("gvalid", """SELECT file_name, row_num, employee_id, employee_name, p_can AS project_name,
+                  d_can AS department, q_can AS position, date_of_joining, date_of_leaving,
+                  length_of_service_months, status, original_reason,
+                  CAST(NULL AS VARCHAR) AS ai_category, record_month
+                  FROM rc WHERE p_ok AND d_ok AND q_ok AND file_name IN (SELECT file_name FROM ok_files)"""),
+]
+_G_PARTS = ("lvchkg", "lvcleang", "registry")
+
+
+def _gated_leavers(spark, sf):
+    res = VA.validate_leavers(V.raw_leavers(spark, sf, clean_even=True), V.registry(spark, sf))
+    return res, ST.gated_rows(res["valid"], res["report"])
+
+
+@register("gated_load", q("SELECT * FROM gvalid", *_G_PARTS, local=_G_LOCAL))
+def _q_gated_load(spark, sf):
+    return _gated_leavers(spark, sf)[1]
+
+
+_LV_COLS = ", ".join(ST.LEAVER_COLUMNS)
+_UPSERT_LOCAL = _G_LOCAL + [
+    ("latest", f"""SELECT {_LV_COLS} FROM gvalid QUALIFY row_number() OVER (
+                   PARTITION BY employee_id ORDER BY file_name DESC, row_num DESC) = 1"""),
+    ("merged", f"""SELECT {_LV_COLS} FROM hr_leavers
+                   WHERE employee_id NOT IN (SELECT employee_id FROM latest)
+                   UNION ALL SELECT {_LV_COLS} FROM latest"""),
+]
+
+
+@register("upsert_leavers", q("SELECT * FROM merged", *_G_PARTS, "hr_leavers", local=_UPSERT_LOCAL))
+def _q_upsert_leavers(spark, sf):
+    return ST.upsert_leavers(V.hr_leavers(spark, sf), _gated_leavers(spark, sf)[1])
+
+
+_COMMIT_TODO = "(m.ai_category IS NULL OR m.ai_category = '' OR m.ai_category = 'Other')"
+
+
+@register("leaver_commit", q(f"""
+SELECT {', '.join('m.' + c for c in ST.LEAVER_COLUMNS if c != 'ai_category')},
+       {_COMMIT_TODO} AS processed,
+       CASE WHEN {_COMMIT_TODO}
+            THEN {STRIP(f"coalesce({LABEL('r.raw_label')}, {RULES('m.original_reason')})")}
+            ELSE m.ai_category END AS ai_category
+FROM merged m LEFT JOIN raw_labels r ON r.employee_id = m.employee_id""",
+                             *_G_PARTS, "hr_leavers", "raw_labels", local=_UPSERT_LOCAL))
+def _q_leaver_commit(spark, sf):
+    res, _ = _gated_leavers(spark, sf)
+    return ST.leaver_commit(V.hr_leavers(spark, sf), res, V.raw_labels(spark, sf))
+
+
+@register("update_category", q(f"""
+SELECT l.employee_id, coalesce(u.cat, l.ai_category) AS ai_category
+FROM hr_leavers l LEFT JOIN (
+  SELECT {STRIP('employee_id')} AS id, {STRIP(f"coalesce({LABEL('raw_label')}, 'Other')")} AS cat
+  FROM raw_labels) u ON u.id = {STRIP('l.employee_id')}""", "hr_leavers", "raw_labels"))
+def _q_update_category(spark, sf):
+    """A10 with the canonical model label of every employee as the update."""
+    lab = H.canonicalize_labels(V.raw_labels(spark, sf)).select(
+        "employee_id", F.coalesce("model_category", F.lit("Other")).alias("category"))
+    return ST.update_category(V.hr_leavers(spark, sf), lab).select("employee_id", "ai_category")
+
+
+# gated landing: headcount ------------------------------------------------
+
+_HCG_LOCAL = [(n, gated(s)) for n, s in [_HC_OK] + _HC_VALID_LOCAL + [
+    ("hm", """SELECT o.*, m.canonical, n.canonical IS NOT NULL AS ok FROM hcok o
+              JOIN hmap m ON m.value = o.project_name
+              LEFT JOIN hnames n ON n.canonical = m.canonical""")]] + [
+    ("hbad", f"""SELECT DISTINCT file_name FROM (
+        SELECT file_name FROM {gated(_HC_RAW)}
+        WHERE record_month IS NOT NULL AND ({BLANK('"Project"')} OR "Headcount" IS NULL
+          OR NOT coalesce({ISNUM(_HT)}, FALSE)
+          OR TRY_CAST({_HT} AS DOUBLE) <> floor(TRY_CAST({_HT} AS DOUBLE))
+          OR TRY_CAST({_HT} AS DOUBLE) < 0)
+        UNION ALL SELECT file_name FROM hm WHERE NOT ok) b"""),
+    ("hvalid", """SELECT file_name, row_num, canonical AS project_name, record_month, headcount
+                  FROM hm WHERE ok AND file_name NOT IN (SELECT file_name FROM hbad)"""),
+    ("hlatest", """SELECT project_name, record_month, headcount FROM hvalid QUALIFY row_number()
+                   OVER (PARTITION BY project_name, record_month ORDER BY file_name DESC, row_num DESC) = 1"""),
+]
+
+
+def _gated_headcount(spark, sf):
+    res = VA.validate_headcount(V.raw_headcount(spark, sf, clean_even=True), V.registry(spark, sf))
+    return ST.gated_rows(res["valid"], res["report"])
+
+
+@register("gated_load_headcount", q("SELECT * FROM hvalid", "raw_headcount_gated", "registry",
+                                    local=_HCG_LOCAL))
+def _q_gated_hc(spark, sf):
+    return _gated_headcount(spark, sf)
+
+
+@register("upsert_headcount", q("""
+SELECT project_name, record_month, headcount FROM hr_headcount h
+WHERE NOT EXISTS (SELECT 1 FROM hlatest l WHERE l.project_name = h.project_name
+                  AND l.record_month = h.record_month)
+UNION ALL SELECT * FROM hlatest""", "raw_headcount_gated", "registry", "hr_headcount", local=_HCG_LOCAL))
+def _q_upsert_hc(spark, sf):
+    return ST.upsert_headcount(V.hr_headcount(spark, sf), _gated_headcount(spark, sf))
+
+
+@register("directory_audit")
+def _q_directory_audit(spark, sf):
+    """Per landing file of both folders: valid flag, rows, error count."""
+    a = _leaver_validation(spark, sf)["report"]
+    b = VA.validate_headcount(V.raw_headcount(spark, sf), V.registry(spark, sf))["report"]
+    return a.unionByName(b).select("file_name", "file_type", "is_valid", "total_rows", "error_count")
+
+
+ORACLE["directory_audit"] = (
+    "SELECT file_name, file_type, is_valid, total_rows, error_count FROM ("
+    "SELECT * FROM (" + ORACLE["quality_report"] + ") a UNION ALL SELECT * FROM ("
+    + ORACLE["quality_report_headcount"] + ") b) u")
+
+
+_STAGED_HC = f"""SELECT {STRIP('"Project"')} AS project_name, {S.MONTH_FROM_FILE('file_name')} AS record_month,
+  CAST(floor(TRY_CAST({_HT} AS DOUBLE)) AS BIGINT) AS headcount FROM raw_headcount"""
+
+
+_CC_BODY = f"""
+SELECT 'headcount_history' AS "table", 'not_null' AS rule, CAST(project_name AS VARCHAR) AS key,
+       c AS detail FROM (
+  SELECT project_name, 'project_name' AS c FROM h WHERE project_name IS NULL
+  UNION ALL SELECT project_name, 'record_month' FROM h WHERE record_month IS NULL
+  UNION ALL SELECT project_name, 'headcount' FROM h WHERE headcount IS NULL) n
+UNION ALL
+SELECT 'headcount_history', 'unique', concat_ws('|', project_name, record_month), CAST(count(*) AS VARCHAR)
+FROM h GROUP BY project_name, record_month HAVING count(*) > 1
+UNION ALL
+SELECT 'leavers', 'unique', employee_id, CAST(count(*) AS VARCHAR) FROM hr_leavers
+GROUP BY employee_id HAVING count(*) > 1
+UNION ALL
+SELECT 'headcount_history', 'check_non_negative', concat_ws('|', project_name, record_month),
+       CAST(headcount AS VARCHAR) FROM h WHERE headcount < 0
+UNION ALL
+SELECT 'headcount_history', 'foreign_key', project_name, project_name FROM h
+WHERE project_name NOT IN (SELECT name FROM d) OR project_name IS NULL
+UNION ALL
+SELECT 'leavers', 'foreign_key', employee_id, project_name FROM hr_leavers
+WHERE project_name NOT IN (SELECT name FROM d) OR project_name IS NULL"""
+
+
+@register("constraint_checks", q(_CC_BODY, "hr_headcount", "hr_leavers", "raw_headcount", local=[
+    ("h", f"SELECT project_name, record_month, headcount FROM hr_headcount UNION ALL {_STAGED_HC}"),
+    ("d", f"SELECT * FROM {_PROJ_DIM} d0")]))
+def _q_constraints(spark, sf):
+    from ..functions.columns import strip_ws
+    hc, lv = hc_lv(spark, sf)
+    vm = VA.month_from_filename(V.raw_headcount(spark, sf))
+    staged = vm.select(strip_ws("Project").alias("project_name"), "record_month",
+                       F.floor(strip_ws("Headcount").try_cast("double")).cast("long").alias("headcount"))
+    h = hc.select("project_name", "record_month", "headcount").unionByName(staged)
+    return ST.constraint_checks(h, lv, FI.project_dimension(hc, lv))

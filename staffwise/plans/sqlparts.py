@@ -313,3 +313,18 @@ def norm_ctes(values_sql: str, registry_sql: str, prefix: str = "n") -> list:
                CASE WHEN m.step = 'fuzzy' THEN m.score END AS score
              FROM {p}v v JOIN {p}m0 m ON m.kind = v.kind AND m.cleaned = v.cleaned"""),
     ]
+
+
+import re as _re
+
+
+def gated(sql: str) -> str:
+    """The same SQL over the gated landing views (clean even-month files)."""
+    sql = _re.sub(r"\blvchk\b", "lvchkg", sql)
+    sql = _re.sub(r"\blvclean\b", "lvcleang", sql)
+    sql = _re.sub(r"\braw_leavers\b", "raw_leavers_gated", sql)
+    return _re.sub(r"\braw_headcount\b", "raw_headcount_gated", sql)
+
+
+PARTS["lvchkg"] = (["raw_leavers_gated"], gated(PARTS["lvchk"][1]))
+PARTS["lvcleang"] = (["lvchkg"], gated(PARTS["lvclean"][1]))
