@@ -28,39 +28,27 @@ def period_calendar(leavers: DataFrame, types=("Monthly", "Quarterly", "Semi-Ann
     """Monthly, quarterly, semi-annual and annual periods containing data months.
 
     Quarter / half / year ends are calendar ends even without data there.
+    One aggregation (distinct months) feeds all period kinds: each month is
+    exploded to the (at most four) periods that contain it, then deduplicated.
     """
-    m = (leavers.select("record_month").distinct()
-                .select(F.col("record_month"), month_index("record_month").alias("mi"))
+    m = (leavers.select(month_index("record_month").alias("mi")).distinct()
                 .where(F.col("mi").isNotNull())
                 .withColumn("y", F.floor(F.col("mi") / 12).cast("int"))
                 .withColumn("mo", (F.col("mi") - F.col("y") * 12).cast("int")))  # 0-based
-    parts = []
-    if "Monthly" in types:
-        parts.append(m.select(F.lit("Monthly").alias("period_type"),
-                              F.col("record_month").alias("period_label"),
-                              F.col("mi").alias("start_mi"), F.col("mi").alias("end_mi")))
-    if "Quarterly" in types:
-        q = F.floor(F.col("mo") / 3).cast("int")
-        parts.append(m.select(F.lit("Quarterly").alias("period_type"),
-                              F.format_string("%d Q%d", F.col("y"), q + 1).alias("period_label"),
-                              (F.col("y") * 12 + q * 3).alias("start_mi"),
-                              (F.col("y") * 12 + q * 3 + 2).alias("end_mi")).distinct())
-    if "Semi-Annual" in types:
-        h = F.when(F.col("mo") < 6, 0).otherwise(1)
-        parts.append(m.select(F.lit("Semi-Annual").alias("period_type"),
-                              F.format_string("%d H%d", F.col("y"), h + 1).alias("period_label"),
-                              (F.col("y") * 12 + h * 6).alias("start_mi"),
-                              (F.col("y") * 12 + h * 6 + 5).alias("end_mi")).distinct())
-    if "Annual" in types:
-        parts.append(m.select(F.lit("Annual").alias("period_type"),
-                              F.format_string("%d Full Year", F.col("y")).alias("period_label"),
-                              (F.col("y") * 12).alias("start_mi"),
-                              (F.col("y") * 12 + 11).alias("end_mi")).distinct())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _finish(out.withColumn("start_mi", F.col("start_mi").cast("int"))
-                      .withColumn("end_mi", F.col("end_mi").cast("int")))
+    q = F.floor(F.col("mo") / 3).cast("int")
+    h = F.when(F.col("mo") < 6, 0).otherwise(1)
+    y12 = F.col("y") * 12
+    kinds = {
+        "Monthly": (month_text("mi"), F.col("mi"), F.col("mi")),
+        "Quarterly": (F.format_string("%d Q%d", F.col("y"), q + 1), y12 + q * 3, y12 + q * 3 + 2),
+        "Semi-Annual": (F.format_string("%d H%d", F.col("y"), h + 1), y12 + h * 6, y12 + h * 6 + 5),
+        "Annual": (F.format_string("%d Full Year", F.col("y")), y12, y12 + 11),
+    }
+    structs = [F.struct(F.lit(t).alias("period_type"), lab.alias("period_label"),
+                        s_.cast("int").alias("start_mi"), e_.cast("int").alias("end_mi"))
+               for t, (lab, s_, e_) in kinds.items() if t in types]
+    out = m.select(F.explode(F.array(*structs)).alias("p")).select("p.*").distinct()
+    return _finish(out)
 
 
 def custom_period(spark: SparkSession, start_month: str, end_month: str) -> DataFrame:

@@ -47,7 +47,7 @@ def month_from_filename(df: DataFrame, col: str = "file_name") -> DataFrame:
     y = F.regexp_extract(fn, K.FILENAME_MONTH_PATTERN, 1)
     m = F.regexp_extract(fn, K.FILENAME_MONTH_PATTERN, 2)
     matched = y != ""
-    ok = matched & m.cast("int").between(1, 12)
+    ok = matched & m.try_cast("int").between(1, 12)
     err = (F.when(~matched, issue("error", "Filename", None, _msg(K.MSG_FILENAME_NO_MONTH, fn)))
             .when(~ok, issue("error", "Filename", None, _msg(K.MSG_FILENAME_BAD_MONTH, m, fn))))
     return (df.withColumn("record_month", F.when(ok, F.concat(y, F.lit("-"), m)))

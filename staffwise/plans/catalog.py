@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import r2
 from ..operators import periods as P
 from ..operators import turnover as T
-from ..sources import testviews as V
+from ..sources import testviews as _TV
+from ..sources.store import stored
 from . import sqlparts as S
 from .sqlparts import MT, PCT, R1, R2, q
 
@@ -20,6 +21,24 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+class _StoredViews:
+    """The test views as stored tables (built once per source snapshot)."""
+
+    load = staticmethod(_TV.load)
+
+    def __getattr__(self, name):
+        return lambda spark, sf: stored(spark, sf, name)
+
+    def raw_leavers(self, spark, sf, clean_even=False):
+        return stored(spark, sf, "raw_leavers_gated" if clean_even else "raw_leavers")
+
+    def raw_headcount(self, spark, sf, clean_even=False):
+        return stored(spark, sf, "raw_headcount_gated" if clean_even else "raw_headcount")
+
+
+V = _StoredViews()
+
+
 def register(name, sql=None):
     def deco(fn):
         QUERIES[name] = fn
