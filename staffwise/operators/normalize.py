@@ -91,7 +91,10 @@ def normalize_values(values: DataFrame, registry: DataFrame, mode: str = "levens
     spark = values.sparkSession
     reg = bounded_registry(registry.select("kind", "ordinal", "canonical")
                            .withColumn("lc", F.lower("canonical")))
-    v = values.select("kind", "value").distinct().withColumn("cleaned", clean_name("value"))
+    from ..session import materialize
+    # distinct values feed every step below: computed once, written once
+    v = materialize(values.select("kind", "value").distinct()
+                    .withColumn("cleaned", clean_name("value")), "norm-values")
     c = v.select("kind", "cleaned").distinct().withColumn("lv", F.lower("cleaned"))
 
     exact = (c.join(reg.withColumnRenamed("lc", "lv"), ["kind", "lv"])
@@ -191,21 +194,22 @@ def cluster_values(values: DataFrame, mode: str = "levenshtein", cutoff: float =
     """Connected components of similar unmatched values; canonical =
     longest member (ties: smallest text). Returns (kind, cleaned, cluster).
 
-    Min-label propagation; each round's labels are checkpointed (reliable,
-    to spark.checkpoint.dir) to keep lineage short and survive executor loss."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(values.sparkSession)
-    vals = values.select("kind", "cleaned").distinct()
-    e = similar_pairs(vals, mode, cutoff)
+    Min-label propagation; each round's labels are written to the shared
+    checkpoint folder (spark.checkpoint.dir) to keep lineage short and survive
+    executor loss; the edges are materialized once."""
+    from ..session import materialize
+    vals = materialize(values.select("kind", "cleaned").distinct(), "cluster-values")
+    e = materialize(similar_pairs(vals, mode, cutoff), "cluster-edges")
     edges = e.unionByName(e.select("kind", F.col("b").alias("a"), F.col("a").alias("b")))
     labels = vals.select("kind", "cleaned", F.col("cleaned").alias("label"))
     for _ in range(max_rounds):
         nb = (edges.join(labels.select("kind", F.col("cleaned").alias("b"), F.col("label").alias("nl")),
                          ["kind", "b"])
                    .groupBy("kind", F.col("a").alias("cleaned")).agg(F.min("nl").alias("nl")))
-        new = (labels.join(nb, ["kind", "cleaned"], "left")
-                     .select("kind", "cleaned", F.least("label", F.coalesce("nl", "label")).alias("label"))
-                     .checkpoint())
+        new = materialize(labels.join(nb, ["kind", "cleaned"], "left")
+                          .select("kind", "cleaned",
+                                  F.least("label", F.coalesce("nl", "label")).alias("label")),
+                          "cluster-labels")
         changed = (new.join(labels.withColumnRenamed("label", "old"), ["kind", "cleaned"])
                       .where(F.col("label") != F.col("old")).limit(1).count())
         labels = new

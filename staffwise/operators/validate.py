@@ -296,9 +296,8 @@ def registry_check(clean: DataFrame, mapping: DataFrame, registry: DataFrame) ->
 def _materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint to spark.checkpoint.dir: cuts lineage, is computed
     once for all consumers, and survives executor loss (never a local one)."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from ..session import materialize
+    return materialize(df, "validate")
 
 
 def validate_leavers(raw: DataFrame, registry: DataFrame, existing: DataFrame | None = None,

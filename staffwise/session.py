@@ -54,3 +54,14 @@ def staging_path(spark: SparkSession, *parts: str) -> str:
     on a cluster, because the checkpoint folder is the shared one)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, "staffwise-staging", *parts, uuid.uuid4().hex])
+
+
+def materialize(df, tag: str = "table"):
+    """Cut lineage by writing ``df`` once as Parquet under the shared
+    checkpoint folder and reading it back (one job; survives executor loss,
+    unlike a local checkpoint; unlike DataFrame.checkpoint it does not compute
+    the plan twice)."""
+    spark = df.sparkSession
+    path = staging_path(spark, "materialized", tag)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
