@@ -30,7 +30,8 @@ def headcount_with_project(headcount: DataFrame, projects: DataFrame,
                            project=None, start=None, end=None) -> DataFrame:
     """Fact joined to the (small) project dimension, ordered by month, name."""
     h = filter_project_month(headcount, project, start, end)
-    j = h.join(F.broadcast(projects.select(F.col("name").alias("project_name"))), "project_name")
+    # the dimension has no proven size bound: AQE picks broadcast at run time
+    j = h.join(projects.select(F.col("name").alias("project_name")), "project_name")
     return j.select("project_name", "record_month", "headcount").orderBy("record_month", "project_name")
 
 
@@ -38,7 +39,7 @@ def leavers_with_project(leavers: DataFrame, projects: DataFrame,
                          project=None, start=None, end=None) -> DataFrame:
     """Same for leavers, ordered by month, leaving date."""
     l = filter_project_month(leavers, project, start, end)
-    j = l.join(F.broadcast(projects.select(F.col("name").alias("project_name"))), "project_name")
+    j = l.join(projects.select(F.col("name").alias("project_name")), "project_name")
     return j.orderBy("record_month", "date_of_leaving")
 
 

@@ -23,7 +23,7 @@ from . import testviews as V
 
 PARTITIONED = {"hr_headcount": "record_month", "hr_leavers": "record_month"}
 MAX_RECORDS_PER_FILE = 2_000_000
-LAYOUT_VERSION = "2"
+LAYOUT_VERSION = "3"
 # views and the source tables they read
 SOURCES = {
     "hr_headcount": ["orders", "customer"],

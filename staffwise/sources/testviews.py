@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_index, r2
+from ..functions.frames import row_number_within
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -224,11 +225,11 @@ def raw_leavers(spark: SparkSession, sf_dir: str, clean_even: bool = False) -> D
               .where(~even | ((F.col("l_shipdate") >= F.col("o_orderdate")) & F.col("_first"))))
     else:
         even = F.lit(False)
-    w = Window.partitionBy("file_name").orderBy(*_ROW_ORDER)
+    j = row_number_within(j, "file_name", _ROW_ORDER, "_rn")
     iso = lambda ts: F.date_format(F.to_date(ts), "yyyy-MM-dd")
     return j.select(
         "file_name",
-        (F.row_number().over(w) + 1).alias("row_num"),
+        (F.col("_rn") + 1).alias("row_num"),
         F.col("employee_id").alias("Employee ID"),
         F.col("c_name").alias("Employee Name"),
         F.col("c_mktsegment").alias("Project"),
