@@ -23,9 +23,15 @@ from . import testviews as V
 
 PARTITIONED = {"hr_headcount": "record_month", "hr_leavers": "record_month"}
 MAX_RECORDS_PER_FILE = 2_000_000
-LAYOUT_VERSION = "3"
+LAYOUT_VERSION = "4"
+# views built from another stored view: name -> (keyword, stored input)
+DERIVED = {"hr_leavers": ("base", "leaver_base"), "raw_leavers": ("base", "leaver_base"),
+           "raw_leavers_gated": ("base", "leaver_base"), "raw_labels": ("leavers", "hr_leavers"),
+           "raw_headcount": ("headcount", "hr_headcount"),
+           "raw_headcount_gated": ("headcount", "hr_headcount")}
 # views and the source tables they read
 SOURCES = {
+    "leaver_base": ["lineitem", "orders", "customer", "part"],
     "hr_headcount": ["orders", "customer"],
     "hr_leavers": ["lineitem", "orders", "customer", "part"],
     "raw_leavers": ["lineitem", "orders", "customer", "part"],
@@ -81,7 +87,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _stored(spark, sf_dir, name, build) -> DataFrame:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/staffwise-tables/{name}-{_snapshot_key(spark, sf_dir, name)}"
-    df = build(spark, sf_dir)
+    if name in DERIVED:
+        kw, src = DERIVED[name]
+        df = build(spark, sf_dir, **{kw: stored(spark, sf_dir, src)})
+    else:
+        df = build(spark, sf_dir)
     schema, cols = df.schema, df.columns
     if not _exists(spark, path + "/_SUCCESS"):
         if name in PARTITIONED:

@@ -136,8 +136,17 @@ _ROW_ORDER = ["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppke
               "l_extendedprice", "l_linestatus"]
 
 
-def hr_leavers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = _leaver_base(spark, sf_dir).where(F.col("l_shipdate") >= F.col("o_orderdate"))
+def leaver_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned line items joined to order, customer and part (shared input
+    of the leaver views; stored once)."""
+    return _leaver_base(spark, sf_dir).select(
+        "employee_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+        "l_linestatus", "l_shipdate", "o_orderdate", "c_name", "c_mktsegment", "p_type", "p_brand")
+
+
+def hr_leavers(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    base = _leaver_base(spark, sf_dir) if base is None else base
+    j = base.where(F.col("l_shipdate") >= F.col("o_orderdate"))
     w = Window.partitionBy("employee_id").orderBy(
         F.col("l_shipdate").desc(), "l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus")
     j = j.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
@@ -162,9 +171,9 @@ def hr_leavers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_labels(spark: SparkSession, sf_dir: str, leavers: DataFrame | None = None) -> DataFrame:
     """Per stored leaver, a noisy model label (H2 input)."""
-    lv = hr_leavers(spark, sf_dir).select("employee_id")
+    lv = (hr_leavers(spark, sf_dir) if leavers is None else leavers).select("employee_id")
     # suppkey is recovered from the id's source row: re-derive from lineitem
     l = (load(spark, sf_dir, "lineitem")
          .select(F.concat_ws("-", F.col("l_orderkey").cast("string"),
@@ -206,14 +215,15 @@ def _dirty_department(p_type, linenumber, partkey):
             .otherwise(_pick(partkey % 5, JUNK_DEPARTMENTS)))
 
 
-def raw_leavers(spark: SparkSession, sf_dir: str, clean_even: bool = False) -> DataFrame:
+def raw_leavers(spark: SparkSession, sf_dir: str, clean_even: bool = False,
+                base: DataFrame | None = None) -> DataFrame:
     """Leaver landing rows as text, one file per ship month.
 
     With ``clean_even`` the files of even month index hold only clean rows
     (valid order, first row per id, ISO dates, correct service, exact
     department), so the gate (A12) has files to load.
     """
-    j = _leaver_base(spark, sf_dir)
+    j = _leaver_base(spark, sf_dir) if base is None else base
     j = (j.withColumn("file_name", F.concat(F.lit("leavers_"),
                                             F.date_format("l_shipdate", "yyyy_MM"), F.lit(".csv")))
           .withColumn("_mi", month_index(F.date_format("l_shipdate", "yyyy-MM"))))
@@ -249,11 +259,12 @@ def raw_leavers(spark: SparkSession, sf_dir: str, clean_even: bool = False) -> D
     )
 
 
-def raw_headcount(spark: SparkSession, sf_dir: str, clean_even: bool = False) -> DataFrame:
+def raw_headcount(spark: SparkSession, sf_dir: str, clean_even: bool = False,
+                  headcount: DataFrame | None = None) -> DataFrame:
     """Headcount landing rows as text, one file per month; broken cells on
     rows where (row_num + month index) % 11 == 0 (odd months only with
     ``clean_even``)."""
-    h = hr_headcount(spark, sf_dir)
+    h = hr_headcount(spark, sf_dir) if headcount is None else headcount
     w = Window.partitionBy("record_month").orderBy("project_name")
     h = (h.withColumn("row_num", F.row_number().over(w) + 1)
           .withColumn("_mi", month_index("record_month")))
@@ -458,13 +469,14 @@ def with_views(body: str, *names: str) -> str:
 
 
 SPARK_VIEWS = {
+    "leaver_base": leaver_base,
     "hr_headcount": hr_headcount,
     "hr_leavers": hr_leavers,
     "raw_labels": raw_labels,
     "raw_leavers": raw_leavers,
-    "raw_leavers_gated": lambda s, d: raw_leavers(s, d, clean_even=True),
+    "raw_leavers_gated": lambda s, d, **kw: raw_leavers(s, d, clean_even=True, **kw),
     "raw_headcount": raw_headcount,
-    "raw_headcount_gated": lambda s, d: raw_headcount(s, d, clean_even=True),
+    "raw_headcount_gated": lambda s, d, **kw: raw_headcount(s, d, clean_even=True, **kw),
     "registry": registry,
     "dirty_dimension": dirty_dimension,
 }
