@@ -1399,3 +1399,13 @@ def _q_incremental_ingest(spark, sf):
         start_ingest(spark, landing, "leavers", reg, tables, ckpt,
                      labels=V.raw_labels(spark, sf)).awaitTermination()
     return read_table(spark, tables, "leavers")
+
+
+_MART_SOURCES = [("kpis", "report_kpis"), ("net_change", "headcount_net_change_report"),
+                 ("project_rates", "period_comparison"), ("departments", "department_risk"),
+                 ("positions", "position_top10"), ("reasons", "reason_share"),
+                 ("voluntary", "voluntary_split"), ("tenure", "bracket_counts"),
+                 ("monthly_trend", "monthly_turnover_trend")]
+ORACLE["report_marts"] = " UNION ALL ".join(
+    f"SELECT '{mart}' AS mart, CAST(count(*) AS BIGINT) AS rows FROM ({ORACLE[src]}) s{i}"
+    for i, (mart, src) in enumerate(_MART_SOURCES))

@@ -182,9 +182,12 @@ def write_report_marts(marts: dict, root: str) -> dict:
     paths = {}
     for name, df in marts.items():
         path = f"{root.rstrip('/')}/{name}"
-        w = df.write.mode("overwrite")
         if "period_key" in df.columns:
-            w = w.partitionBy("period_key")
+            # sections are per-period aggregates (bounded per period by the
+            # distinct dimension values): one file per period folder
+            w = df.repartition("period_key").write.mode("overwrite").partitionBy("period_key")
+        else:
+            w = df.write.mode("overwrite")
         w.parquet(path)
         paths[name] = path
     return paths

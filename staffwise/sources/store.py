@@ -56,7 +56,8 @@ def _snapshot_key(spark: SparkSession, sf_dir: str, name: str) -> str:
         path = f"{sf_dir.rstrip('/')}/{t}.parquet"
         fs, p = _fs(spark, path)
         st = fs.getFileStatus(p)
-        h.update(f"{path}|{st.getLen()}|{st.getModificationTime()}".encode())
+        cs = fs.getContentSummary(p)  # a dataset may be a folder of many files
+        h.update(f"{path}|{cs.getLength()}|{cs.getFileCount()}|{st.getModificationTime()}".encode())
     return h.hexdigest()[:16]
 
 
