@@ -1409,3 +1409,43 @@ _MART_SOURCES = [("kpis", "report_kpis"), ("net_change", "headcount_net_change_r
 ORACLE["report_marts"] = " UNION ALL ".join(
     f"SELECT '{mart}' AS mart, CAST(count(*) AS BIGINT) AS rows FROM ({ORACLE[src]}) s{i}"
     for i, (mart, src) in enumerate(_MART_SOURCES))
+
+
+def _v(c):
+    return f"CAST({c} AS VARCHAR)"
+
+
+_REC3 = ("CASE WHEN early_turnover_count > 0 THEN '3. **Early-tenure safeguards**: ' || "
+         + _v("early_turnover_count")
+         + " || ' employees left within 6 months; review onboarding and hold manager check-ins "
+           "at 30, 60 and 90 days.' ELSE '3. **Keep engagement steady**: no early departures; keep "
+           "onboarding as it is and add regular feedback points for tenured staff.' END")
+_TREND = ("CASE WHEN difference > 0 THEN 'an increase of **+' || " + _v("difference") + " || '%**' "
+          "WHEN difference < 0 THEN 'a decrease of **' || " + _v("difference") + " || '%**' "
+          "ELSE 'no change' END")
+_BODY = " || ".join([
+    "'# Executive Summary - '", "current_label", "chr(10) || chr(10) || '## Overview' || chr(10)",
+    "'During **'", "current_label", "'**, **'", _v("total_departures"),
+    "'** employees left. The turnover rate was **'", _v("current_turnover"), "'%**, '", _TREND,
+    "' against the previous period ('", "previous_label", "' at **'", _v("previous_turnover"),
+    "'%**).' || chr(10) || chr(10) || '## Observations' || chr(10)",
+    "'- **Highest turnover project**: **'", "highest_turnover_project", "'** at **'",
+    _v("highest_turnover_rate"), "'%**.' || chr(10)",
+    "'- **Most affected department**: **'", "highest_dept", "'** with **'", _v("highest_dept_count"),
+    "'** departures.' || chr(10)",
+    "'- **Top reason**: **'''", "most_common_reason", "'''** ('", _v("most_common_reason_count"),
+    "' departures).' || chr(10)",
+    "'- **Early attrition**: **'", _v("early_turnover_count"),
+    "'** early departures (less than 6 months of service).' || chr(10)",
+    "'- **Average tenure**: **'", _v("average_service_length_months"),
+    "' months**.' || chr(10) || chr(10) || '## Recommendations' || chr(10)",
+    "'1. **Review '", "highest_dept", "'**: it has the most departures ('", _v("highest_dept_count"),
+    "'); run stay interviews there.' || chr(10)",
+    "'2. **Address '''", "most_common_reason",
+    "'''**: the leading reason; review the related policies.' || chr(10)", _REC3, "chr(10)"])
+_EMPTY = ("'# Executive Summary - ' || current_label || chr(10) || chr(10) || "
+          "'No headcount or departure records were found for the period **' || current_label || "
+          "'**. Load headcount and leaver files for this period first.'")
+ORACLE["period_narrative"] = (
+    "SELECT period_key, CASE WHEN total_departures = 0 AND current_turnover = 0.0 THEN "
+    + _EMPTY + " ELSE " + _BODY + " END AS narrative FROM (" + ORACLE["period_kpis"] + ") k")
