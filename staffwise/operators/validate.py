@@ -165,8 +165,12 @@ def leaver_checks(raw: DataFrame, existing_ids: DataFrame | None = None) -> Data
     w = Window.partitionBy("file_name", "_eid").orderBy("row_num")
     d = d.withColumn("_occ", F.when(~F.col("_blank_id"), F.row_number().over(w)))
     if existing_ids is not None:
-        ids = existing_ids.select(strip_ws("employee_id").alias("_eid")).distinct() \
-                          .withColumn("_exists", F.lit(True))
+        # semi-join the stored ids against this batch's ids (the small side is
+        # broadcast at run time), so the stored table is scanned, not shuffled
+        batch_ids = d.where(~F.col("_blank_id")).select("_eid").distinct()
+        ids = (existing_ids.select(strip_ws("employee_id").alias("_eid"))
+                           .join(batch_ids, "_eid", "left_semi").distinct()
+                           .withColumn("_exists", F.lit(True)))
         d = d.join(ids, "_eid", "left")
     else:
         d = d.withColumn("_exists", F.lit(None).cast("boolean"))
