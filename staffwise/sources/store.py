@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,8 +52,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _code_digest() -> str:
+    """Digest of the view definitions and storage layout: a code change
+    yields new table folders instead of reading stale builds."""
+    import inspect
+    h = hashlib.sha1(LAYOUT_VERSION.encode())
+    for mod in (V, sys.modules[__name__]):
+        h.update(inspect.getsource(mod).encode())
+    return h.hexdigest()
+
+
 def _snapshot_key(spark: SparkSession, sf_dir: str, name: str) -> str:
-    h = hashlib.sha1((name + LAYOUT_VERSION).encode())
+    h = hashlib.sha1((name + _code_digest()).encode())
     for t in SOURCES[name]:
         path = f"{sf_dir.rstrip('/')}/{t}.parquet"
         fs, p = _fs(spark, path)
@@ -103,5 +115,15 @@ def _stored(spark, sf_dir, name, build) -> DataFrame:
                    .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(key))
         else:
             w = df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        w.parquet(path)
+        # build in a private folder, then rename into place: concurrent
+        # builders never write into the same folder, and readers only ever
+        # see a complete table
+        tmp = f"{path}.building-{uuid.uuid4().hex}"
+        w.parquet(tmp)
+        fs, p = _fs(spark, path)
+        jvm = spark.sparkContext._jvm
+        if not fs.exists(p):
+            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), p)
+        if not _exists(spark, path + "/_SUCCESS"):
+            raise RuntimeError(f"stored table {path} was not committed")
     return spark.read.schema(schema).parquet(path).select(*cols)
