@@ -53,7 +53,11 @@ def hc_lv(spark, sf):
 
 
 def cal(lv):
-    return P.period_calendar(lv)
+    """The period calendar, materialized once per query: it is tiny (bounded
+    by the calendar) and used many times in a plan, and each use would
+    otherwise enumerate the fact table's rows again."""
+    from ..session import materialize
+    return materialize(P.period_calendar(lv), "periods")
 
 
 _PERIOD_RANGES = "SELECT period_key, start_mi, end_mi FROM periods"
