@@ -87,6 +87,14 @@ def project_rates(adj: DataFrame, lvc: DataFrame, ranges: DataFrame, keys,
                     r2(ratio_pct(lv, d)).alias("turnover_rate"))
 
 
+def _small(df: DataFrame, tag: str) -> DataFrame:
+    """Materialize a range table derived from the distinct months (bounded
+    by the calendar): it is used several times in a plan, and each use would
+    otherwise enumerate the facts' rows again."""
+    from ..session import materialize
+    return materialize(df, tag)
+
+
 def known_months(headcount: DataFrame, leavers: DataFrame) -> DataFrame:
     """Distinct months present in either table (bounded by the calendar)."""
     return (headcount.select("record_month").union(leavers.select("record_month")).distinct()
@@ -125,6 +133,7 @@ def monthly_comparison(headcount, leavers, pairs: DataFrame | None = None) -> Da
     else:
         pairs = pairs.select(month_index("current_month").alias("current_mi"),
                              month_index("compare_month").alias("compare_mi"))
+    pairs = _small(pairs, "pairs")
     months = (pairs.select(F.col("current_mi").alias("m"))
                    .union(pairs.select(F.col("compare_mi").alias("m"))).distinct()
                    .select(F.col("m").alias("start_mi"), F.col("m").alias("end_mi"),
@@ -157,8 +166,8 @@ def annual_trend(headcount, leavers) -> DataFrame:
     km = known_months(headcount, leavers)
     years = km.select(F.floor(F.col("mi") / 12).cast("int").alias("y")).distinct()
     spine = years.select(F.explode(F.sequence(F.col("y") * 12, F.col("y") * 12 + 11)).alias("mi"))
-    spine = spine.select(F.col("mi").alias("start_mi"), F.col("mi").alias("end_mi"),
-                         F.col("mi").alias("k"))
+    spine = _small(spine.select(F.col("mi").alias("start_mi"), F.col("mi").alias("end_mi"),
+                                F.col("mi").alias("k")), "year-spine")
     adj = adjusted_headcount(headcount)
     ov = overall_rates(adj, leaver_counts(leavers), spine, "k")
     tot = _monthly_adj(adj).select(F.col("mi").alias("k"), "adj_total")
@@ -170,8 +179,8 @@ def annual_trend(headcount, leavers) -> DataFrame:
 
 def _rolling_windows(headcount, leavers):
     km = known_months(headcount, leavers)
-    return km.select(F.col("mi").alias("end_mi"), (F.col("mi") - 11).alias("start_mi"),
-                     F.col("mi").alias("k"))
+    return _small(km.select(F.col("mi").alias("end_mi"), (F.col("mi") - 11).alias("start_mi"),
+                            F.col("mi").alias("k")), "rolling-windows")
 
 
 def rolling_12m(headcount, leavers) -> DataFrame:
@@ -289,8 +298,8 @@ def monthly_turnover_trend(headcount, leavers) -> DataFrame:
 def project_month_matrix(headcount, leavers) -> DataFrame:
     """G14 long form: per (project, month) one-month rate, label Mon-YY."""
     km = known_months(headcount, leavers)
-    months = km.select(F.col("mi").alias("start_mi"), F.col("mi").alias("end_mi"),
-                       F.col("mi").alias("k"))
+    months = _small(km.select(F.col("mi").alias("start_mi"), F.col("mi").alias("end_mi"),
+                              F.col("mi").alias("k")), "months")
     r = project_rates(adjusted_headcount(headcount), leaver_counts(leavers), months, "k")
     return r.select("project_name", month_text("k").alias("record_month"),
                     F.date_format(F.to_date(F.concat(month_text("k"), F.lit("-01"))), "MMM-yy")

@@ -135,8 +135,8 @@ def _q_rate_join(spark, sf):
     """Headcount side joined with leaver side per month (all months with
     data on either side); months with leavers but no headcount give 0.0."""
     hc, lv = hc_lv(spark, sf)
-    km = T.known_months(hc, lv).select(F.col("mi").alias("k"), F.col("mi").alias("start_mi"),
-                                       F.col("mi").alias("end_mi"))
+    km = T._small(T.known_months(hc, lv).select(F.col("mi").alias("k"), F.col("mi").alias("start_mi"),
+                                                F.col("mi").alias("end_mi")), "months")
     r = T.overall_rates(T.adjusted_headcount(hc), T.leaver_counts(lv), km, "k")
     return r.select(T.month_text("k").alias("record_month"), "leavers", "avg_headcount",
                     "turnover_rate")
