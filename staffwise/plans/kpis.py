@@ -38,8 +38,11 @@ def period_kpis(headcount: DataFrame, leavers: DataFrame, periods: DataFrame) ->
     pp = previous_period(periods).select("period_key", F.col("range_label").alias("current_label"),
                                          F.col("prev_range_label").alias("previous_label"))
     rates = _current_previous_rates(headcount, leavers, periods)
-    summ = DI.summary_metrics(leavers, periods)
-    early = DI.period_totals(leavers, periods).select("period_key", F.col("early_n").alias("early_turnover_count"))
+    tot = DI.period_totals(leavers, periods)  # one aggregate for mean service and early count
+    mean = F.when(F.col("service_n") > 0, F.col("service_sum") / F.col("service_n"))
+    summ = tot.select("period_key", "total_leavers",
+                      r2(F.coalesce(mean, F.lit(0.0))).alias("average_service_length_months"),
+                      F.col("early_n").alias("early_turnover_count"))
     high = T.highest_turnover_project(T.project_turnover(headcount, leavers, periods), periods)
     top = DI.top_affected(leavers, periods, top_n=1)
     tops = top.groupBy("period_key").agg(
@@ -48,7 +51,7 @@ def period_kpis(headcount: DataFrame, leavers: DataFrame, periods: DataFrame) ->
         F.max(F.when(F.col("dimension") == "reason", F.col("name"))).alias("most_common_reason"),
         F.max(F.when(F.col("dimension") == "reason", F.col("count"))).alias("most_common_reason_count"))
     j = (pp.join(rates, "period_key", "left").join(summ, "period_key", "left")
-           .join(early, "period_key", "left").join(high, "period_key", "left")
+           .join(high, "period_key", "left")
            .join(tops, "period_key", "left"))
     cur = F.coalesce("current_turnover", F.lit(0.0))
     prv = F.coalesce("previous_turnover", F.lit(0.0))
