@@ -42,7 +42,7 @@ KINDS = {"Project": "projects", "Department": "departments", "Position": "positi
 def bounded_registry(registry: DataFrame, max_rows: int = REGISTRY_BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast the registry only when its size is checked to be small;
     otherwise leave the join strategy to the planner."""
-    n = registry.count()
+    n = registry.limit(max_rows + 1).count()  # the check itself reads at most max_rows + 1 rows
     return F.broadcast(registry) if n <= max_rows else registry
 
 
