@@ -13,6 +13,23 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+    return secrets.summary(*secrets.scan(table(spark, sf_dir, "documents"), *ownership()))
+
+
+def ownership() -> tuple:
+    """Owner and repository of a document: its source, and source by language."""
+    return F.col("source"), F.concat_ws("/", "source", "lang")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "quality")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -23,6 +40,11 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_next(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chunk_bpe import encode_texts, keyed_texts
     keyed = keyed_texts(table(spark, sf_dir, "documents"))
@@ -32,5 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("doc_id", "key").join(by_text, "key").drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op8_document_fingerprints, op10_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op2_secret_scan, op6_quality_rules, op7_best_fit_packing, op8_document_fingerprints,
+    op9_license_scan, op10_bpe)}
 ORACLE: dict[str, str] = {}
