@@ -8,7 +8,7 @@ import pyarrow as pa
 
 ROWS_AT_ONCE = 256
 BYTES_AT_ONCE = 4_000_000
-TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
+TYPES = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
          "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 
 
@@ -20,8 +20,8 @@ def rows_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 
 def batches_of(rows: Iterable[tuple], ddl: str) -> Iterator[pa.RecordBatch]:
     """Record batches of about BYTES_AT_ONCE from tuples, by a DDL of simple types."""
-    fields = [f.split(" ") for f in ddl.split(", ")]
-    schema = pa.schema([(n, TYPES[t]) for n, t in fields])
+    fields = [f.rsplit(" ", 1) for f in ddl.split(", ")]
+    schema = pa.schema([(n.strip("`"), TYPES[t]) for n, t in fields])
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -38,3 +38,9 @@ def batches_of(rows: Iterable[tuple], ddl: str) -> Iterator[pa.RecordBatch]:
 def mapped(df, rows, ddl: str):
     """``df.mapInArrow`` with a generator from row tuples to row tuples."""
     return df.mapInArrow(lambda batches: batches_of(rows(rows_in(batches)), ddl), ddl)
+
+
+def mapped_more(df, rows, more: str):
+    """``mapped`` for rows that keep all columns of ``df`` (of simple types)
+    and get more."""
+    return mapped(df, rows, ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [more]))

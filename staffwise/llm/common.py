@@ -68,3 +68,35 @@ def text_key(col: str = "text") -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def id_remainder(divisor: int, col: str = "doc_id") -> Column:
+    """crc32 of the id as text (a null id counts as empty text), modulo."""
+    return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int, longest: int) -> list[tuple]:
+    """(label, text) of at most ``per_label`` rows of each label, for fitting a
+    classifier on the driver: those with the least hash of their text, among
+    texts of at most ``longest`` characters. ``rows`` has that label column
+    and ``text``. The hash limit follows each label's count, so about twice
+    the bound is collected, whatever the size of the input."""
+    rows = (rows.filter(F.col(label).isNotNull() & F.col("text").isNotNull()
+                        & (F.char_length("text") <= longest))
+            .select(F.col(label).alias("label"), "text",
+                    F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("_h")))
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return []
+    limit = F.lit(0)
+    for k, n in sorted(counts.items()):
+        share = min(1.0, (2 * per_label + 50) / n)
+        limit = F.when(F.col("label") == F.lit(k), int(share * (1 << 30))).otherwise(limit)
+    got = sorted({(r["label"], r["_h"], r["text"]) for r in rows.filter(F.col("_h") < limit)
+                  .dropDuplicates(["label", "_h"]).collect()}, key=lambda x: (str(x[0]), x[1], x[2]))
+    out, taken = [], {}
+    for k, _, text in got:
+        taken[k] = taken.get(k, 0) + 1
+        if taken[k] <= per_label:
+            out.append((k, text))
+    return out

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 from array import array
 
+import numpy as np
+
 # pieces whose ids one Python worker keeps at most; past it the store is emptied
-MEMO_PIECES = 600_000
+MEMO_PIECES = 1_500_000
+STOPS = frozenset(",.;:!?")
 
 
 def hard_whitespace(spec: dict) -> bool:
@@ -57,6 +60,10 @@ class Encoder:
         parts = spec.get("normalizer") or {}
         self.lowers = any(n.get("type") == "Lowercase" for n in [parts, *parts.get("normalizers", [])])
         self.openers = {t["content"][:2] for t in spec.get("added_tokens", [])}
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        vocab = self.lib.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.lib.get_vocab_size(), bool)  # tokens that end a word
+        self.ends[[i for w, i in vocab.items() if suffix and w.endswith(suffix)]] = True
         self.memo: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
@@ -76,10 +83,29 @@ class Encoder:
         if len(memo) > MEMO_PIECES:
             memo.clear()
             memo[""] = b""
+        # a word with a stop behind it is two tokenizer words: ids of each
         new = [p for p in set(pieces) if p not in memo]
+        stopped = [p for p in new if p[-1] in STOPS and p[:-1].isalpha()]
+        self._learn({p[:-1] for p in stopped} | {p[-1] for p in stopped}
+                    | set(new).difference(stopped))
+        for p in stopped:
+            memo[p] = memo[p[:-1]] + memo[p[-1]]
+        return b"".join(map(memo.__getitem__, pieces))
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode new pieces, plain words in one call: the ids of each end with
+        its only word-ending token."""
+        memo = self.memo
+        new = [p for p in pieces if p not in memo]
+        plain = [p for p in new if p.isascii() and p.isalpha()]
+        ids = np.array(self.lib.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) == len(plain):
+            raw = ids.tobytes()
+            memo.update(zip(plain, (raw[a:b] for a, b in zip([0, *ends], ends))))
+            new = [p for p in new if p not in memo]
         for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
             memo[p] = array("I", e.ids).tobytes()
-        return b"".join(map(memo.__getitem__, pieces))
 
     def text_of(self, ids: bytes) -> str:
         return self.lib.decode(memoryview(ids).cast("I").tolist(), skip_special_tokens=False)
