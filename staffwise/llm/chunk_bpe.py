@@ -95,7 +95,7 @@ def repaired(enc: Encoder, left: str, left_ids: bytes, fragment: str, right: str
     while True:
         a, b = _words(left, n, last=True), _words(right, n, last=False)
         a_ids, b_ids = enc.ids(a), enc.ids(b)
-        window = enc.whole(a + fragment + b)
+        window = enc.ids(a + fragment + b)
         if (left_ids.endswith(a_ids) and window.startswith(a_ids) and window.endswith(b_ids)
                 and len(window) >= len(a_ids) + len(b_ids)):
             return left_ids, window[len(a_ids):len(window) - len(b_ids)]
@@ -126,17 +126,39 @@ def join_chunks(enc: Encoder, parts: list[str], known: dict[int, bytes]) -> byte
     return b"".join(out)
 
 
-def chunk_rows(texts: DataFrame) -> DataFrame:
-    """(key, at, chunk): each chunk's hash by text and number."""
+def chunk_rows(keyed: DataFrame) -> DataFrame:
+    """(key, at, chunk): each chunk's hash by text and number; a text that a
+    task meets again is cut once."""
     def cut(rows):
-        last = None
+        seen = set()
         for key, text in rows:
-            if key != last:
+            if key not in seen:
+                seen.add(key)
                 for at, chunk in enumerate(chunks(text)):
                     yield key, at, chunk_hash(chunk)
-            last = key
 
-    return mapped(texts, cut, "key binary, at int, chunk binary").dropDuplicates(["key", "at"])
+    return mapped(keyed, cut, "key binary, at int, chunk binary")
+
+
+def distinct_texts(keyed: DataFrame) -> DataFrame:
+    """(key, packed): each distinct text once, compressed, since it is what
+    the shuffle carries."""
+    def pack(rows):
+        import zstandard
+        squeeze, seen = zstandard.ZstdCompressor(level=3).compress, set()
+        for key, text in rows:
+            if key not in seen:
+                seen.add(key)
+                yield key, squeeze(text.encode("utf-8"))
+
+    # keys are never null; saying so keeps inner and outer joins on one exchange
+    return (mapped(keyed, pack, "key binary, packed binary").filter("key is not null")
+            .dropDuplicates(["key"]))
+
+
+def unpacked(blob: bytes) -> str:
+    import zstandard
+    return zstandard.ZstdDecompressor().decompress(blob).decode("utf-8")
 
 
 def encode_texts(keyed: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -147,32 +169,33 @@ def encode_texts(keyed: DataFrame, tokenizer_path: str) -> DataFrame:
     ship(spark)
     spec = broadcast_tokenizer(spark, tokenizer_path)
     keyed = keyed.select("key", "text")
-    texts = keyed.dropDuplicates(["key"])
+    texts = distinct_texts(keyed)
 
+    # a chunk is reused if its first and last occurrence differ
     rows = staged(chunk_rows(keyed), "chunks")
-    shared = (rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"),
-                                        F.min(F.struct("key", "at")).alias("first"))
-              .filter("n > 1"))
+    place = F.struct("key", "at")
+    shared = (rows.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+              .filter("first <> last").select("chunk", "first"))
     owners = (shared.groupBy(F.col("first.key").alias("key"))
               .agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "chunk")).alias("todo")))
 
     def encode_owned(owned):
         enc = encoder(spec.value)
-        for _, text, todo in owned:
-            parts = chunks(text)
+        for _, packed, todo in owned:
+            parts = chunks(unpacked(packed))
             for item in todo:
                 part = parts[item["at"]]
                 a, b = inner(part)
                 yield item["chunk"], enc.ids(part[max(a, 0):max(b, 0)])
 
     encoded = mapped(texts.join(owners, "key"), encode_owned, "chunk binary, ids binary")
-    known = (rows.join(encoded, "chunk").groupBy("key")
+    known = (rows.join(encoded, "chunk").dropDuplicates(["key", "at"]).groupBy("key")
              .agg(F.collect_list(F.struct("at", "ids")).alias("known")))
 
     def finish(joined):
         enc = encoder(spec.value)
-        for key, text, have in joined:
-            parts = chunks(text)
+        for key, packed, have in joined:
+            parts = chunks(unpacked(packed))
             reused = {x["at"]: x["ids"] for x in have or []}
             ids = join_chunks(enc, parts, reused)
             yield key, len(ids) // 4, ids, enc.text_of(ids), len(parts), len(reused)

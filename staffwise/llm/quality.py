@@ -4,7 +4,7 @@ Rules vote good or poor on a document, or abstain. Their accuracies are
 estimated without labels by expectation-maximisation: each document is of an
 unseen class, good or poor; each rule that votes on it votes rightly with its
 accuracy for that class. The votes of all documents are counted by pattern (at
-most 3 to the number of rules, 729), so an iteration touches that table only.
+most a few thousand, whatever the input), so an iteration touches that table only.
 A document is kept if its posterior probability of being good is one half or
 more and it passes the base rules.
 
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, staged
 
-RULES = ["symbols", "repeated_words", "repeated_lines", "capitals", "vocabulary", "length"]
-#: Accuracies stay within these bounds, so that a good vote never counts
-#: against a document nor a poor one for it.
-ACCURACY = (0.05, 0.55, 0.999)
+RULES = ["symbols", "letters", "word_length", "repeated_words", "vocabulary", "repeated_lines", "capitals",
+         "length"]
+#: Bounds of the accuracies: a rule is right on most good documents, so that
+#: a poor vote always counts against a document and a good one for it.
+GOOD_ACCURACY = (0.97, 0.999)
+POOR_ACCURACY = (0.05, 0.999)
 PRIOR = (0.5, 0.99)
 
 
@@ -56,7 +58,7 @@ def _covered(windows: Column) -> Column:
 
 def measures(docs: DataFrame) -> DataFrame:
     """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words and, for the rules, _lines, _capitals, _distinct."""
+    n_repeat_words and, for the rules, _lines, _capitals, _letters, _distinct."""
     # each step's arrays are columns of their own, so that later expressions
     # read them instead of computing them again
     split = docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn(
@@ -75,25 +77,29 @@ def measures(docs: DataFrame) -> DataFrame:
         _covered(F.col("_h")).alias("n_repeat_words"),
         F.size("_l").alias("_lines"),
         F.char_length(F.regexp_replace("_t", r"[^A-ZÀ-ÖØ-Þ]+", "")).alias("_capitals"),
+        F.char_length(F.regexp_replace("_t", r"[^\p{L}]+", "")).alias("_letters"),
         F.size(F.array_distinct("_w")).alias("_distinct"))
 
 
 def votes() -> dict[str, Column]:
-    """Each rule's vote: 1 good, -1 poor, 0 abstains."""
+    """Each rule's vote: 1 good, -1 poor, 0 abstains. The last three speak
+    only against documents."""
     words = F.greatest(F.col("n_words"), F.lit(1))
+    chars = F.greatest(F.col("word_chars"), F.lit(1))
 
     def by(share: Column, good: float, poor: float) -> Column:
         return F.when(share <= good, 1).when(share > poor, -1).otherwise(0)
 
     said = {
         "symbols": by(F.col("n_symbols") / words, 0.02, 0.10),
+        "letters": by(1 - F.col("_letters") / chars, 0.08, 0.20),
+        "word_length": by(F.col("word_chars") / words, 6.2, 7.0),
         "repeated_words": by(F.col("n_repeat_words") / words, 0.15, 0.30),
-        "repeated_lines": F.when(F.col("_lines") < 3, 0).otherwise(
-            by(F.col("n_dup_lines") / F.greatest(F.col("_lines"), F.lit(1)), 0.0, 0.50)),
-        "capitals": by(F.col("_capitals") / F.greatest(F.col("word_chars"), F.lit(1)), 0.15, 0.40),
-        "vocabulary": F.when(F.col("n_words") < 50, 0).otherwise(
-            by(1 - F.col("_distinct") / words, 0.60, 0.75)),
-        "length": F.when(F.col("n_words") < 50, -1).when(F.col("n_words") < 80, 0).otherwise(1),
+        "vocabulary": by(1 - F.col("_distinct") / words, 0.60, 0.75),
+        "repeated_lines": F.when((F.col("_lines") >= 3) & (F.col("n_dup_lines") / F.greatest(
+            F.col("_lines"), F.lit(1)) > 0.5), -1).otherwise(0),
+        "capitals": F.when(F.col("_capitals") / chars > 0.4, -1).otherwise(0),
+        "length": F.when(F.col("n_words") < 50, -1).otherwise(0),
     }
     return {k: F.when(F.col("n_words") == 0, 0).otherwise(v).cast("int") for k, v in said.items()}
 
@@ -103,8 +109,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], tolerance: float = 1e-
     patterns: {"prior": p, "good": [...], "poor": [...]}, where good[r] is the
     probability that rule r's vote on a good document is right."""
     rules = len(patterns[0][0]) if patterns else len(RULES)
-    rare, low, high = ACCURACY
-    prior, good, poor = 0.9, [0.9] * rules, [0.6] * rules
+    prior, good, poor = 0.9, [0.98] * rules, [0.6] * rules
 
     def clip(x, a, b):
         return min(b, max(a, x))
@@ -123,10 +128,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], tolerance: float = 1e-
                     cast[r][0] += n * p
                     cast[r][1] += n * (1 - p)
         new_prior = clip(share / total, *PRIOR)
-        new_good = [clip(x[0] / y[0], low, high) for x, y in zip(right, cast)]
-        new_poor = [clip(x[1] / y[1], rare, high) for x, y in zip(right, cast)]
-        # a poor vote must speak against a document, a good one for it
-        new_poor = [max(q, 1.0 - g + 1e-6) for q, g in zip(new_poor, new_good)]
+        new_good = [clip(x[0] / y[0], *GOOD_ACCURACY) for x, y in zip(right, cast)]
+        new_poor = [clip(x[1] / y[1], *POOR_ACCURACY) for x, y in zip(right, cast)]
         moved = max(abs(a - b) for a, b in zip([new_prior, *new_good, *new_poor], [prior, *good, *poor]))
         prior, good, poor = new_prior, new_good, new_poor
         if moved < tolerance:
@@ -153,7 +156,7 @@ def probability(model: dict) -> Column:
 
 
 def count_patterns(voted: DataFrame) -> list[tuple[tuple[int, ...], int]]:
-    """Vote patterns of all documents with their counts (729 rows at most)."""
+    """Vote patterns of all documents with their counts (3 to the number of rules at most)."""
     names = [f"_v_{r}" for r in RULES]
     return sorted((tuple(r[n] for n in names), r["n"])
                   for r in voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect())
@@ -175,3 +178,8 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return (voted.withColumn("base_failed", base_failed()).withColumn("quality", probability(model))
             .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
             .drop(*[f"_v_{r}" for r in RULES]))
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that pass the base rules and are probably good."""
+    return judge(docs, docs.columns).filter("kept").select(*docs.columns)

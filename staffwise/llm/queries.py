@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .common import table
 
 
@@ -80,4 +81,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_secret_scan, op3_toxicity, op4_chat_formatting, op5_language_id, op6_quality_rules, op7_best_fit_packing, op8_document_fingerprints,
     op9_license_scan, op10_bpe)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracle.OP1, "op2_secret_scan": oracle.OP2,
+    "op4_chat_formatting": oracle.OP4, "op9_license_scan": oracle.OP9}

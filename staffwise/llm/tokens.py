@@ -62,8 +62,12 @@ class Encoder:
         self.openers = {t["content"][:2] for t in spec.get("added_tokens", [])}
         suffix = spec["model"].get("end_of_word_suffix") or ""
         vocab = self.lib.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(self.lib.get_vocab_size(), bool)  # tokens that end a word
+        size = 1 + max(self.lib.get_vocab(with_added_tokens=True).values(), default=0)
+        self.ends = np.zeros(size, bool)  # tokens that end a word
         self.ends[[i for w, i in vocab.items() if suffix and w.endswith(suffix)]] = True
+        # without a decoder the library joins the tokens with spaces
+        self.words = None if spec.get("decoder") else \
+            [self.lib.id_to_token(i) or "" for i in range(size)]
         self.memo: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
@@ -75,22 +79,26 @@ class Encoder:
         if self.lowers and not any(o in text for o in self.openers):
             text = text.encode("utf-8").lower().decode("utf-8")
         pieces = text.replace("\n", " ").split(" ")
+        got = list(map(self.memo.get, pieces))
+        if None in got:
+            missing = [i for i, ids in enumerate(got) if ids is None]
+            new = self._new({pieces[i] for i in missing})
+            for i in missing:
+                got[i] = new[pieces[i]]
+        return b"".join(got)
+
+    def _new(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not stored yet; a word with a stop behind it
+        is two tokenizer words, and its ids those of each."""
+        if len(self.memo) > MEMO_PIECES:
+            self.memo.clear()
+            self.memo[""] = b""
         memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-            memo[""] = b""
-        # a word with a stop behind it is two tokenizer words: ids of each
-        new = [p for p in set(pieces) if p not in memo]
-        stopped = [p for p in new if p[-1] in STOPS and p[:-1].isalpha()]
-        self._learn({p[:-1] for p in stopped} | {p[-1] for p in stopped}
-                    | set(new).difference(stopped))
+        stopped = [p for p in pieces if len(p) > 1 and p[-1] in STOPS and p[:-1].isalpha()]
+        self._learn({p[:-1] for p in stopped} | {p[-1] for p in stopped} | pieces.difference(stopped))
         for p in stopped:
             memo[p] = memo[p[:-1]] + memo[p[-1]]
-        return b"".join(map(memo.__getitem__, pieces))
+        return memo
 
     def _learn(self, pieces: set[str]) -> None:
         """Encode new pieces, plain words in one call: the ids of each end with
@@ -108,7 +116,10 @@ class Encoder:
             memo[p] = array("I", e.ids).tobytes()
 
     def text_of(self, ids: bytes) -> str:
-        return self.lib.decode(memoryview(ids).cast("I").tolist(), skip_special_tokens=False)
+        numbers = memoryview(ids).cast("I").tolist()
+        if self.words:
+            return " ".join(map(self.words.__getitem__, numbers))
+        return self.lib.decode(numbers, skip_special_tokens=False)
 
 
 _ENCODERS: dict[int, Encoder] = {}
