@@ -36,7 +36,7 @@ from .common import id_remainder, labelled_sample, ship
 SAMPLE = 1500         # labelled rows per class at most
 LONGEST = 20_000      # characters of a sampled text at most
 WINDOW, STEP = 32, 16
-BASE_BYTES, TOXIC_BYTES = 32_768, 1024
+BASE_BYTES, TOXIC_BYTES = 32_768, 1536
 LEVEL = 13
 CONTRAST = 6.0        # standard errors by which a word or stem is over-represented
 LEAST_SHARE = 0.01    # of the toxic texts that hold it
@@ -129,6 +129,15 @@ def trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def completed(content: bytes, samples: list[bytes]) -> bytes:
+    """A trained dictionary's content, with the most frequent samples that it
+    lacks in front as far as TOXIC_BYTES allows."""
+    for x, _ in Counter(samples).most_common():
+        if x not in content and len(content) + len(x) <= TOXIC_BYTES:
+            content = x + content
+    return content
+
+
 def fit(sample: list[tuple[int, str]], n_toxic: int, n_ordinary: int) -> dict | None:
     """The model, from (label, text) rows and the label counts of all rows;
     None if a class is missing."""
@@ -141,7 +150,7 @@ def fit(sample: list[tuple[int, str]], n_toxic: int, n_ordinary: int) -> dict |
     held = lambda x: [t for i, t in enumerate(x) if i % 3 == 0]
     around = fragments(learn(toxic), learn(ordinary))
     base = trained(BASE_BYTES, [w for t in learn(ordinary) for w in windows(t.encode("utf-8"))])
-    specific = trained(TOXIC_BYTES, around) if around else b""
+    specific = completed(trained(TOXIC_BYTES, around), around) if around else b""
     model = {"toxic": specific + base, "ordinary": base}
     scorer = Scorer(model)
     texts = held(toxic) + held(ordinary)

@@ -43,19 +43,19 @@ def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int, text string")
     got = T.classify(docs, none).collect()
     assert len(got) == len(EDGES) and all(r.score == 0.0 for r in got)
-    rows = EDGES + [(100 + i, f"{'vile slur' if i % 2 else 'kind note'} number {i} " * 20, "en") for i in range(60)]
-    labels = spark.createDataFrame([(100 + i, i % 2, "x") for i in range(60)] + [(1, None, "x"), (101, 1, "y")],
+    rows = EDGES + [(100 + i, f"{'vile slur' if i % 2 else 'kind note'} number {i} " * 20, "en") for i in range(150)]
+    labels = spark.createDataFrame([(100 + i, i % 2, "x") for i in range(150)] + [(1, None, "x"), (101, 1, "y")],
                                    "doc_id long, toxic int, text string")
     got = T.classify(documents(spark, rows), labels).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     assert by[1].score == by[2].score
-    assert all(by[100 + i].predicted == i % 2 for i in range(60))
+    assert all(by[100 + i].predicted == i % 2 for i in range(150))
     one = T.classify(documents(spark, rows), labels.filter("toxic = 1")).collect()
     assert {r.score for r in one} == {1.0}
     assert T.classify(docs.filter("doc_id < 0"), labels).count() == 0
     kept = T.without_toxic(documents(spark, rows), labels)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 30
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 75
 
 
 def test_windows_cover_whole_texts():
