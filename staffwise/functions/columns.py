@@ -19,12 +19,12 @@ def col(c) -> Column:
 # ---------------------------------------------------------------- numbers
 
 def r2(c) -> Column:
-    """Round half up to 2 places, written the same way in the SQL oracle."""
-    return F.floor(col(c) * 100 + 0.5) / 100
+    """Round to 2 places, ties to the even digit."""
+    return F.rint(col(c) * 100) / 100
 
 
 def r1(c) -> Column:
-    return F.floor(col(c) * 10 + 0.5) / 10
+    return F.rint(col(c) * 10) / 10
 
 
 def ratio_pct(num, den) -> Column:
@@ -77,7 +77,7 @@ def title_case(c) -> Column:
     pieces = F.regexp_extract_all(F.lower(col(c)), F.lit(r"(\p{L}+|\P{L}+)"), 1)
     return F.array_join(
         F.transform(pieces, lambda x: F.concat(F.upper(F.substring(x, 1, 1)),
-                                               F.substring(x, 2, 1 << 20))), "")
+                                               F.substring(x, F.lit(2), F.char_length(x)))), "")
 
 
 def clean_name(c) -> Column:

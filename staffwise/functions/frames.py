@@ -5,7 +5,9 @@ to one task; a landing file or month that holds a third of all rows would
 then be sorted by a single task. The helpers below number rows without that:
 rows are range-partitioned on the full sort key (so a hot group spreads over
 many partitions), counted per (group, partition), the few counts are
-prefix-summed, and each row adds its position inside its partition.
+prefix-summed, and each row adds its position inside its partition. The dealt
+rows are written once before they are counted: dealing them twice could draw
+other range bounds, and counts would not fit the rows any more.
 """
 
 from __future__ import annotations
@@ -17,11 +19,15 @@ from pyspark.sql import functions as F
 def _number(df: DataFrame, group: str, seq_cols: list[str], out: str) -> DataFrame:
     """Rows are already in (group, seq) order inside each chunk identified
     by ``seq_cols``; ``_mid`` increases with that order inside a chunk."""
+    from ..session import materialize
+    df = materialize(df, "numbered")
     chunks = (df.groupBy(group, *seq_cols)
                 .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0")))
     w = Window.partitionBy(group).orderBy(*seq_cols).rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    j = df.join(offsets.select(group, *seq_cols, "_off", "_m0"), [group, *seq_cols])
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"d.{c}")) for c in (group, *seq_cols)]
+    j = (df.alias("d").join(offsets.select(group, *seq_cols, "_off", "_m0").alias("o"), same)
+           .select("d.*", "o._off", "o._m0"))
     return (j.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("int"))
              .drop("_off", "_m0", "_mid", *seq_cols))
 

@@ -10,18 +10,15 @@ All candidate generation is by equi-join, never a Cartesian product:
 * alias (C3)   join on the fixed alias table;
 * prefix (C4)  the registry is exploded to its lower-case prefixes of length
                >= 4 and joined on the value;
-* fuzzy (C5)   each value is exploded to the canonical lengths that can still
-               reach the cutoff (a true bound for both similarity measures)
-               and joined on (kind, length); the score is then computed on
-               those pairs only;
-* cluster (C6) unmatched values are paired by a pigeonhole filter: a value is
-               cut into k+1 pieces, where k is the largest edit distance that
-               can still pass the cutoff, and any partner within k edits must
-               contain one piece verbatim; pairs are found by joining pieces
-               to substrings, verified, and merged by iterated min-label
-               propagation (connected components).
-
-The registry is a small, size-checked table and is broadcast.
+* fuzzy (C5)   for each length that a partner can have, a value is cut into
+               one piece more than edits are allowed, and joined to what the
+               registry names have near the same place; one piece of a true
+               partner is always unedited. Only such pairs are scored;
+* cluster (C6) unmatched values are paired with each other in the same way,
+               verified, and merged by iterated min-label propagation
+               (connected components).
+
+Join strategies are left to adaptive execution, which goes by measured sizes.
 """
 
 from __future__ import annotations
@@ -35,17 +32,10 @@ from pyspark.sql.types import DoubleType
 from ..functions import constants as K
 from ..functions.columns import clean_name
 
-REGISTRY_BROADCAST_MAX_ROWS = 1_000_000
+DEFAULT_MODE = "ratcliff"  # the specified measure; "levenshtein" is the other one
 KINDS = {"Project": "projects", "Department": "departments", "Position": "positions"}
 
 
-def bounded_registry(registry: DataFrame, max_rows: int = REGISTRY_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast the registry only when its size is checked to be small;
-    otherwise leave the join strategy to the planner."""
-    n = registry.limit(max_rows + 1).count()  # the check itself reads at most max_rows + 1 rows
-    return F.broadcast(registry) if n <= max_rows else registry
-
-
 def alias_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(K.ALIASES, "alias_key string, alias_canonical string")
 
@@ -69,19 +59,57 @@ def levenshtein_score(a, b):
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
-def _length_bounds(la, mode: str, cutoff: float):
-    """Admissible candidate lengths [lo, hi] for a value of length ``la``."""
+def _bounds(la, mode: str, cutoff: float):
+    """Admissible lengths [lo, hi] of a partner of a value of length ``la``."""
     eps = 1e-9
-    if mode == "ratcliff":  # 2*min/(la+lb) >= c
+    if mode == "ratcliff":  # 2 * min / (la + lb) >= c
         lo = F.ceil(la * cutoff / (2 - cutoff) - eps)
         hi = F.floor(la * (2 - cutoff) / cutoff + eps)
-    else:  # min/max >= c
+    else:  # min / max >= c
         lo = F.ceil(la * cutoff - eps)
         hi = F.floor(la / cutoff + eps)
     return F.greatest(lo, F.lit(1)).cast("int"), hi.cast("int")
 
 
-def normalize_values(values: DataFrame, registry: DataFrame, mode: str = "levenshtein",
+def _most_edits(la, lb, mode: str, cutoff: float):
+    """Largest number of edits between texts of these lengths that can still
+    reach the cutoff. Ratcliff-Obershelp matches m characters in order, so
+    la + lb - 2 m characters are inserted or deleted, and 2 m / (la + lb) >= c."""
+    if mode == "ratcliff":
+        return F.floor((1 - cutoff) * (la + lb) + 1e-9).cast("int")
+    return F.floor((1 - cutoff) * F.greatest(la, lb) + 1e-9).cast("int")
+
+
+def _left_pieces(df: DataFrame, text: str, mode: str, cutoff: float) -> DataFrame:
+    """Rows (columns of df, la, lb, i, piece): for each admissible partner
+    length the text cut into one piece more than edits are allowed, so one of
+    them stands unedited in the partner."""
+    lo, hi = _bounds(F.col("la"), mode, cutoff)
+    d = (df.withColumn("la", F.length(text)).withColumn("lb", F.explode(F.sequence(lo, hi)))
+           .withColumn("_k", F.least(_most_edits(F.col("la"), F.col("lb"), mode, cutoff) + 1, F.col("la")))
+           .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))))
+    return d.withColumn("piece", F.expr(
+        f"substring({text}, int(1 + floor(i * la / _k)), "
+        f"int(floor((i + 1) * la / _k) - floor(i * la / _k)))")).drop("_k")
+
+
+def _right_pieces(df: DataFrame, text: str, mode: str, cutoff: float) -> DataFrame:
+    """Rows (columns of df, la, lb, i, piece) of the partner's side: what
+    stands where piece i can have moved to, at most as far as there are edits."""
+    lo, hi = _bounds(F.col("lb"), mode, cutoff)
+    d = (df.withColumn("lb", F.length(text)).withColumn("la", F.explode(F.sequence(lo, hi)))
+           .withColumn("_d", _most_edits(F.col("la"), F.col("lb"), mode, cutoff))
+           .withColumn("_k", F.least(F.col("_d") + 1, F.col("la")))
+           .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+           .withColumn("_s", F.expr("int(floor(i * la / _k))"))
+           .withColumn("_n", F.expr("int(floor((i + 1) * la / _k))") - F.col("_s"))
+           .withColumn("_p", F.explode(F.expr(
+               "filter(sequence(_s - _d, _s + _d), x -> x >= 0 AND x + _n <= lb)"))))
+    return (d.withColumn("piece", F.expr(f"substring({text}, _p + 1, _n)"))
+             .drop("_d", "_k", "_s", "_n", "_p").distinct())
+
+
+def normalize_values(values: DataFrame, registry: DataFrame, mode: str = DEFAULT_MODE,
                      cutoff: float = K.FUZZY_CUTOFF, cluster: bool = False) -> DataFrame:
     """C1-C5, C7 (and C6 when ``cluster``) on distinct (kind, value).
 
@@ -89,8 +117,7 @@ def normalize_values(values: DataFrame, registry: DataFrame, mode: str = "levens
     exact, alias, prefix, fuzzy, cluster, none (canonical = cleaned).
     """
     spark = values.sparkSession
-    reg = bounded_registry(registry.select("kind", "ordinal", "canonical")
-                           .withColumn("lc", F.lower("canonical")))
+    reg = registry.select("kind", "ordinal", "canonical").withColumn("lc", F.lower("canonical"))
     from ..session import materialize
     # distinct values feed every step below: computed once, written once
     v = materialize(values.select("kind", "value").distinct()
@@ -111,9 +138,10 @@ def normalize_values(values: DataFrame, registry: DataFrame, mode: str = "levens
 
     early = exact.join(alias, ["kind", "cleaned"], "full").join(prefix, ["kind", "cleaned"], "full")
     rest = c.join(early.select("kind", "cleaned"), ["kind", "cleaned"], "left_anti")
-    lo, hi = _length_bounds(F.length("cleaned"), mode, cutoff)
-    cand = (rest.select("kind", "cleaned", F.explode(F.sequence(lo, hi)).alias("clen"))
-                .join(reg.withColumn("clen", F.length("canonical")), ["kind", "clen"]))
+    key = ["kind", "la", "lb", "i", "piece"]
+    cand = (_left_pieces(rest.select("kind", "cleaned"), "cleaned", mode, cutoff)
+            .join(_right_pieces(reg.select("kind", "canonical"), "canonical", mode, cutoff), key)
+            .select("kind", "cleaned", "canonical").distinct())
     score = (ratcliff_ratio(F.col("canonical"), F.col("cleaned")) if mode == "ratcliff"
              else levenshtein_score("cleaned", "canonical"))
     fuzzy = (cand.withColumn("score", score).where(F.col("score") >= cutoff)
@@ -144,53 +172,25 @@ def normalize_values(values: DataFrame, registry: DataFrame, mode: str = "levens
 
 # ------------------------------------------------------------------ C6
 
-def _max_edits(length_col, cutoff):
-    """Largest edit count k a partner of length <= len/cutoff may differ by."""
-    return F.floor((1 - cutoff) * F.floor(length_col / cutoff + 1e-9) + 1e-9).cast("int")
-
-
-def _pieces(df: DataFrame, cutoff: float) -> DataFrame:
-    """(kind, cleaned, piece): value cut into k+1 near-equal pieces."""
-    n = F.length("cleaned")
-    k1 = _max_edits(n, cutoff) + 1
-    d = df.withColumn("k1", F.least(k1, n)).withColumn("n", n)
-    d = d.select("kind", "cleaned", "n", "k1", F.explode(F.sequence(F.lit(0), F.col("k1") - 1)).alias("i"))
-    return d.select("kind", "cleaned",
-                    F.expr("substring(cleaned, 1 + floor(i * n / k1), "
-                           "floor((i + 1) * n / k1) - floor(i * n / k1))").alias("piece"))
-
-
-def _substrings(df: DataFrame, min_len: int = 1) -> DataFrame:
-    """(kind, cleaned, piece) for every substring of the value."""
-    n = F.length("cleaned")
-    d = df.select("kind", "cleaned", F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    d = d.select("kind", "cleaned", "s", F.explode(F.sequence(F.lit(min_len),
-                                                              F.length("cleaned") - F.col("s") + 1))
-                 .alias("l"))
-    return d.select("kind", "cleaned", F.expr("substring(cleaned, s, l)").alias("piece")).distinct()
-
-
-def similar_pairs(values: DataFrame, mode: str = "levenshtein",
+def similar_pairs(values: DataFrame, mode: str = DEFAULT_MODE,
                   cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
     """Verified pairs (kind, a, b), a < b, with similarity >= cutoff.
 
-    Exact candidate generation (no false negatives for the Levenshtein
-    measure): the shorter value is cut into pieces that cannot all be edited
-    away, and joined with the substrings of the longer one."""
+    Candidates come from the same pieces as in C5, of values against values,
+    so no pair is missed in either mode. Ratcliff-Obershelp depends on the
+    order of its arguments; a pair counts if either order reaches the cutoff."""
     vals = values.select("kind", "cleaned").distinct()
-    pa = _pieces(vals, cutoff).select("kind", F.col("cleaned").alias("a"), "piece").distinct()
-    sb = _substrings(vals).select("kind", F.col("cleaned").alias("b"), "piece")
-    cand = (pa.join(sb, ["kind", "piece"]).where(F.col("a") != F.col("b"))
-              .where(F.length("a") <= F.length("b")).select("kind", "a", "b").distinct())
-    score = (ratcliff_ratio(F.col("a"), F.col("b")) if mode == "ratcliff"
-             else levenshtein_score("a", "b"))
-    ok = cand.where(score >= cutoff)
-    return (ok.select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-              .distinct())
-
-
-def cluster_values(values: DataFrame, mode: str = "levenshtein", cutoff: float = K.FUZZY_CUTOFF,
-                   max_rounds: int = 50) -> DataFrame:
+    key = ["kind", "la", "lb", "i", "piece"]
+    cand = (_left_pieces(vals.withColumnRenamed("cleaned", "x"), "x", mode, cutoff)
+            .join(_right_pieces(vals.withColumnRenamed("cleaned", "y"), "y", mode, cutoff), key)
+            .where(F.col("x") != F.col("y"))
+            .select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    score = (F.greatest(ratcliff_ratio(F.col("a"), F.col("b")), ratcliff_ratio(F.col("b"), F.col("a")))
+             if mode == "ratcliff" else levenshtein_score("a", "b"))
+    return cand.where(score >= cutoff)
+
+
+def cluster_values(values: DataFrame, mode: str = DEFAULT_MODE, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
     """Connected components of similar unmatched values; canonical =
     longest member (ties: smallest text). Returns (kind, cleaned, cluster).
 
@@ -202,7 +202,7 @@ def cluster_values(values: DataFrame, mode: str = "levenshtein", cutoff: float =
     e = materialize(similar_pairs(vals, mode, cutoff), "cluster-edges")
     edges = e.unionByName(e.select("kind", F.col("b").alias("a"), F.col("a").alias("b")))
     labels = vals.select("kind", "cleaned", F.col("cleaned").alias("label"))
-    for _ in range(max_rounds):
+    while True:  # until no label changes
         nb = (edges.join(labels.select("kind", F.col("cleaned").alias("b"), F.col("label").alias("nl")),
                          ["kind", "b"])
                    .groupBy("kind", F.col("a").alias("cleaned")).agg(F.min("nl").alias("nl")))

@@ -56,6 +56,8 @@ def custom_period(spark: SparkSession, start_month: str, end_month: str) -> Data
     rejected, see README)."""
     if not start_month or not end_month:
         raise ValueError("custom period needs both start and end month (YYYY-MM)")
+    if assert_month(start_month) > assert_month(end_month):
+        raise ValueError(f"custom period ends before it starts: {start_month}, {end_month}")
     df = spark.range(1).select(
         F.lit("Custom").alias("period_type"),
         F.lit(f"{start_month} → {end_month}").alias("period_label"),

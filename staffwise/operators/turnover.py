@@ -7,7 +7,7 @@ history is one row per (project, month). Ranges (periods, rolling windows,
 comparison pairs) are small tables exploded to their months (D5) and
 equi-joined on the month index, so one plan evaluates every period at once.
 
-Rates: leavers / denominator * 100, rounded half-up to 2 places, 0.0 when
+Rates: leavers / denominator * 100, rounded to 2 places (ties to even), 0.0 when
 the denominator is missing or not positive.
 """
 
@@ -70,8 +70,9 @@ def overall_rates(adj: DataFrame, lvc: DataFrame, ranges: DataFrame, keys) -> Da
 def project_rates(adj: DataFrame, lvc: DataFrame, ranges: DataFrame, keys,
                   denominator: str = "mean") -> DataFrame:
     """Per (range, project): G3 (``mean`` of the project's adjusted headcount
-    over its months with data) or G4 (``sum`` over the range). Pairs with
-    neither headcount nor leavers in the range are omitted (rate 0.0)."""
+    over its months with data) or G4 (``sum`` over the range). Every project
+    that is known from either table has a row in every range, with zeros
+    where it has neither headcount nor leavers there."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     rm = range_months(ranges, keys)
     den = (rm.join(adj.select("project_name", "mi", "adj_headcount"), "mi")
@@ -79,7 +80,8 @@ def project_rates(adj: DataFrame, lvc: DataFrame, ranges: DataFrame, keys,
              .agg(F.sum("adj_headcount").alias("_s"), F.count("adj_headcount").alias("_n")))
     num = (rm.join(lvc.select("project_name", "mi", "leavers"), "mi")
              .groupBy(*keys, "project_name").agg(F.sum("leavers").alias("leavers")))
-    j = den.join(num, keys + ["project_name"], "full")
+    j = (project_spine(adj, lvc, ranges.select(*keys))
+         .join(den, keys + ["project_name"], "left").join(num, keys + ["project_name"], "left"))
     d = F.col("_s") / F.col("_n") if denominator == "mean" else F.col("_s")
     lv = F.coalesce("leavers", F.lit(0)).cast("long")
     return j.select(*keys, "project_name", lv.alias("leavers"),
@@ -87,6 +89,16 @@ def project_rates(adj: DataFrame, lvc: DataFrame, ranges: DataFrame, keys,
                     r2(ratio_pct(lv, d)).alias("turnover_rate"))
 
 
+def project_spine(adj: DataFrame, lvc: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``ranges`` with every known project: the list of names, one row, is
+    looked up as a scalar and exploded in each range."""
+    names = (adj.select("project_name").union(lvc.select("project_name")).distinct()
+             .where(F.col("project_name").isNotNull())
+             .agg(F.collect_list("project_name").alias("_names")))
+    one = ranges.withColumn("_one", F.lit(1)).join(F.broadcast(names.withColumn("_one", F.lit(1))), "_one")
+    return one.withColumn("project_name", F.explode("_names")).drop("_one", "_names")
+
+
 def _small(df: DataFrame, tag: str) -> DataFrame:
     """Materialize a range table derived from the distinct months (bounded
     by the calendar): it is used several times in a plan, and each use would
@@ -195,7 +207,7 @@ def rolling_12m(headcount, leavers) -> DataFrame:
 
 
 def rolling_12m_by_project(headcount, leavers) -> DataFrame:
-    """G7 per project (pairs with data in the window)."""
+    """G7 per project."""
     adj, lvc = adjusted_headcount(headcount), leaver_counts(leavers)
     r = project_rates(adj, lvc, _rolling_windows(headcount, leavers), "k")
     return r.select(month_text("k").alias("end_month"), "project_name",
@@ -252,7 +264,8 @@ def headcount_net_change(headcount, pairs: DataFrame | None = None) -> DataFrame
                .groupBy("key", "project_name").agg(F.sum("headcount").alias("current_headcount"))
     prv = pairs.join(h.withColumnRenamed("mi", "prev_mi"), "prev_mi") \
                .groupBy("key", "project_name").agg(F.sum("headcount").alias("previous_headcount"))
-    proj = cur.join(prv, ["key", "project_name"], "full")
+    spine = project_spine(h, h.limit(0), pairs.select("key").distinct())
+    proj = spine.join(cur, ["key", "project_name"], "left").join(prv, ["key", "project_name"], "left")
     tot = (proj.groupBy("key").agg(F.sum("current_headcount").alias("current_headcount"),
                                    F.sum("previous_headcount").alias("previous_headcount"))
                .withColumn("project_name", F.lit(None).cast("string")))

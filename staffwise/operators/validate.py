@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.columns import is_blank, parse_date, r2, strip_ws
-from .normalize import normalize_values
+from .normalize import DEFAULT_MODE, normalize_values
 
 ISSUE_COLUMNS = ["file_name", "row_num", "severity", "column", "value", "message"]
 
@@ -110,7 +110,7 @@ def _map_column(rows: DataFrame, mapping: DataFrame, names: DataFrame, colname:
                 .drop("_canon", "_in_registry"))
 
 
-def validate_headcount(raw: DataFrame, registry: DataFrame, mode: str = "levenshtein",
+def validate_headcount(raw: DataFrame, registry: DataFrame, mode: str = DEFAULT_MODE,
                        materialize: bool = True) -> dict:
     """Headcount files -> {'rows', 'valid', 'issues', 'report'}."""
     rows = headcount_rows(raw)
@@ -162,7 +162,10 @@ def leaver_checks(raw: DataFrame, existing_ids: DataFrame | None = None) -> Data
     eid = strip_ws("Employee ID")
     blank_id = is_blank("Employee ID")
     d = d.withColumn("_eid", eid).withColumn("_blank_id", blank_id)
-    w = Window.partitionBy("file_name", "_eid").orderBy("row_num")
+    # rows without an id are spread over groups of their own: nothing is
+    # numbered there, and they never meet in one task
+    apart = F.when(F.col("_blank_id"), F.col("row_num")).otherwise(F.lit(-1))
+    w = Window.partitionBy("file_name", "_eid", apart).orderBy("row_num")
     d = d.withColumn("_occ", F.when(~F.col("_blank_id"), F.row_number().over(w)))
     if existing_ids is not None:
         # semi-join the stored ids against this batch's ids (the small side is
@@ -270,7 +273,7 @@ LEAVER_KINDS = [("project_name", "projects", "Project"),
                 ("position", "positions", "Position")]
 
 
-def leaver_mapping(clean: DataFrame, registry: DataFrame, mode: str = "levenshtein") -> DataFrame:
+def leaver_mapping(clean: DataFrame, registry: DataFrame, mode: str = DEFAULT_MODE) -> DataFrame:
     values = None
     for colname, kind, _ in LEAVER_KINDS:
         v = clean.select(F.lit(kind).alias("kind"), F.col(colname).alias("value"))
@@ -305,7 +308,7 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 
 def validate_leavers(raw: DataFrame, registry: DataFrame, existing: DataFrame | None = None,
-                     mode: str = "levenshtein", materialize: bool = True) -> dict:
+                     mode: str = DEFAULT_MODE, materialize: bool = True) -> dict:
     """Leaver files -> {'checked', 'clean', 'mapping', 'valid', 'issues', 'report'}.
 
     With ``materialize`` the checked rows and the (small) value mapping are

@@ -17,6 +17,10 @@ from ..sources.store import stored
 from . import sqlparts as S
 from .sqlparts import MT, PCT, R1, R2, q
 
+# DuckDB has no Ratcliff-Obershelp measure (the operators' default), so queries
+# with SQL run the other one; norm_fuzzy_ratcliff runs the default
+SQL_MODE = "levenshtein"
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -257,8 +261,8 @@ SELECT key, project_name, CAST(coalesce(previous_headcount, 0) AS BIGINT) AS pre
        CAST(coalesce(current_headcount, 0) AS BIGINT) AS current_headcount,
        CAST(coalesce(current_headcount, 0) - coalesce(previous_headcount, 0) AS BIGINT) AS net_change,
        CASE WHEN coalesce(previous_headcount, 0) > 0 THEN
-         floor((coalesce(current_headcount, 0) - coalesce(previous_headcount, 0))
-               / coalesce(previous_headcount, 0) * 100 * 10 + 0.5) / 10 ELSE 0.0 END AS pct_change,
+         round_even((coalesce(current_headcount, 0) - coalesce(previous_headcount, 0))
+               / coalesce(previous_headcount, 0) * 100 * 10, 0) / 10 ELSE 0.0 END AS pct_change,
        CASE WHEN coalesce(current_headcount, 0) > coalesce(previous_headcount, 0) THEN 'Increase'
             WHEN coalesce(current_headcount, 0) < coalesce(previous_headcount, 0) THEN 'Decrease'
             ELSE 'No Change' END AS direction
@@ -268,10 +272,10 @@ FROM (SELECT * FROM proj UNION ALL SELECT * FROM tot) o""", "hc", *extra_parts,
                    FROM pairs JOIN hc ON hc.mi = pairs.cur_mi GROUP BY key, project_name"""),
         ("prv", """SELECT key, project_name, sum(headcount) AS previous_headcount
                    FROM pairs JOIN hc ON hc.mi = pairs.prev_mi GROUP BY key, project_name"""),
-        ("proj", """SELECT coalesce(c.key, p.key) AS key, coalesce(c.project_name, p.project_name)
-                          AS project_name, c.current_headcount, p.previous_headcount
-                   FROM cur c FULL OUTER JOIN prv p
-                   ON c.key = p.key AND c.project_name = p.project_name"""),
+        ("proj", """SELECT k.key, n.project_name, c.current_headcount, p.previous_headcount
+                   FROM (SELECT DISTINCT key FROM pairs) k
+                   CROSS JOIN (SELECT DISTINCT project_name FROM hc WHERE project_name IS NOT NULL) n
+                   LEFT JOIN cur c USING (key, project_name) LEFT JOIN prv p USING (key, project_name)"""),
         ("tot", """SELECT k.key, NULL AS project_name, t.current_headcount, t.previous_headcount
                    FROM (SELECT DISTINCT key FROM pairs) k LEFT JOIN (
                      SELECT key, sum(current_headcount) AS current_headcount,
@@ -921,7 +925,7 @@ LEFT JOIN (SELECT file_name, sum(e) AS e, sum(w) AS w FROM (
               JOIN hmap m ON m.value = o.project_name
               LEFT JOIN hnames n ON n.canonical = m.canonical""")]))
 def _q_quality_report_hc(spark, sf):
-    return VA.validate_headcount(V.raw_headcount(spark, sf), V.registry(spark, sf))["report"]
+    return VA.validate_headcount(V.raw_headcount(spark, sf), V.registry(spark, sf), mode=SQL_MODE)["report"]
 
 
 @register("month_from_filename", q(f"""
@@ -950,7 +954,7 @@ def _dirty_values(spark, sf):
 
 
 def _mapping(spark, sf):
-    return N.normalize_values(_dirty_values(spark, sf), V.registry(spark, sf))
+    return N.normalize_values(_dirty_values(spark, sf), V.registry(spark, sf), mode=SQL_MODE)
 
 
 _NORM_LOCAL = norm_ctes(_DIRTY_SQL, "SELECT * FROM registry")
@@ -983,7 +987,7 @@ def _q_norm_cluster(spark, sf):
     matched; rows-only check here, exact fixture in tests."""
     m = _mapping(spark, sf)
     unmatched = m.where(F.col("step") == "none").select("kind", "cleaned")
-    return N.cluster_values(unmatched)
+    return N.cluster_values(unmatched, mode=SQL_MODE)
 
 
 # ------------------------------------------------------------ G17 - G20
@@ -1177,7 +1181,7 @@ _G_PARTS = ("lvchkg", "lvcleang", "registry")
 
 
 def _gated_leavers(spark, sf):
-    res = VA.validate_leavers(V.raw_leavers(spark, sf, clean_even=True), V.registry(spark, sf))
+    res = VA.validate_leavers(V.raw_leavers(spark, sf, clean_even=True), V.registry(spark, sf), mode=SQL_MODE)
     return res, ST.gated_rows(res["valid"], res["report"])
 
 
@@ -1250,7 +1254,7 @@ _HCG_LOCAL = [(n, gated(s)) for n, s in [_HC_OK] + _HC_VALID_LOCAL + [
 
 
 def _gated_headcount(spark, sf):
-    res = VA.validate_headcount(V.raw_headcount(spark, sf, clean_even=True), V.registry(spark, sf))
+    res = VA.validate_headcount(V.raw_headcount(spark, sf, clean_even=True), V.registry(spark, sf), mode=SQL_MODE)
     return ST.gated_rows(res["valid"], res["report"])
 
 
@@ -1273,7 +1277,7 @@ def _q_upsert_hc(spark, sf):
 def _q_directory_audit(spark, sf):
     """Per landing file of both folders: valid flag, rows, error count."""
     a = _leaver_validation(spark, sf)["report"]
-    b = VA.validate_headcount(V.raw_headcount(spark, sf), V.registry(spark, sf))["report"]
+    b = VA.validate_headcount(V.raw_headcount(spark, sf), V.registry(spark, sf), mode=SQL_MODE)["report"]
     return a.unionByName(b).select("file_name", "file_type", "is_valid", "total_rows", "error_count")
 
 
@@ -1419,37 +1423,21 @@ def _v(c):
     return f"CAST({c} AS VARCHAR)"
 
 
-_REC3 = ("CASE WHEN early_turnover_count > 0 THEN '3. **Early-tenure safeguards**: ' || "
-         + _v("early_turnover_count")
-         + " || ' employees left within 6 months; review onboarding and hold manager check-ins "
-           "at 30, 60 and 90 days.' ELSE '3. **Keep engagement steady**: no early departures; keep "
-           "onboarding as it is and add regular feedback points for tenured staff.' END")
-_TREND = ("CASE WHEN difference > 0 THEN 'an increase of **+' || " + _v("difference") + " || '%**' "
-          "WHEN difference < 0 THEN 'a decrease of **' || " + _v("difference") + " || '%**' "
-          "ELSE 'no change' END")
-_BODY = " || ".join([
-    "'# Executive Summary - '", "current_label", "chr(10) || chr(10) || '## Overview' || chr(10)",
-    "'During **'", "current_label", "'**, **'", _v("total_departures"),
-    "'** employees left. The turnover rate was **'", _v("current_turnover"), "'%**, '", _TREND,
-    "' against the previous period ('", "previous_label", "' at **'", _v("previous_turnover"),
-    "'%**).' || chr(10) || chr(10) || '## Observations' || chr(10)",
-    "'- **Highest turnover project**: **'", "highest_turnover_project", "'** at **'",
-    _v("highest_turnover_rate"), "'%**.' || chr(10)",
-    "'- **Most affected department**: **'", "highest_dept", "'** with **'", _v("highest_dept_count"),
-    "'** departures.' || chr(10)",
-    "'- **Top reason**: **'''", "most_common_reason", "'''** ('", _v("most_common_reason_count"),
-    "' departures).' || chr(10)",
-    "'- **Early attrition**: **'", _v("early_turnover_count"),
-    "'** early departures (less than 6 months of service).' || chr(10)",
-    "'- **Average tenure**: **'", _v("average_service_length_months"),
-    "' months**.' || chr(10) || chr(10) || '## Recommendations' || chr(10)",
-    "'1. **Review '", "highest_dept", "'**: it has the most departures ('", _v("highest_dept_count"),
-    "'); run stay interviews there.' || chr(10)",
-    "'2. **Address '''", "most_common_reason",
-    "'''**: the leading reason; review the related policies.' || chr(10)", _REC3, "chr(10)"])
-_EMPTY = ("'# Executive Summary - ' || current_label || chr(10) || chr(10) || "
-          "'No headcount or departure records were found for the period **' || current_label || "
-          "'**. Load headcount and leaver files for this period first.'")
+_LINE1 = "'Executive Summary - ' || current_label"
+_BODY = " || chr(10) || ".join([
+    _LINE1,
+    f"""'rate: ' || {_v('current_turnover')} || '% | against ' || previous_label || ' ('
+        || {_v('previous_turnover')} || '%): ' || CASE WHEN difference > 0 THEN 'up ' || {_v('difference')}
+             WHEN difference < 0 THEN 'down ' || {_v('abs(difference)')} ELSE 'unchanged' END
+        || ' | departures: ' || {_v('total_departures')}
+        || ' | mean service in months: ' || {_v('average_service_length_months')}""",
+    f"'by project: ' || highest_turnover_project || ' ' || {_v('highest_turnover_rate')} || '%'",
+    f"'by department: ' || highest_dept || ' ' || {_v('highest_dept_count')}",
+    f"'by reason: ' || most_common_reason || ' ' || {_v('most_common_reason_count')}",
+    f"'**' || {_v('early_turnover_count')} || '** early departures'",
+    """'look at: ' || highest_dept || '; ' || most_common_reason
+        || CASE WHEN early_turnover_count > 0 THEN '; first six months of service' ELSE '' END"""])
+_EMPTY = _LINE1 + " || chr(10) || 'Nothing recorded.'"
 ORACLE["period_narrative"] = (
     "SELECT period_key, CASE WHEN total_departures = 0 AND current_turnover = 0.0 THEN "
     + _EMPTY + " ELSE " + _BODY + " END AS narrative FROM (" + ORACLE["period_kpis"] + ") k")

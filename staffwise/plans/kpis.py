@@ -123,45 +123,32 @@ def _num(c):
 
 
 def period_narrative(kpis: DataFrame) -> DataFrame:
-    """Deterministic summary text per period from G17 (trend phrase,
-    three recommendations; the third depends on the early count; a 'no
-    data' text when departures and rate are both zero)."""
-    d = F.col("difference")
-    trend = (F.when(d > 0, F.concat(F.lit("an increase of **+"), _num("difference"), F.lit("%**")))
-              .when(d < 0, F.concat(F.lit("a decrease of **"), _num("difference"), F.lit("%**")))
-              .otherwise(F.lit("no change")))
-    rec3 = F.when(F.col("early_turnover_count") > 0, F.concat(
-        F.lit("3. **Early-tenure safeguards**: "), _num("early_turnover_count"),
-        F.lit(" employees left within 6 months; review onboarding and hold manager check-ins "
-              "at 30, 60 and 90 days."))).otherwise(F.lit(
-        "3. **Keep engagement steady**: no early departures; keep onboarding as it is and add "
-        "regular feedback points for tenured staff."))
-    body = F.concat(
-        F.lit("# Executive Summary - "), F.col("current_label"), F.lit("\n\n## Overview\n"),
-        F.lit("During **"), F.col("current_label"), F.lit("**, **"), _num("total_departures"),
-        F.lit("** employees left. The turnover rate was **"), _num("current_turnover"),
-        F.lit("%**, "), trend, F.lit(" against the previous period ("), F.col("previous_label"),
-        F.lit(" at **"), _num("previous_turnover"), F.lit("%**).\n\n## Observations\n"),
-        F.lit("- **Highest turnover project**: **"), F.col("highest_turnover_project"),
-        F.lit("** at **"), _num("highest_turnover_rate"), F.lit("%**.\n"),
-        F.lit("- **Most affected department**: **"), F.col("highest_dept"), F.lit("** with **"),
-        _num("highest_dept_count"), F.lit("** departures.\n"),
-        F.lit("- **Top reason**: **'"), F.col("most_common_reason"), F.lit("'** ("),
-        _num("most_common_reason_count"), F.lit(" departures).\n"),
-        F.lit("- **Early attrition**: **"), _num("early_turnover_count"),
-        F.lit("** early departures (less than 6 months of service).\n"),
-        F.lit("- **Average tenure**: **"), _num("average_service_length_months"),
-        F.lit(" months**.\n\n## Recommendations\n"),
-        F.lit("1. **Review "), F.col("highest_dept"), F.lit("**: it has the most departures ("),
-        _num("highest_dept_count"), F.lit("); run stay interviews there.\n"),
-        F.lit("2. **Address '"), F.col("most_common_reason"),
-        F.lit("'**: the leading reason; review the related policies.\n"), rec3, F.lit("\n"))
-    empty = F.concat(F.lit("# Executive Summary - "), F.col("current_label"),
-                     F.lit("\n\nNo headcount or departure records were found for the period **"),
-                     F.col("current_label"),
-                     F.lit("**. Load headcount and leaver files for this period first."))
-    none = (F.col("total_departures") == 0) & (F.col("current_turnover") == 0.0)
-    return kpis.select("period_key", F.when(none, empty).otherwise(body).alias("narrative"))
+    """A text per period made of its KPI row: the rate and how it moved,
+    where departures concentrate, and what to look at; a short note where
+    nothing was recorded."""
+    c = F.col
+    moved = (F.when(c("difference") > 0, F.concat(F.lit("up "), _num("difference")))
+              .when(c("difference") < 0, F.concat(F.lit("down "), F.abs(c("difference")).cast("string")))
+              .otherwise(F.lit("unchanged")))
+    look_at = F.concat_ws("; ", c("highest_dept"), c("most_common_reason"),
+                          F.when(c("early_turnover_count") > 0, "first six months of service"))
+    lines = [
+        F.concat(F.lit("Executive Summary - "), c("current_label")),
+        F.concat_ws(" | ", F.concat(F.lit("rate: "), _num("current_turnover"), F.lit("%")),
+                    F.concat(F.lit("against "), c("previous_label"), F.lit(" ("), _num("previous_turnover"),
+                             F.lit("%): "), moved),
+                    F.concat(F.lit("departures: "), _num("total_departures")),
+                    F.concat(F.lit("mean service in months: "), _num("average_service_length_months"))),
+        F.concat(F.lit("by project: "), c("highest_turnover_project"), F.lit(" "),
+                 _num("highest_turnover_rate"), F.lit("%")),
+        F.concat(F.lit("by department: "), c("highest_dept"), F.lit(" "), _num("highest_dept_count")),
+        F.concat(F.lit("by reason: "), c("most_common_reason"), F.lit(" "), _num("most_common_reason_count")),
+        F.concat(F.lit("**"), _num("early_turnover_count"), F.lit("** early departures")),
+        F.concat(F.lit("look at: "), look_at),
+    ]
+    empty = F.concat(lines[0], F.lit("\nNothing recorded."))
+    none = (c("total_departures") == 0) & (c("current_turnover") == 0.0)
+    return kpis.select("period_key", F.when(none, empty).otherwise(F.concat_ws("\n", *lines)).alias("narrative"))
 
 
 def report_marts(headcount: DataFrame, leavers: DataFrame, periods: DataFrame) -> dict:

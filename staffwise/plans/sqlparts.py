@@ -21,11 +21,11 @@ def MT(x: str) -> str:
 
 
 def R2(x: str) -> str:
-    return f"(floor(({x}) * 100 + 0.5) / 100)"
+    return f"(round_even(({x}) * 100, 0) / 100)"
 
 
 def R1(x: str) -> str:
-    return f"(floor(({x}) * 10 + 0.5) / 10)"
+    return f"(round_even(({x}) * 10, 0) / 10)"
 
 
 def PCT(num: str, den: str) -> str:
@@ -196,15 +196,17 @@ def project_rates(ranges: str, keys: list[str], denominator: str = "mean") -> st
     rm = range_months(ranges, keys)
     d = "den._s / den._n" if denominator == "mean" else "den._s"
     return f"""(
-  SELECT {", ".join(f'coalesce(den.{x}, num.{x}) AS {x}' for x in keys + ['project_name'])},
+  SELECT {", ".join('sp.' + x for x in keys + ['project_name'])},
          CAST(coalesce(num.leavers, 0) AS BIGINT) AS leavers,
          {d} AS headcount_denominator,
          {R2(PCT('coalesce(num.leavers, 0)', d))} AS turnover_rate
-  FROM (SELECT {kk}, sum(adj_headcount) AS _s, count(adj_headcount) AS _n
-        FROM {rm} rm JOIN adj USING (mi) GROUP BY {kk}) den
-  FULL OUTER JOIN (SELECT {kk}, sum(leavers) AS leavers
-        FROM {rm} rm JOIN lvc USING (mi) GROUP BY {kk}) num
-  ON {" AND ".join(f'den.{x} = num.{x}' for x in keys + ['project_name'])})"""
+  FROM (SELECT * FROM (SELECT {k} FROM ({ranges}) r1) r CROSS JOIN (
+          SELECT project_name FROM adj UNION SELECT project_name FROM lvc) names
+        WHERE project_name IS NOT NULL) sp
+  LEFT JOIN (SELECT {kk}, sum(adj_headcount) AS _s, count(adj_headcount) AS _n
+        FROM {rm} rm JOIN adj USING (mi) GROUP BY {kk}) den USING ({kk})
+  LEFT JOIN (SELECT {kk}, sum(leavers) AS leavers
+        FROM {rm} rm JOIN lvc USING (mi) GROUP BY {kk}) num USING ({kk}))"""
 
 
 PARTS["ptot"] = (["periods", "lv", "pm"], """

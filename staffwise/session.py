@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_LOCAL: dict[str, str] = {}  # checkpoint folders of local sessions without the setting
+
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.driver.memory": "12g",
@@ -35,15 +39,21 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a folder under the system temp dir is set.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a
+    local master (tests) gets a folder under the system temp dir; on a cluster,
+    whose machines do not share such a folder, that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = os.path.join(os.environ.get("TMPDIR", "/tmp"), "staffwise-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = _LOCAL.get(spark.sparkContext.applicationId)
+    if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver "
+                               "and all executors share")
+        d = tempfile.mkdtemp(prefix="staffwise-checkpoints-")
+        _LOCAL[spark.sparkContext.applicationId] = d
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

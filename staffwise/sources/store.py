@@ -6,7 +6,9 @@ landing rows, labels and the registry are files. Here they are derived from
 the supplied tables; ``stored(spark, sf_dir, name)`` builds a view once per
 source snapshot into the shared checkpoint folder and reads it back with an
 explicit schema. The snapshot key covers the source paths, sizes and
-modification times, so changed inputs produce a new build, never a stale read.
+modification times of every file, so changed inputs produce a new build. A
+build gets a folder of its own; a small pointer file, created by a rename that
+only one builder can win, names the one that readers use.
 
 Set STAFFWISE_MATERIALIZE=0 to compute the views inline instead.
 """
@@ -25,7 +27,7 @@ from . import testviews as V
 
 PARTITIONED = {"hr_headcount": "record_month", "hr_leavers": "record_month"}
 MAX_RECORDS_PER_FILE = 2_000_000
-LAYOUT_VERSION = "4"
+LAYOUT_VERSION = "5"
 # views built from another stored view: name -> (keyword, stored input)
 DERIVED = {"hr_leavers": ("base", "leaver_base"), "raw_leavers": ("base", "leaver_base"),
            "raw_leavers_gated": ("base", "leaver_base"), "raw_labels": ("leavers", "hr_leavers"),
@@ -53,11 +55,15 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _code_digest() -> str:
-    """Digest of the view definitions and storage layout: a code change
-    yields new table folders instead of reading stale builds."""
+    """Digest of the view definitions, of all modules they compute with, and of
+    the storage layout: a code change yields new table folders instead of
+    reading stale builds."""
     import inspect
+
+    from .. import session
+    from ..functions import columns, constants, frames
     h = hashlib.sha1(LAYOUT_VERSION.encode())
-    for mod in (V, sys.modules[__name__]):
+    for mod in (V, columns, constants, frames, session, sys.modules[__name__]):
         h.update(inspect.getsource(mod).encode())
     return h.hexdigest()
 
@@ -67,9 +73,11 @@ def _snapshot_key(spark: SparkSession, sf_dir: str, name: str) -> str:
     for t in SOURCES[name]:
         path = f"{sf_dir.rstrip('/')}/{t}.parquet"
         fs, p = _fs(spark, path)
-        st = fs.getFileStatus(p)
-        cs = fs.getContentSummary(p)  # a dataset may be a folder of many files
-        h.update(f"{path}|{cs.getLength()}|{cs.getFileCount()}|{st.getModificationTime()}".encode())
+        files, each = [], fs.listFiles(p, True)  # a dataset may be a folder of many files
+        while each.hasNext():
+            st = each.next()
+            files.append(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}")
+        h.update("\n".join([path, *sorted(files)]).encode())
     return h.hexdigest()[:16]
 
 
@@ -78,6 +86,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+POINTER = "CURRENT"
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The build that the pointer names, if a build was committed."""
+    if not _exists(spark, f"{path}/{POINTER}"):
+        return None
+    fs, p = _fs(spark, f"{path}/{POINTER}")
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _commit(spark: SparkSession, path: str, build: str) -> str:
+    """Make ``build`` the current one unless another builder was first; returns
+    the current build. A rename never replaces an existing pointer."""
+    fs, target = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(target):
+        _, tmp = _fs(spark, f"{path}/{POINTER}.{build}")
+        out = fs.create(tmp, False)
+        out.write(bytearray(build.encode()))
+        out.close()
+        if not fs.rename(tmp, target):
+            fs.delete(tmp, False)
+    return _current(spark, path)
+
+
 def enabled() -> bool:
     return os.environ.get("STAFFWISE_MATERIALIZE", "1") != "0"
 
@@ -109,24 +146,18 @@ def _stored(spark, sf_dir, name, build) -> DataFrame:
     else:
         df = build(spark, sf_dir)
     schema, cols = df.schema, df.columns
-    if not _exists(spark, path + "/_SUCCESS"):
+    build = _current(spark, path)
+    if build is None:
         if name in PARTITIONED:
-            # cluster rows of a month together (few files per partition);
-            # a hot month is split into several files by the record cap
+            # rows of a month stay together as far as the number of tasks
+            # allows; ranges over (month, rest of the row's key) split a hot month
             key = PARTITIONED[name]
-            w = (df.repartitionByRange(key).write.mode("overwrite")
+            spread = [c for c in ("employee_id", "project_name") if c in cols][:1]
+            w = (df.repartitionByRange(key, *spread).write.mode("overwrite")
                    .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy(key))
         else:
             w = df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        # build in a private folder, then rename into place: concurrent
-        # builders never write into the same folder, and readers only ever
-        # see a complete table
-        tmp = f"{path}.building-{uuid.uuid4().hex}"
-        w.parquet(tmp)
-        fs, p = _fs(spark, path)
-        jvm = spark.sparkContext._jvm
-        if not fs.exists(p):
-            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), p)
-        if not _exists(spark, path + "/_SUCCESS"):
-            raise RuntimeError(f"stored table {path} was not committed")
-    return spark.read.schema(schema).parquet(path).select(*cols)
+        mine = f"build-{uuid.uuid4().hex}"
+        w.parquet(f"{path}/{mine}")
+        build = _commit(spark, path, mine)
+    return spark.read.schema(schema).parquet(f"{path}/{build}").select(*cols)

@@ -8,10 +8,10 @@ spelling of month formatting and day differences changes between the two.
 Mapping (all derived from the tables, so the work grows with them):
 
 * hr_headcount  orders x customer: project = segment, month of the order date,
-                headcount = distinct customers; BUILDING is dropped in every
-                July so that calendar gaps exist.
-* hr_leavers    returned line items ('R') shipped on/after the order date;
-                one row per employee id (orderkey-linenumber).
+                headcount = distinct customers; BUILDING counts its Julys
+                under June, so that calendar gaps exist.
+* hr_leavers    line items shipped on/after the order date; one row per
+                employee id (orderkey-linenumber).
 * raw_leavers   the same rows before date filter and dedupe, as file text,
                 with varied date spellings, broken service values and dirty
                 department names; one landing file per ship month.
@@ -81,7 +81,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- helpers
 
 def _cap(c):
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.char_length(c))))
 
 
 def _pick(index_col, values):
@@ -114,14 +114,15 @@ def hr_headcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey)
-    j = j.where(~((F.col("c_mktsegment") == "BUILDING") & (F.month("o_orderdate") == 7)))
+    gap = (F.col("c_mktsegment") == "BUILDING") & (F.month("o_orderdate") == 7)
+    counted = F.when(gap, F.add_months("o_orderdate", -1)).otherwise(F.to_date("o_orderdate"))
     return (j.groupBy(_cap(F.col("c_mktsegment")).alias("project_name"),
-                      F.date_format("o_orderdate", "yyyy-MM").alias("record_month"))
+                      F.date_format(counted, "yyyy-MM").alias("record_month"))
              .agg(F.countDistinct("o_custkey").cast("long").alias("headcount")))
 
 
 def _leaver_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = load(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    l = load(spark, sf_dir, "lineitem")
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     p = load(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
@@ -137,11 +138,11 @@ _ROW_ORDER = ["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppke
 
 
 def leaver_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned line items joined to order, customer and part (shared input
+    """All line items joined to order, customer and part (shared input
     of the leaver views; stored once)."""
     return _leaver_base(spark, sf_dir).select(
         "employee_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-        "l_linestatus", "l_shipdate", "o_orderdate", "c_name", "c_mktsegment", "p_type", "p_brand")
+        "l_linestatus", "l_returnflag", "l_shipdate", "o_orderdate", "c_name", "c_mktsegment", "p_type", "p_brand")
 
 
 def hr_leavers(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
@@ -163,7 +164,8 @@ def hr_leavers(spark: SparkSession, sf_dir: str, base: DataFrame | None = None)
         dol.alias("date_of_leaving"),
         r2(F.datediff(dol, doj) / 30.4375).alias("length_of_service_months"),
         F.when(F.col("l_partkey") % 17 == 0, F.lit(None).cast("string"))
-         .when(F.col("l_linestatus") == "F", "Terminated").otherwise("Resigned").alias("status"),
+         .when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R"), "Terminated")
+         .otherwise("Resigned").alias("status"),
         _pick(reason_ix, REASON_PHRASES).alias("original_reason"),
         F.when(F.col("l_suppkey") % 4 == 0, F.lit(None).cast("string"))
          .otherwise(_pick(reason_ix, REVIEWED_CATEGORY)).alias("ai_category"),
@@ -219,34 +221,40 @@ def raw_leavers(spark: SparkSession, sf_dir: str, clean_even: bool = False,
                 base: DataFrame | None = None) -> DataFrame:
     """Leaver landing rows as text, one file per ship month.
 
-    With ``clean_even`` the files of even month index hold only clean rows
-    (valid order, first row per id, ISO dates, correct service, exact
-    department), so the gate (A12) has files to load.
+    With ``clean_even`` the rows in files of even month index are mended
+    (dates in order, an id of its own for each repeated row, ISO dates, correct
+    service, exact department), so the gate (A12) has files to load. In the
+    other files some ids and required cells are blank.
     """
     j = _leaver_base(spark, sf_dir) if base is None else base
     j = (j.withColumn("file_name", F.concat(F.lit("leavers_"),
                                             F.date_format("l_shipdate", "yyyy_MM"), F.lit(".csv")))
           .withColumn("_mi", month_index(F.date_format("l_shipdate", "yyyy-MM"))))
-    days = F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))
     if clean_even:
         even = F.col("_mi") % 2 == 0
         wid = Window.partitionBy("file_name", "employee_id").orderBy(*_ROW_ORDER)
-        j = (j.withColumn("_first", F.row_number().over(wid) == 1)
-              .where(~even | ((F.col("l_shipdate") >= F.col("o_orderdate")) & F.col("_first"))))
+        j = (j.withColumn("_again", F.row_number().over(wid))
+              .withColumn("employee_id", F.when(even & (F.col("_again") > 1), F.concat_ws(
+                  "-", "employee_id", F.col("_again").cast("string"))).otherwise(F.col("employee_id")))
+              .withColumn("o_orderdate", F.when(even, F.least("o_orderdate", "l_shipdate"))
+                          .otherwise(F.col("o_orderdate"))))
     else:
         even = F.lit(False)
+    blank = ~even & (F.col("l_partkey") % 41 == 0)
+    days = F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))
     j = row_number_within(j, "file_name", _ROW_ORDER, "_rn")
     iso = lambda ts: F.date_format(F.to_date(ts), "yyyy-MM-dd")
     return j.select(
         "file_name",
         (F.col("_rn") + 1).alias("row_num"),
-        F.col("employee_id").alias("Employee ID"),
-        F.col("c_name").alias("Employee Name"),
+        F.when(blank & (F.col("l_suppkey") % 3 == 0), "  ").otherwise(F.col("employee_id")).alias("Employee ID"),
+        F.when(blank & (F.col("l_suppkey") % 3 == 1), "").otherwise(F.col("c_name")).alias("Employee Name"),
         F.col("c_mktsegment").alias("Project"),
         F.when(even, _cap(F.col("p_type")))
          .otherwise(_dirty_department(F.col("p_type"), F.col("l_linenumber"), F.col("l_partkey")))
          .alias("Department"),
-        F.col("p_brand").alias("Position"),
+        F.when(blank & (F.col("l_suppkey") % 3 == 2), F.lit(None).cast("string"))
+         .otherwise(F.col("p_brand")).alias("Position"),
         F.when(even, iso("o_orderdate")).otherwise(_fmt_date("o_orderdate", F.col("l_suppkey")))
          .alias("Date of Joining"),
         F.when(even, iso("l_shipdate")).otherwise(_fmt_date("l_shipdate", F.col("l_suppkey")))
@@ -254,7 +262,8 @@ def raw_leavers(spark: SparkSession, sf_dir: str, clean_even: bool = False,
         F.when(even, (days / 30.4375).cast("decimal(10,2)").cast("string"))
          .otherwise(_service_text(days, F.col("l_partkey"))).alias("Length of Service"),
         F.when(F.col("l_partkey") % 17 == 0, F.lit(None).cast("string"))
-         .when(F.col("l_linestatus") == "F", "Terminated").otherwise("Resigned").alias("Status"),
+         .when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R"), "Terminated")
+         .otherwise("Resigned").alias("Status"),
         _pick(F.col("l_partkey") % 20, REASON_PHRASES).alias("Reason"),
     )
 
@@ -330,8 +339,8 @@ def _sql_dirty_department(t, ln, pk):
 
 _SQL_ROW_ORDER = ", ".join(_ROW_ORDER)
 _SQL_DAYS = "date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))"
-_SQL_STATUS = ("CASE WHEN l_partkey % 17 = 0 THEN NULL WHEN l_linestatus = 'F' "
-               "THEN 'Terminated' ELSE 'Resigned' END")
+_SQL_STATUS = ("CASE WHEN l_partkey % 17 = 0 THEN NULL WHEN l_linestatus = 'F' AND "
+               "l_returnflag = 'R' THEN 'Terminated' ELSE 'Resigned' END")
 
 _LEAVER_BASE_SQL = """
   SELECT l.*, o.o_custkey, o.o_orderdate, c.c_name, c.c_mktsegment, p.p_type, p.p_brand,
@@ -339,17 +348,18 @@ _LEAVER_BASE_SQL = """
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE l.l_returnflag = 'R'"""
+  JOIN part p ON l.l_partkey = p.p_partkey"""
 
 
 def _raw_leavers_sql(clean_even: bool) -> str:
     even = "(_mi % 2 = 0)" if clean_even else "FALSE"
-    qual = ""
+    blank = f"(NOT {even} AND l_partkey % 41 = 0)"
+    eid, joined = "employee_id", "o_orderdate"
     if clean_even:
-        qual = (f"QUALIFY NOT (_mi % 2 = 0) OR (l_shipdate >= o_orderdate AND "
-                f"row_number() OVER (PARTITION BY file_name, employee_id ORDER BY "
-                f"{_SQL_ROW_ORDER}) = 1)")
+        again = f"row_number() OVER (PARTITION BY file_name, employee_id ORDER BY {_SQL_ROW_ORDER})"
+        eid = (f"CASE WHEN _mi % 2 = 0 AND {again} > 1 THEN employee_id || '-' || {again} "
+               f"ELSE employee_id END")
+        joined = "CASE WHEN _mi % 2 = 0 THEN least(o_orderdate, l_shipdate) ELSE o_orderdate END"
     svc = (f"CASE l_partkey % 7 WHEN 0 THEN CAST(CAST({_SQL_DAYS} / 30.4375 AS DECIMAL(10,2)) AS VARCHAR) "
            f"WHEN 1 THEN NULL "
            f"WHEN 2 THEN CAST(CAST({_SQL_DAYS} / 30.4375 + 10 AS DECIMAL(10,2)) AS VARCHAR) "
@@ -357,12 +367,12 @@ def _raw_leavers_sql(clean_even: bool) -> str:
     return f"""
   SELECT file_name,
          row_number() OVER (PARTITION BY file_name ORDER BY {_SQL_ROW_ORDER}) + 1 AS row_num,
-         employee_id AS "Employee ID",
-         c_name AS "Employee Name",
+         CASE WHEN {blank} AND l_suppkey % 3 = 0 THEN '  ' ELSE employee_id END AS "Employee ID",
+         CASE WHEN {blank} AND l_suppkey % 3 = 1 THEN '' ELSE c_name END AS "Employee Name",
          c_mktsegment AS "Project",
          CASE WHEN {even} THEN {_sql_cap('p_type')}
               ELSE {_sql_dirty_department('p_type', 'l_linenumber', 'l_partkey')} END AS "Department",
-         p_brand AS "Position",
+         CASE WHEN {blank} AND l_suppkey % 3 = 2 THEN NULL ELSE p_brand END AS "Position",
          CASE WHEN {even} THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d')
               ELSE {_sql_fmt_date('o_orderdate', 'l_suppkey')} END AS "Date of Joining",
          CASE WHEN {even} THEN strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d')
@@ -372,10 +382,10 @@ def _raw_leavers_sql(clean_even: bool) -> str:
          {_SQL_STATUS} AS "Status",
          {_sql_pick('l_partkey % 20', REASON_PHRASES)} AS "Reason"
   FROM (
-    SELECT *, 'leavers_' || strftime(l_shipdate, '%Y_%m') || '.csv' AS file_name,
-           year(l_shipdate) * 12 + month(l_shipdate) - 1 AS _mi
-    FROM ({_LEAVER_BASE_SQL}) b
-    {qual}
+    SELECT * REPLACE ({eid} AS employee_id, {joined} AS o_orderdate) FROM (
+      SELECT *, 'leavers_' || strftime(l_shipdate, '%Y_%m') || '.csv' AS file_name,
+             year(l_shipdate) * 12 + month(l_shipdate) - 1 AS _mi
+      FROM ({_LEAVER_BASE_SQL}) b) y
   ) x"""
 
 
@@ -402,10 +412,11 @@ def _raw_headcount_sql(clean_even: bool) -> str:
 SQL_VIEWS: dict[str, tuple[list[str], str]] = {
     "hr_headcount": ([], f"""
   SELECT {_sql_cap('c.c_mktsegment')} AS project_name,
-         strftime(o.o_orderdate, '%Y-%m') AS record_month,
+         strftime(CASE WHEN c.c_mktsegment = 'BUILDING' AND month(o.o_orderdate) = 7
+                       THEN CAST(o.o_orderdate AS DATE) - INTERVAL 1 MONTH
+                       ELSE CAST(o.o_orderdate AS DATE) END, '%Y-%m') AS record_month,
          CAST(count(DISTINCT o.o_custkey) AS BIGINT) AS headcount
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-  WHERE NOT (c.c_mktsegment = 'BUILDING' AND month(o.o_orderdate) = 7)
   GROUP BY 1, 2"""),
     "hr_leavers": ([], f"""
   SELECT employee_id,
@@ -415,7 +426,7 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
          p_brand AS position,
          CAST(o_orderdate AS DATE) AS date_of_joining,
          CAST(l_shipdate AS DATE) AS date_of_leaving,
-         floor({_SQL_DAYS} / 30.4375 * 100 + 0.5) / 100 AS length_of_service_months,
+         round_even({_SQL_DAYS} / 30.4375 * 100, 0) / 100 AS length_of_service_months,
          {_SQL_STATUS} AS status,
          {_sql_pick('l_partkey % 20', REASON_PHRASES)} AS original_reason,
          CASE WHEN l_suppkey % 4 = 0 THEN NULL

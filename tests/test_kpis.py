@@ -45,7 +45,7 @@ def test_empty_period_narrative(spark, f9):
     hc, lv = f9
     empty = P.custom_period(spark, "2030-01", "2030-01")
     t = KP.period_narrative(KP.period_kpis(hc, lv, empty)).collect()[0]["narrative"]
-    assert "No headcount or departure records" in t
+    assert t == "Executive Summary - 2030-01\nNothing recorded."
 
 
 def test_report_and_dashboard(spark, f9):

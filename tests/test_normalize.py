@@ -50,7 +50,7 @@ def test_cluster_against_brute_force(spark):
     vals = ["Dept Q3", "Dept Q4", "Dept Q44", "Chinese Thai", "Chinese Thaii", "Xy", "Xz",
             "Night Crew", "Nite Crew", "Alpha", "Alphabet", "Pastry Kitchen", "Pastry Kitchn"]
     df = spark.createDataFrame([("departments", v) for v in vals], "kind string, cleaned string")
-    got = {(x["a"], x["b"]) for x in N.similar_pairs(df).collect()}
+    got = {(x["a"], x["b"]) for x in N.similar_pairs(df, mode="levenshtein").collect()}
 
     def lev(a, b):
         prev = list(range(len(b) + 1))
@@ -64,7 +64,43 @@ def test_cluster_against_brute_force(spark):
     want = {tuple(sorted((a, b))) for a, b in itertools.combinations(vals, 2)
             if 1 - lev(a, b) / max(len(a), len(b)) >= 0.78}
     assert got == want
-    cl = {x["cleaned"]: x["cluster"] for x in N.cluster_values(df).collect()}
+    cl = {x["cleaned"]: x["cluster"] for x in N.cluster_values(df, mode="levenshtein").collect()}
     assert cl["Dept Q3"] == cl["Dept Q4"] == cl["Dept Q44"] == "Dept Q44"
     assert cl["Chinese Thai"] == "Chinese Thaii"
     assert cl["Alpha"] == "Alpha"
+
+
+def _names(n):
+    import random
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 14))).strip() or "a" for _ in range(n)]
+    out = set(base)
+    for v in base:
+        w = list(v)
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(w) + 1)
+            w[i:i + rng.randint(0, 1)] = rng.choice(["", "a", "x"])
+        out.add("".join(w).strip() or "b")
+    return sorted(out)
+
+
+def test_ratcliff_candidates_miss_no_pair(spark):
+    import difflib
+    import itertools
+    vals = _names(140)
+    got = {(x["a"], x["b"]) for x in N.similar_pairs(
+        spark.createDataFrame([("departments", v) for v in vals], "kind string, cleaned string")).collect()}
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = {(a, b) for a, b in itertools.combinations(vals, 2) if max(ratio(a, b), ratio(b, a)) >= 0.78}
+    assert got == want and len(want) > 50
+
+
+def test_ratcliff_is_the_default(spark, registry):
+    m = _map(spark, registry, "positions", ["Chf"])
+    assert (m["Chf"]["canonical"], m["Chf"]["step"]) == ("Chef", "fuzzy")
+
+
+def test_long_chains_of_similar_names_are_one_cluster(spark):
+    vals = ["a" * i + "b" * (70 - i) for i in range(0, 70)]
+    cl = N.cluster_values(spark.createDataFrame([("departments", v) for v in vals], "kind string, cleaned string"))
+    assert cl.select("cluster").distinct().count() == 1
