@@ -100,3 +100,28 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, longest: int) -
         if taken[k] <= per_label:
             out.append((k, text))
     return out
+
+
+def sampled_texts(labels: DataFrame, label: str, counts: dict, texts: DataFrame, per_label: int,
+                  longest: int) -> list[tuple]:
+    """``labelled_sample`` where labels (doc_id, label) and texts (doc_id, text)
+    are two tables: about twice ``per_label`` ids of each label, those of least
+    hash, are broadcast to the texts - a number of rows that the parameter
+    bounds. ``counts`` has the rows of each label."""
+    limit = F.lit(0)
+    for k, n in sorted(counts.items()):
+        share = min(1.0, (2 * per_label + 50) / n)
+        limit = F.when(F.col(label) == F.lit(k), int(share * (1 << 30))).otherwise(limit)
+    ids = (labels.select("doc_id", label, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("_h"))
+           .filter(F.col("_h") < limit))
+    got = texts.join(F.broadcast(ids), "doc_id").filter(
+        F.col("text").isNotNull() & (F.char_length("text") <= longest))
+    rows = sorted({(r[label], r["_h"], r["text"]) for r in got.collect()},
+                  key=lambda x: (str(x[0]), x[1], x[2]))
+    out, taken, seen = [], {}, set()
+    for k, _, text in rows:
+        if (k, text) not in seen and taken.get(k, 0) < per_label:
+            seen.add((k, text))
+            taken[k] = taken.get(k, 0) + 1
+            out.append((k, text))
+    return out

@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
-A text's character n-grams (one to three code points of the lower-cased text)
-are counted in DIMENSIONS hashed cells, damped and weighted by inverse
+A text's character n-grams (one to three code points of the lower-cased text,
+with a space for whatever is not a letter) are counted in DIMENSIONS hashed cells, damped and weighted by inverse
 document frequency, and normalised. Each language has several centroids from
 spherical k-means over its sample; a text gets the language of the centroid
 with the largest cosine. It is marked rejected where that cosine is below
@@ -19,6 +19,8 @@ ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +35,18 @@ CENTROIDS = 4
 BLOCK = 1 << 20
 MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 SHIFT = np.uint32(32 - 12)
+OTHER = re.compile(r"[\W\d_]+")
 
 
 def counts(text: str) -> np.ndarray:
-    """Hashed counts of one-, two- and three-character n-grams."""
+    """Hashed counts of one-, two- and three-character n-grams; whatever is not
+    a letter counts as one space."""
+    text = OTHER.sub(" ", text.lower())
     out = np.zeros(DIMENSIONS, np.float64)
     for at in range(0, max(1, len(text)), BLOCK):
         # two characters before the block complete the n-grams that reach into it
         left = max(0, at - 2)
-        c = np.frombuffer(text[left:at + BLOCK].lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        c = np.frombuffer(text[left:at + BLOCK].encode("utf-32-le", "surrogatepass"), "<u4")
         with np.errstate(over="ignore"):
             h = (c + np.uint32(1)) * MULTIPLIERS[0]
             for n in range(3):

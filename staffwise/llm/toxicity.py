@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import mapped_more
-from .common import id_remainder, labelled_sample, ship
+from .common import id_remainder, sampled_texts, ship
 
 SAMPLE = 1500         # labelled rows per class at most
 LONGEST = 20_000      # characters of a sampled text at most
-WINDOW, STEP = 32, 16
+WINDOW, STEP = 40, 24
 BASE_BYTES, TOXIC_BYTES = 32_768, 1536
 LEVEL = 13
 CONTRAST = 6.0        # standard errors by which a word or stem is over-represented
@@ -74,7 +74,8 @@ class Scorer:
         toxic, ordinary = self.toxic, self.ordinary
         n, total, strong, top = 0, 0, 0, np.empty(0, np.int64)
         while part := windows(data, begin, BLOCK):
-            saved = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in part), np.int64, len(part))
+            saved = (np.fromiter(map(len, map(ordinary, part)), np.int64, len(part))
+                     - np.fromiter(map(len, map(toxic, part)), np.int64, len(part)))
             n, total, strong = n + len(saved), total + int(saved.sum()), strong + int((saved >= 3).sum())
             top = np.sort(np.concatenate([top, saved]))[::-1][:8]
             begin += BLOCK
@@ -174,18 +175,21 @@ def fit(sample: list[tuple[int, str]], n_toxic: int, n_ordinary: int) -> dict |
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict | None, float]:
     """Model and share of toxic labels, from labelled rows outside the held-out
-    fold (crc32 of the id as text divisible by five)."""
-    rows = (labels.filter(id_remainder(5) != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-            .filter(F.col("toxic").isin(0, 1)).dropDuplicates()
-            .join(docs.select("doc_id", "text"), "doc_id"))
+    fold (crc32 of the id as text divisible by five). Ids are sampled from the
+    labels alone, so only a bounded list of ids meets the documents."""
+    rows = (labels.filter(id_remainder(5) != 0)
+            .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+            .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).dropDuplicates())
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
-    model = fit(labelled_sample(rows, "toxic", SAMPLE, LONGEST), n1, n0) if n1 and n0 else None
-    return model, (n1 / (n1 + n0) if n1 + n0 else 0.0)
+    if not n1 or not n0:
+        return None, float(n1 > 0)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return fit(sampled_texts(rows, "toxic", counts, texts, SAMPLE, LONGEST), n1, n0), n1 / (n1 + n0)
 
 
-def scored(docs: DataFrame, model: dict | None, share: float) -> DataFrame:
-    """``docs`` (columns of simple types, one of them text) plus score."""
+def scored(docs: DataFrame, model: dict | None, share: float, name: str = "score") -> DataFrame:
+    """``docs`` (columns of simple types, one of them text) plus a score column."""
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)  # dictionaries of fixed size
@@ -196,7 +200,7 @@ def scored(docs: DataFrame, model: dict | None, share: float) -> DataFrame:
         for row in rows:
             yield (*row, scorer.score(row[at] or "") if scorer else share)
 
-    return mapped_more(docs, run, "score double")
+    return mapped_more(docs, run, f"{name} double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,4 +215,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose text is not predicted to be toxic."""
     model, share = learn(docs, labels)
-    return scored(docs, model, share).filter("score < 0.5").drop("score")
+    return scored(docs, model, share, "_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
