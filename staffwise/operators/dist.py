@@ -75,7 +75,8 @@ def avg_headcount(headcount: DataFrame, periods: DataFrame) -> DataFrame:
 def project_avg_headcount(headcount: DataFrame, periods: DataFrame) -> DataFrame:
     """AVG per (period, project); display order is avg desc."""
     return (_with_mi(headcount).join(_pm(periods), "mi").groupBy("period_key", "project_name")
-            .agg(r2(F.sum("headcount") / F.count("headcount")).alias("avg_headcount")))
+            .agg(r2(F.sum("headcount") / F.count("headcount")).alias("avg_headcount"))
+            .orderBy("period_key", F.desc("avg_headcount"), "project_name"))
 
 
 def leaver_counts_project_month(lv: DataFrame) -> DataFrame:
@@ -192,10 +193,12 @@ def _single_dim_share(lv, periods, dim_expr, name):
 def department_risk(lv: DataFrame, periods: DataFrame) -> DataFrame:
     """departures per department, share (1 dp), risk level, top flag."""
     d = _single_dim_share(lv, periods, F.col("department"), "department")
-    w = Window.partitionBy("period_key").orderBy(F.col("departures").desc(), F.col("department"))
+    top = d.groupBy("period_key").agg(F.min_by("department", F.struct(
+        (-F.col("departures")).alias("n"), F.col("department").alias("d"))).alias("_top"))
     risk = (F.when(F.col("share_pct") > K.DEPT_RISK_HIGH, "High")
              .when(F.col("share_pct") > K.DEPT_RISK_MEDIUM, "Medium").otherwise("Low"))
-    return d.select("*", risk.alias("risk_level"), (F.row_number().over(w) == 1).alias("is_top"))
+    return d.join(top, "period_key").select(
+        *d.columns, risk.alias("risk_level"), (F.col("department") == F.col("_top")).alias("is_top"))
 
 
 def position_top10(lv: DataFrame, periods: DataFrame, n: int = 10) -> DataFrame:

@@ -18,12 +18,12 @@ LEAVER_DETAIL_COLUMNS = ["employee_id", "employee_name", "project_name", "depart
 
 
 def project_dimension(*facts: DataFrame) -> DataFrame:
-    """Distinct trimmed project names of the given facts."""
+    """Distinct trimmed project names of the given facts, by name."""
     u = None
     for f in facts:
         s = f.select(strip_ws("project_name").alias("name"))
         u = s if u is None else u.union(s)
-    return u.where(F.col("name") != "").distinct()
+    return u.where(F.col("name") != "").distinct().orderBy("name")
 
 
 def headcount_with_project(headcount: DataFrame, projects: DataFrame,
@@ -160,18 +160,14 @@ def separation_split_by_category(df: DataFrame) -> DataFrame:
 def facet_values(df: DataFrame) -> DataFrame:
     """(facet, value) for months, departments, positions, non-null
     categories and years; display order asc (months/years desc)."""
-    parts = [
-        df.select(F.lit("month").alias("facet"), F.col("record_month").alias("value")),
-        df.select(F.lit("department").alias("facet"), F.col("department").alias("value")),
-        df.select(F.lit("position").alias("facet"), F.col("position").alias("value")),
-        df.where(F.col("ai_category").isNotNull())
-          .select(F.lit("category").alias("facet"), F.col("ai_category").alias("value")),
-        df.select(F.lit("year").alias("facet"), F.split("record_month", "-")[0].alias("value")),
-    ]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.distinct()
+    facets = {"month": F.col("record_month"), "department": F.col("department"),
+              "position": F.col("position"), "category": F.col("ai_category"),
+              "year": F.split("record_month", "-")[0]}
+    # one scan: each row gives its five facets
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("facet"), v.alias("value")) for k, v in facets.items()]))
+    u = df.select(each.alias("f")).select("f.*").where("facet <> 'category' OR value IS NOT NULL").distinct()
+    return u.orderBy("facet", F.when(F.col("facet").isin("month", "year"), F.col("value")).desc_nulls_last(),
+                     "value")
 
 
 def reason_detail(df: DataFrame, start=None, end=None, projects=None, departments=None,

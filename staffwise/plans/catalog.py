@@ -981,10 +981,28 @@ def _q_norm_mapping(spark, sf):
     return _mapping(spark, sf)
 
 
-@register("norm_cluster")
+@register("norm_fuzzy_ratcliff")
+def _q_norm_fuzzy_ratcliff(spark, sf):
+    """C5 in the default measure, which DuckDB lacks; brute force in tests."""
+    return N.normalize_values(_dirty_values(spark, sf), V.registry(spark, sf)).where(F.col("step") == "fuzzy")
+
+
+_CLUSTER_LOCAL = _NORM_LOCAL + [
+    ("loose", "SELECT DISTINCT kind, cleaned FROM nmap WHERE step = 'none'"),
+    ("near", """SELECT a.kind, a.cleaned AS x, b.cleaned AS y FROM loose a JOIN loose b
+             ON a.kind = b.kind AND a.cleaned <> b.cleaned
+             AND 1 - levenshtein(a.cleaned, b.cleaned) / greatest(length(a.cleaned), length(b.cleaned)) >= 0.78"""),
+    ("reach", """SELECT kind, cleaned AS node, cleaned AS other FROM loose
+             UNION SELECT r.kind, r.node, n.y FROM reach r JOIN near n ON n.kind = r.kind AND n.x = r.other"""),
+]
+
+
+@register("norm_cluster", q("""
+SELECT kind, node AS cleaned, (list(other ORDER BY length(other) DESC, other))[1] AS cluster
+FROM reach GROUP BY kind, node""", "dirty_dimension", "registry", local=_CLUSTER_LOCAL)
+          .replace("WITH ", "WITH RECURSIVE ", 1))
 def _q_norm_cluster(spark, sf):
-    """C6 (iterative, no SQL form): clusters of the values no registry step
-    matched; rows-only check here, exact fixture in tests."""
+    """Clusters of the values that no registry step matched."""
     m = _mapping(spark, sf)
     unmatched = m.where(F.col("step") == "none").select("kind", "cleaned")
     return N.cluster_values(unmatched, mode=SQL_MODE)
@@ -1405,7 +1423,7 @@ def _q_incremental_ingest(spark, sf):
     for w in (1, 0):
         FS.stage_landing(raw.where(F.col("_w") == w), landing, K.LEAVER_COLUMNS)
         start_ingest(spark, landing, "leavers", reg, tables, ckpt,
-                     labels=V.raw_labels(spark, sf)).awaitTermination()
+                     labels=V.raw_labels(spark, sf), mode=SQL_MODE).awaitTermination()
     return read_table(spark, tables, "leavers")
 
 
