@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -66,6 +67,22 @@ def staging_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "staffwise-staging", *parts, uuid.uuid4().hex])
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def staging_scope(spark: SparkSession):
+    """Tables that ``materialize`` writes inside are deleted at the end. For
+    work that leaves nothing lazy behind, such as a micro-batch."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df, tag: str = "table"):
     """Cut lineage by writing ``df`` once as Parquet under the shared
     checkpoint folder and reading it back (one job; survives executor loss,
@@ -73,5 +90,7 @@ def materialize(df, tag: str = "table"):
     the plan twice)."""
     spark = df.sparkSession
     path = staging_path(spark, "materialized", tag)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
