@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, staged
 
-RULES = ["symbols", "letters", "word_length", "repeated_words", "vocabulary", "repeated_lines", "capitals",
+RULES = ["symbols", "letters", "letterless_words", "word_length", "repeated_words", "vocabulary", "repeated_lines", "capitals",
          "length"]
 #: Bounds of the accuracies: a rule is right on most good documents, so that
 #: a poor vote always counts against a document and a good one for it.
@@ -58,7 +58,8 @@ def _covered(windows: Column) -> Column:
 
 def measures(docs: DataFrame) -> DataFrame:
     """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words and, for the rules, _lines, _capitals, _letters, _distinct."""
+    n_repeat_words and, for the rules, _lines, _capitals, _letters,
+    _letterless, _distinct."""
     # each step's arrays are columns of their own, so that later expressions
     # read them instead of computing them again
     split = docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn(
@@ -78,6 +79,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.size("_l").alias("_lines"),
         F.char_length(F.regexp_replace("_t", r"[^A-ZÀ-ÖØ-Þ]+", "")).alias("_capitals"),
         F.char_length(F.regexp_replace("_t", r"[^\p{L}]+", "")).alias("_letters"),
+        F.size(F.filter("_w", lambda x: ~x.rlike(r"\p{L}"))).alias("_letterless"),
         F.size(F.array_distinct("_w")).alias("_distinct"))
 
 
@@ -93,6 +95,7 @@ def votes() -> dict[str, Column]:
     said = {
         "symbols": by(F.col("n_symbols") / words, 0.02, 0.10),
         "letters": by(1 - F.col("_letters") / chars, 0.08, 0.20),
+        "letterless_words": by(F.col("_letterless") / words, 0.10, 0.25),
         "word_length": by(F.col("word_chars") / words, 6.2, 7.0),
         "repeated_words": by(F.col("n_repeat_words") / words, 0.15, 0.30),
         "vocabulary": by(1 - F.col("_distinct") / words, 0.60, 0.75),
