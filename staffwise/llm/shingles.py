@@ -5,26 +5,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO_WORDS = 1_000_000
 # odd multipliers: a shingle's hash is a mix of the sum of its words' hashes,
 # each times the multiplier of its place
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                    0xA0761D6478BD642F], np.uint64)
 
 
-class _Words(dict):
-    """Hashes of words met by this worker; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_MEMO = _Words()
-
-
 def words_of(text: str) -> list[bytes]:
     """Words (runs without ASCII white space) with A-Z lower-cased."""
     return text.encode("utf-8").lower().split()
@@ -43,7 +29,7 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         if len(w) < size:
             h = (w * PLACES[:len(w)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(w))

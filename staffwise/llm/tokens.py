@@ -8,7 +8,7 @@ from array import array
 import numpy as np
 
 # pieces whose ids one Python worker keeps at most; past it the store is emptied
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 1_000_000
 STOPS = frozenset(",.;:!?")
 
 
