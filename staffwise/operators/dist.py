@@ -13,13 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.columns import (is_terminated_status, month_index, r1, r2,
-                                 service_bracket, service_bracket_ordinal)
+from ..functions.columns import (month_index, r1, r2, service_bracket, service_bracket_ordinal)
+from .cube import ALL, BRACKET, DIMENSIONS, TERMINATED, is_cube, of, stored_cube
 from .periods import range_months
 
-DIMENSIONS = ["project_name", "department", "position", "original_reason", "ai_category",
-              "record_month"]
-
 
 def _pm(periods: DataFrame) -> DataFrame:
     # bounded by the calendar (<= 48 period-months per data month)
@@ -38,8 +35,12 @@ def _stack(lv: DataFrame, dims) -> DataFrame:
 
 def dim_counts(lv: DataFrame, periods: DataFrame, dims=DIMENSIONS) -> DataFrame:
     """(period_key, dimension, value, departures), NULL values dropped."""
-    monthly = (_stack(lv, dims).where(F.col("value").isNotNull())
-               .groupBy("mi", "dimension", "value").agg(F.count(F.lit(1)).alias("n")))
+    if is_cube(lv):
+        monthly = lv.where(F.col("dimension").isin(*dims) & F.col("value").isNotNull()) \
+                    .select("mi", "dimension", "value", "n")
+    else:
+        monthly = (_stack(lv, dims).where(F.col("value").isNotNull())
+                   .groupBy("mi", "dimension", "value").agg(F.count(F.lit(1)).alias("n")))
     return (monthly.join(_pm(periods), "mi")
                    .groupBy("period_key", "dimension", "value")
                    .agg(F.sum("n").cast("long").alias("departures")))
@@ -48,10 +49,14 @@ def dim_counts(lv: DataFrame, periods: DataFrame, dims=DIMENSIONS) -> DataFrame:
 def period_totals(lv: DataFrame, periods: DataFrame) -> DataFrame:
     """(period_key, total_leavers, service_sum, service_n, early_n) for every
     period (0 when it has no leavers)."""
-    s = F.col("length_of_service_months")
-    monthly = (_with_mi(lv).groupBy("mi").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(s).alias("ss"), F.count(s).alias("sn"),
-        F.sum(F.when(s < K.EARLY_SERVICE_MONTHS, 1).otherwise(0)).alias("early")))
+    if is_cube(lv):
+        monthly = of(lv, ALL).select("mi", "n", F.col("service_sum").alias("ss"), F.col("service_n").alias("sn"),
+                                     F.col("early_n").alias("early"))
+    else:
+        s = F.col("length_of_service_months")
+        monthly = (_with_mi(lv).groupBy("mi").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(s).alias("ss"), F.count(s).alias("sn"),
+            F.sum(F.when(s < K.EARLY_SERVICE_MONTHS, 1).otherwise(0)).alias("early")))
     agg = (monthly.join(_pm(periods), "mi").groupBy("period_key")
                   .agg(F.sum("n").alias("total_leavers"), F.sum("ss").alias("service_sum"),
                        F.sum("sn").alias("service_n"), F.sum("early").alias("early_n")))
@@ -106,6 +111,8 @@ def service_brackets(lv: DataFrame) -> DataFrame:
 
 
 def _bracket_monthly(lv):
+    if is_cube(lv):
+        return of(lv, BRACKET).select("mi", F.col("value").cast("int").alias("ordinal"), "n")
     s = F.col("length_of_service_months")
     return (_with_mi(lv).groupBy("mi", service_bracket_ordinal(s).alias("ordinal"))
                         .agg(F.count(F.lit(1)).alias("n")))
@@ -159,6 +166,7 @@ def top_affected(lv: DataFrame, periods: DataFrame, top_n: int = 3) -> DataFrame
     """F8: top-N departments, positions and reasons per period, with count
     and share of all rows (2 dp). Reason = category when any category in the
     period is non-null, else the original reason. Ties: count desc, value asc."""
+    lv = stored_cube(lv)
     c = dim_counts(lv, periods, ["department", "position", "ai_category", "original_reason"])
     has_cat = (c.where(F.col("dimension") == "ai_category").groupBy("period_key")
                 .agg(F.lit(True).alias("has_cat")))
@@ -179,9 +187,10 @@ def top_affected(lv: DataFrame, periods: DataFrame, top_n: int = 3) -> DataFrame
 
 # ------------------------------------------------------------- F9 - F14
 
-def _single_dim_share(lv, periods, dim_expr, name):
-    monthly = (_with_mi(lv).select("mi", dim_expr.alias("value")).where(F.col("value").isNotNull())
-               .groupBy("mi", "value").agg(F.count(F.lit(1)).alias("n")))
+def _single_dim_share(lv, periods, dimension, label, name):
+    """Share of each label; ``label`` makes it from the dimension's value."""
+    monthly = (of(lv, dimension).select("mi", label(F.col("value")).alias("value"), "n")
+               .where(F.col("value").isNotNull()))
     c = (monthly.join(_pm(periods), "mi").groupBy("period_key", "value")
                 .agg(F.sum("n").cast("long").alias("departures")))
     t = period_totals(lv, periods).select("period_key", "total_leavers")
@@ -192,7 +201,7 @@ def _single_dim_share(lv, periods, dim_expr, name):
 
 def department_risk(lv: DataFrame, periods: DataFrame) -> DataFrame:
     """departures per department, share (1 dp), risk level, top flag."""
-    d = _single_dim_share(lv, periods, F.col("department"), "department")
+    d = _single_dim_share(stored_cube(lv), periods, "department", lambda v: v, "department")
     top = d.groupBy("period_key").agg(F.min_by("department", F.struct(
         (-F.col("departures")).alias("n"), F.col("department").alias("d"))).alias("_top"))
     risk = (F.when(F.col("share_pct") > K.DEPT_RISK_HIGH, "High")
@@ -212,16 +221,16 @@ def reason_share(lv: DataFrame, periods: DataFrame,
                  null_label: str = "Other / Unclassified") -> DataFrame:
     """category share (1 dp); NULL category shown as ``null_label``
     ('Other / Unclassified' in the report, 'Other' on screen)."""
-    return _single_dim_share(lv, periods, F.coalesce(F.col("ai_category"), F.lit(null_label)),
-                             "category")
+    return _single_dim_share(stored_cube(lv), periods, "ai_category",
+                             lambda v: F.coalesce(v, F.lit(null_label)), "category")
 
 
 def voluntary_split(lv: DataFrame, periods: DataFrame) -> DataFrame:
     """Involuntary when trimmed lower status == 'terminated', else
     Voluntary (NULL status too); share (1 dp)."""
-    t = F.when(is_terminated_status("status"), "Involuntary (Terminated)") \
-         .otherwise("Voluntary (Resigned)")
-    return _single_dim_share(lv, periods, t, "separation_type")
+    return _single_dim_share(
+        stored_cube(lv), periods, TERMINATED, lambda v: F.when(v == "true", "Involuntary (Terminated)")
+        .otherwise("Voluntary (Resigned)"), "separation_type")
 
 
 def total_person_months(headcount: DataFrame, periods: DataFrame) -> DataFrame:

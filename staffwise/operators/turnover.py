@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.columns import month_index, month_text, r1, r2, ratio_pct
+from .cube import is_cube, of
 from .periods import previous_period, range_months
 
 
@@ -39,7 +40,11 @@ def adjusted_headcount(headcount: DataFrame) -> DataFrame:
 
 
 def leaver_counts(leavers: DataFrame) -> DataFrame:
-    """Leavers per (project, month): the only pass over the fact table."""
+    """Leavers per (project, month): the only pass over the fact table (or its
+    cube)."""
+    if is_cube(leavers):
+        return of(leavers, "project_name").select(
+            F.col("value").alias("project_name"), "record_month", F.col("n").alias("leavers"), "mi")
     return (leavers.groupBy("project_name", "record_month").agg(F.count(F.lit(1)).alias("leavers"))
                    .withColumn("mi", month_index("record_month")))
 

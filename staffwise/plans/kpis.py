@@ -15,6 +15,7 @@ from ..functions.columns import r1, r2, ratio_pct
 from ..operators import dist as DI
 from ..operators import filters as FI
 from ..operators import turnover as T
+from ..operators.cube import stored_cube
 from ..operators.periods import previous_period, range_months
 
 
@@ -35,6 +36,7 @@ def period_kpis(headcount: DataFrame, leavers: DataFrame, periods: DataFrame) ->
     """Per period current/previous rate, difference, departures, mean
     service, highest-rate project, top department and reason, early count,
     period labels; 'N/A' / 0 defaults."""
+    leavers = stored_cube(leavers)  # one scan of the fact for all that follows
     pp = previous_period(periods).select("period_key", F.col("range_label").alias("current_label"),
                                          F.col("prev_range_label").alias("previous_label"))
     rates = _current_previous_rates(headcount, leavers, periods)
@@ -100,11 +102,12 @@ def report_kpis(headcount: DataFrame, leavers: DataFrame, periods: DataFrame) ->
     """Report header per period: person-months of headcount (F14),
     departures, rate (G2), change against the previous period and its text,
     number of known projects."""
+    leavers = stored_cube(leavers)
     rates = _current_previous_rates(headcount, leavers, periods)
     pm_tot = DI.total_person_months(headcount, periods)
     dep = DI.period_totals(leavers, periods).select("period_key", "total_leavers")
     # a single-row aggregate joined on a constant key (broadcast of one row)
-    n_proj = (FI.project_dimension(headcount, leavers)
+    n_proj = (FI.project_dimension(headcount, T.leaver_counts(leavers))
               .agg(F.count(F.lit(1)).alias("projects_analyzed")).withColumn("_one", F.lit(1)))
     j = (periods.select("period_key").join(pm_tot, "period_key", "left")
          .join(dep, "period_key", "left").join(rates, "period_key", "left")
@@ -152,7 +155,9 @@ def period_narrative(kpis: DataFrame) -> DataFrame:
 
 
 def report_marts(headcount: DataFrame, leavers: DataFrame, periods: DataFrame) -> dict:
-    """Every report section as a DataFrame keyed by period_key."""
+    """Every report section as a DataFrame keyed by period_key; all
+    sections read one stored cube of the leavers."""
+    leavers = stored_cube(leavers)
     return {
         "kpis": report_kpis(headcount, leavers, periods),
         "net_change": T.headcount_net_change(headcount, T.period_end_pairs(periods))
