@@ -100,8 +100,8 @@ def project_spine(adj: DataFrame, lvc: DataFrame, ranges: DataFrame) -> DataFram
     names = (adj.select("project_name").union(lvc.select("project_name")).distinct()
              .where(F.col("project_name").isNotNull())
              .agg(F.collect_list("project_name").alias("_names")))
-    one = ranges.withColumn("_one", F.lit(1)).join(F.broadcast(names.withColumn("_one", F.lit(1))), "_one")
-    return one.withColumn("project_name", F.explode("_names")).drop("_one", "_names")
+    return ranges.withColumn("_names", names.scalar()).withColumn(
+        "project_name", F.explode("_names")).drop("_names")
 
 
 def _small(df: DataFrame, tag: str) -> DataFrame:

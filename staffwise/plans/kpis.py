@@ -106,12 +106,12 @@ def report_kpis(headcount: DataFrame, leavers: DataFrame, periods: DataFrame) ->
     rates = _current_previous_rates(headcount, leavers, periods)
     pm_tot = DI.total_person_months(headcount, periods)
     dep = DI.period_totals(leavers, periods).select("period_key", "total_leavers")
-    # a single-row aggregate joined on a constant key (broadcast of one row)
+    # one number, looked up as a scalar
     n_proj = (FI.project_dimension(headcount, T.leaver_counts(leavers))
-              .agg(F.count(F.lit(1)).alias("projects_analyzed")).withColumn("_one", F.lit(1)))
+              .agg(F.count(F.lit(1)).alias("projects_analyzed")))
     j = (periods.select("period_key").join(pm_tot, "period_key", "left")
          .join(dep, "period_key", "left").join(rates, "period_key", "left")
-         .withColumn("_one", F.lit(1)).join(F.broadcast(n_proj), "_one").drop("_one"))
+         .withColumn("projects_analyzed", n_proj.scalar()))
     cur = F.coalesce("current_turnover", F.lit(0.0))
     chg = r2(cur - F.coalesce("previous_turnover", F.lit(0.0)))
     return j.select("period_key", "total_headcount", F.col("total_leavers").alias("total_departures"),
