@@ -33,10 +33,6 @@ def ratio_pct(num, den) -> Column:
     return F.when(den > 0, col(num).cast("double") / den * 100).otherwise(F.lit(0.0))
 
 
-def is_number_text(c) -> Column:
-    return col(c).rlike(K.NUMBER_PATTERN)
-
-
 # ----------------------------------------------------------------- months
 
 def month_index(c) -> Column:
@@ -52,14 +48,6 @@ def month_text(mi) -> Column:
                            (mi - F.floor(mi / 12) * 12 + 1).cast("int"))
 
 
-def month_of(date_or_ts) -> Column:
-    return F.date_format(col(date_or_ts), "yyyy-MM")
-
-
-def month_start_date(month) -> Column:
-    return F.to_date(F.concat(col(month), F.lit("-01")))
-
-
 # ---------------------------------------------------------------- strings
 
 def strip_ws(c) -> Column:
@@ -92,24 +80,21 @@ def parse_date(c) -> Column:
     return F.coalesce(*[F.try_to_date(s, fmt) for fmt, _ in K.DATE_FORMATS])
 
 
-def service_months(doj, dol) -> Column:
-    return F.datediff(col(dol), col(doj)) / K.DAYS_PER_MONTH
+def _bracket(c, value) -> Column:
+    """``value`` of the tenure bracket (a row of BRACKETS) that holds ``c``."""
+    c = col(c)
+    expr = F.when(c.isNull() | F.isnan(c) | (c < 0), F.lit(value(K.UNKNOWN_BRACKET)))
+    for limit, bracket in zip(K.BRACKET_LIMITS, K.BRACKETS):
+        expr = expr.when(c < limit, F.lit(value(bracket)))
+    return expr.otherwise(F.lit(value(K.BRACKETS[-1])))
 
 
 def service_bracket(c) -> Column:
-    c = col(c)
-    return (F.when(c.isNull() | F.isnan(c) | (c < 0), F.lit("Unknown"))
-            .when(c < 3, "< 3 Months")
-            .when(c < 6, "3 - 6 Months")
-            .when(c < 12, "6 - 12 Months")
-            .when(c < 24, "1 - 2 Years")
-            .otherwise("> 2 Years"))
+    return _bracket(c, lambda b: b[1])
 
 
 def service_bracket_ordinal(c) -> Column:
-    c = col(c)
-    return (F.when(c.isNull() | F.isnan(c) | (c < 0), F.lit(6))
-            .when(c < 3, 1).when(c < 6, 2).when(c < 12, 3).when(c < 24, 4).otherwise(5))
+    return _bracket(c, lambda b: b[0])
 
 
 # ----------------------------------------------------------- classification
@@ -125,7 +110,7 @@ def classify_rules(c) -> Column:
 
 def canonical_label(c) -> Column:
     """Raw model label -> taxonomy category or NULL (H2)."""
-    t = F.regexp_replace(strip_ws(col(c)), r"""^['"\-\s]+|['"\-\s.]+$""", "")
+    t = F.regexp_replace(strip_ws(col(c)), K.LABEL_WRAPPING, "")
     lt = F.lower(t)
     expr = None
     for cat in K.CATEGORIES:  # exact, case-insensitive, first in list order

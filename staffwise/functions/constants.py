@@ -105,6 +105,9 @@ BRACKETS = [
     (5, "> 2 Years", "Experienced talent loss"),
 ]
 UNKNOWN_BRACKET = (6, "Unknown", None)
+BRACKET_LIMITS = [3, 6, 12, 24]  # months below which brackets 1 to 4 hold
+# what surrounds a model's label: quotes, dashes, blanks, and final stops
+LABEL_WRAPPING = r"""^['"\-\s]+|['"\-\s.]+$"""
 EARLY_SERVICE_MONTHS = 6.0
 
 # --- fixed values: accepted date spellings, tried in this order -----------

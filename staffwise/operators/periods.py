@@ -66,11 +66,6 @@ def custom_period(spark: SparkSession, start_month: str, end_month: str) -> Data
     return _finish(df)
 
 
-def month_periods(spark: SparkSession, months: DataFrame) -> DataFrame:
-    """One Monthly period per distinct month of ``months.record_month``."""
-    return period_calendar(months, types=("Monthly",))
-
-
 def previous_period(periods: DataFrame) -> DataFrame:
     """Preceding range of equal length, plus display labels."""
     n = F.col("end_mi") - F.col("start_mi") + 1

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import r2
 from ..operators import periods as P
 from ..operators import turnover as T
 from ..sources import testviews as _TV

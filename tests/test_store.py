@@ -104,3 +104,22 @@ def test_every_known_project_has_a_row(spark):
         ("2026-03", "A"): 0.0, ("2026-03", "B"): 0.0, ("2026-03", "C"): 0.0}
     net = T.headcount_net_change(hc).where(F.col("project_name").isNotNull()).count()
     assert net == 4
+
+
+def test_wide_matrix_mapping_and_category_split(spark):
+    from staffwise.operators import filters as FI
+    from staffwise.operators import normalize as N
+    from staffwise.operators import turnover as T
+    long = spark.createDataFrame([("A", "2026-01", "Jan-26", 5.0), ("B", "2026-02", "Feb-26", 2.0)],
+                                 "project_name string, record_month string, month_label string, turnover_rate double")
+    wide = {r.project_name: r.asDict() for r in T.matrix_view(long).collect()}
+    assert wide["A"]["Jan-26"] == 5.0 and wide["A"]["Feb-26"] == 0.0
+    rows = spark.createDataFrame([("hr", 1), ("x", 2)], "department string, n int")
+    mapping = spark.createDataFrame([("departments", "hr", "Human Resources")],
+                                    "kind string, value string, canonical string")
+    got = {r.n: (r.department, r.department_original) for r in
+           N.apply_mapping(rows, mapping, {"department": "departments"}).collect()}
+    assert got == {1: ("Human Resources", "hr"), 2: ("x", "x")}
+    split = FI.separation_split_by_category(spark.createDataFrame(
+        [("1", "Termination"), ("2", "Education"), ("3", None)], "employee_id string, ai_category string"))
+    assert {r.employee_id: r.is_termination for r in split.collect()} == {"1": True, "2": False, "3": False}
