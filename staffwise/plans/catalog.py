@@ -1408,11 +1408,14 @@ def _q_column_contract(spark, sf):
                                            F.lit(None).cast("string").alias("Headcount"), "message")))
 
 
-@register("incremental_ingest")
+@register("incremental_ingest", q(f"""
+SELECT {', '.join('m.' + c for c in ST.LEAVER_COLUMNS if c != 'ai_category')},
+       {STRIP(f"coalesce({LABEL('r.raw_label')}, {RULES('m.original_reason')})")} AS ai_category
+FROM latest m LEFT JOIN raw_labels r ON r.employee_id = m.employee_id""",
+                                  *_G_PARTS, "hr_leavers", "raw_labels", local=_UPSERT_LOCAL))
 def _q_incremental_ingest(spark, sf):
     """Landing files of the gated leaver view arrive in two waves (odd,
-    then even months); the stream ingests each wave as it lands. Rows-only
-    check here; tests compare the streamed table with a single batch run."""
+    then even months); the stream ingests each wave as it lands."""
     from ..streaming.ingest import read_table, start_ingest
     raw = VA.month_from_filename(V.raw_leavers(spark, sf, clean_even=True))
     raw = raw.withColumn("_w", _mi(F.col("record_month")) % 2)
