@@ -152,21 +152,25 @@ def redact(docs: DataFrame, owner: Column, repository: Column,
               .withColumn("_cluster", F.sum("_new").over(order))
               .groupBy("key", "_cluster").agg(
                   F.min("start").alias("start"), F.max("end").alias("end"),
-                  F.min(F.col("verdict") == "example").alias("example")))
+                  F.min(F.col("verdict") == "example").alias("example"))
+              .withColumn("past", F.coalesce(F.lag("end").over(Window.partitionBy("key").orderBy("start")),
+                                             F.lit(0))))
     marks = merged.groupBy("key").agg(F.array_sort(F.collect_list(
-        F.struct("start", "end", "example"))).alias("_marks"))
-    pieces = F.aggregate(
-        "_marks", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, m: F.struct(
-            m["end"].alias("at"),
-            F.concat(acc["out"], F.array(
-                F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (m["start"] - acc["at"]).cast("int")),
-                F.when(m["example"], "[example]").otherwise("[secret]"))).alias("out")))
-    tail = F.substring(F.col("text"), (F.col("_done.at") + 1).cast("int"), F.char_length("text"))
+        F.struct("start", "end", "past", "example"))).alias("_marks"))
+
+    def cut(chars: Column) -> Column:
+        """What stands before each mark, the mark, and what follows the last;
+        slices of the text's characters, each taken once."""
+        def part(begin, end):
+            return F.array_join(F.slice(chars, (begin + 1).cast("int"), (end - begin).cast("int")), "")
+        return F.concat(
+            F.array_join(F.transform("_marks", lambda m: F.concat(
+                part(m["past"], m["start"]), F.when(m["example"], "[example]").otherwise("[secret]"))), ""),
+            part(F.element_at("_marks", -1)["end"], F.size(chars).cast("long")))
+
+    rebuilt = F.transform(F.array(F.split("text", "", -1)), cut)[0]
     out = (docs.withColumn("_key", text_key()).join(marks.withColumnRenamed("key", "_key"), "_key", "left")
-           .withColumn("_done", F.when(F.col("_marks").isNotNull(), pieces))
-           .withColumn("text", F.when(F.col("_marks").isNull(), F.col("text"))
-                       .otherwise(F.concat(F.array_join("_done.out", ""), tail))))
+           .withColumn("text", F.when(F.col("_marks").isNull(), F.col("text")).otherwise(rebuilt)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_marks").isNull(), F.col("n_chars"))
                              .otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
