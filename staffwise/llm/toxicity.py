@@ -36,11 +36,10 @@ from .common import id_remainder, sampled_texts, ship
 SAMPLE = 1500         # labelled rows per class at most
 LONGEST = 20_000      # characters of a sampled text at most
 WINDOW, STEP = 40, 24
-BASE_BYTES, TOXIC_BYTES = 32_768, 1536
+BASE_BYTES, TOXIC_BYTES = 32_768, 1536  # the toxic part is longer where more stands out
 LEVEL = 13
-CONTRAST = 6.0        # standard errors by which a word or stem is over-represented
-LEAST_SHARE = 0.01    # of the toxic texts that hold it
-STEMS = (7, 6, 5)    # characters of a word's beginnings
+CHANCE = 0.1          # expected words and stems of a round that stand out by chance
+STEMS = (7, 6, 5, 4)  # characters of a word's beginnings
 BLOCK = 4096          # windows scored at once
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -94,24 +93,38 @@ def units(word: str) -> list[str]:
     return [f" {word} ", *(f" {word[:n]}" for n in STEMS if n < len(word))]
 
 
+def chance(n: int, b: int, na: int, nb: int) -> float:
+    """Probability that of n + b texts drawn from na toxic and nb ordinary ones
+    n or more are toxic (hypergeometric)."""
+    def ways(total, taken):
+        return math.lgamma(total + 1) - math.lgamma(taken + 1) - math.lgamma(total - taken + 1)
+    whole = ways(na + nb, n + b)
+    return sum(math.exp(ways(na, i) + ways(nb, n + b - i) - whole) for i in range(n, min(na, n + b) + 1))
+
+
 def fragments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """What is over-represented in toxic texts: for each of their words that
-    it holds of, the word or its longest beginning that stands out."""
+    it holds of, the word or its longest beginning that stands out. Texts that
+    hold nothing of it are compared again by themselves until nothing more
+    stands out, so rare wording counts among the texts that it alone marks."""
     def held(t):
         return {u for w in set(WORDS.findall(t)) for u in units(w)}
 
-    a, b, na, nb = Counter(), Counter(), len(toxic), len(ordinary)
-    for t in toxic:
-        a.update(held(t))
+    b, nb = Counter(), len(ordinary)
     for t in ordinary:
-        b.update(u for u in held(t) if u in a)
-    stands_out = {}
-    for u, n in a.items():
-        p = (n + b[u]) / (na + nb)
-        error = math.sqrt(max(p * (1 - p), 1e-9) * (1 / na + 1 / nb))
-        z = (n / na - b[u] / nb) / error
-        if z > CONTRAST and n >= LEAST_SHARE * na:
-            stands_out[u] = z
+        b.update(held(t))
+    stands_out, left, tested = set(), toxic, 0
+    while left:
+        a, na = Counter(), len(left)
+        for t in left:
+            a.update(held(t))
+        tested = tested or len(a)
+        new = {u for u, n in a.items() if u not in stands_out and n * nb > b[u] * na
+               and chance(n, b[u], na, nb) * tested < CHANCE}
+        if not new:
+            break
+        stands_out |= new
+        left = [t for t in left if stands_out.isdisjoint(held(t))]
     out = []
     for t in toxic:
         for w in WORDS.findall(t):
@@ -131,10 +144,10 @@ def trained(size: int, samples: list[bytes]) -> bytes:
 
 
 def completed(content: bytes, samples: list[bytes]) -> bytes:
-    """A trained dictionary's content, with the most frequent samples that it
-    lacks in front as far as TOXIC_BYTES allows."""
+    """A trained dictionary's content, with the samples that it lacks in front,
+    the most frequent ones nearest to it."""
     for x, _ in Counter(samples).most_common():
-        if x not in content and len(content) + len(x) <= TOXIC_BYTES:
+        if x not in content:
             content = x + content
     return content
 
@@ -151,7 +164,8 @@ def fit(sample: list[tuple[int, str]], n_toxic: int, n_ordinary: int) -> dict |
     held = lambda x: [t for i, t in enumerate(x) if i % 3 == 0]
     around = fragments(learn(toxic), learn(ordinary))
     base = trained(BASE_BYTES, [w for t in learn(ordinary) for w in windows(t.encode("utf-8"))])
-    specific = completed(trained(TOXIC_BYTES, around), around) if around else b""
+    size = max(TOXIC_BYTES, sum(map(len, set(around))))
+    specific = completed(trained(size, around), around) if around else b""
     model = {"toxic": specific + base, "ordinary": base}
     scorer = Scorer(model)
     texts = held(toxic) + held(ordinary)

@@ -58,6 +58,16 @@ def test_toxicity_edges(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 75
 
 
+def test_rare_toxic_wording_is_kept():
+    # 20 of 1000 toxic texts (2%) hold nothing but a wording of their own, a stem of four characters
+    toxic = [f"common slur w{i}" for i in range(980)] + [f"text boco{chr(97 + i)}x w{i}" for i in range(20)]
+    ordinary = [f"text common w{i}" for i in range(1000)]
+    got = T.fragments(toxic, ordinary)
+    assert b" slur " in got and got.count(b" boco") == 20
+    many = [f" unit{i:04d} ".encode() for i in range(400)]  # more than 1536 bytes
+    assert all(x in T.completed(b"", many) for x in many)
+
+
 def test_windows_cover_whole_texts():
     for n in (0, 1, 39, 40, 41, 63, 64, 65, 1000):
         data = bytes(i % 251 for i in range(n))
