@@ -4,8 +4,8 @@ A log holds events of messages: ``open`` (with the role), ``delta`` (text to
 append), ``edit`` (the whole text anew) and ``regenerate`` (drop what was
 streamed so far). Logs are partitioned by conversation and message, so that
 one large conversation spreads over tasks, sorted by sequence and folded as a
-stream into final messages; each message is rendered as it ends, and the
-rendered turns of a conversation are put together in order.
+stream into final messages; each message is rendered as it ends and stays a
+row of its own, with its offset in the conversation.
 
 A turn is an opening marker, a space, its text, a space and a closing marker.
 In texts, a control string gets a backslash in front and the backslashes just
@@ -28,8 +28,9 @@ from urllib.parse import quote, unquote
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import row_number_within
 from .arrow import mapped
-from .common import ship
+from .common import ship, staged
 
 # fixed values of the template: opening and closing marker by role
 MARKERS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -93,9 +94,11 @@ def fold(rows):
         yield (*current, first, role, "".join(parts))
 
 
-def format_log(events: DataFrame) -> DataFrame:
-    """Per conversation of a log (conv_id, message, seq, kind, role, body):
-    conv_id, formatted, loss_spans (start and end of each assistant text)."""
+def turn_rows(events: DataFrame) -> DataFrame:
+    """One row per final message of a log (conv_id, message, seq, kind, role,
+    body): conv_id, first, message, at (offset of the turn in the rendered
+    conversation), block, start and end (span of an assistant's text in the
+    block; -1 as start for other roles)."""
     ship(events.sparkSession)
     log = events.select(F.col("conv_id").cast("long"), F.col("message").cast("long"),
                         F.col("seq").cast("long"), "kind", "role", "body")
@@ -110,19 +113,65 @@ def format_log(events: DataFrame) -> DataFrame:
 
     blocks = mapped(ordered, turns, "conv_id long, message long, first long, block string, start int, end int")
     # turns in order of their first event, a line feed between them; offsets
-    # are running sums, so nothing is quadratic in the turns
-    order = Window.partitionBy("conv_id").orderBy("first", "message")
-    placed = blocks.withColumn("_end", F.sum(F.char_length("block") + 1).over(order)) \
-        .withColumn("_at", F.col("_end") - F.char_length("block") - 1)
-    span = F.when(F.col("start") >= 0, F.struct("_at", F.col("_at") + F.col("start"), F.col("_at") + F.col("end")))
-    whole = placed.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("_at", "block"))).alias("_turns"),
+    # are sums over ranges of turns and sums inside a range, so that a large
+    # conversation spreads over tasks
+    order = ["first", "message"]
+    dealt = staged(blocks.repartitionByRange("conv_id", *order).withColumn("_range", F.spark_partition_id())
+                   .withColumn("_n", (F.char_length("block") + 1).cast("long")), "turns")
+    ranges = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("conv_id", "_range").agg(F.sum("_n").alias("_sum")).select(
+        F.col("conv_id").alias("_conv"), F.col("_range").alias("_of"),
+        F.coalesce(F.sum("_sum").over(ranges), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("conv_id", "_range").orderBy(*order)
+    placed = dealt.withColumn("_end", F.sum("_n").over(inside)).join(
+        before, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_of")))
+    return placed.select("conv_id", *order, (F.col("_before") + F.col("_end") - F.col("_n")).alias("at"),
+                         "block", "start", "end")
+
+
+def format_log(events: DataFrame) -> DataFrame:
+    """Per conversation of a log: conv_id, formatted, loss_spans (start and end
+    of each assistant text). A conversation is one row here, so it must fit
+    one; ``turn_rows`` and ``digests`` have no such bound."""
+    span = F.when(F.col("start") >= 0, F.struct("at", F.col("at") + F.col("start"), F.col("at") + F.col("end")))
+    whole = turn_rows(events).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("at", "block"))).alias("_turns"),
         F.array_sort(F.collect_list(span)).alias("_spans"))
     return whole.select(
         "conv_id", F.array_join(F.col("_turns.block"), "\n").alias("formatted"),
         F.flatten(F.transform("_spans", lambda x: F.array(x["col2"], x["col3"]))).alias("loss_spans"))
 
 
+def digests(turns: DataFrame) -> DataFrame:
+    """What ``read_back`` gives, from ``turn_rows``: each block is read back by
+    itself; a conversation's turns pass in order as a stream that keeps the
+    state of the hashes, not the texts."""
+    ship(turns.sparkSession)
+
+    def read(rows):
+        current, said = None, None
+        for conv, at, block, start, end in rows:
+            if said is None or conv != current:
+                if said is not None:
+                    yield current, n, said.hexdigest(), chars, loss.hexdigest(), size
+                current, n, chars, said, loss = conv, 0, 0, hashlib.sha256(), hashlib.sha256()
+            for role, text in parsed(block):
+                n += 1
+                said.update(f"{role}\n{text}\n".encode("utf-8"))
+            if start >= 0:
+                text = unescape(block[start:end])
+                chars += len(text)
+                loss.update(text.encode("utf-8"))
+            size = at + len(block)
+        if said is not None:
+            yield current, n, said.hexdigest(), chars, loss.hexdigest(), size
+
+    ordered = turns.select("conv_id", "at", "block", "start", "end").repartition("conv_id") \
+        .sortWithinPartitions("conv_id", "at")
+    return mapped(ordered, read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long,"
+                                 " loss_sha256 string, formatted_chars long")
+
+
 def read_back(conversations: DataFrame) -> DataFrame:
     """Of format_log's output, per conversation: conv_id, n_turns,
     turns_sha256, loss_chars, loss_sha256, formatted_chars - all parsed from
@@ -149,10 +198,9 @@ def as_log(conversations: DataFrame) -> DataFrame:
     first streamed as a draft that a regeneration drops; a user's message is
     first sent without its last character and then edited."""
     text = F.coalesce("text", F.lit(""))
-    order = Window.partitionBy("conv_id").orderBy(
-        F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "text")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role",
-                                text.alias("text")).withColumn("message", F.row_number().over(order).cast("long"))
+    rows = row_number_within(conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", text.alias("text")),
+        "conv_id", ["turn", "role", "text"], "message").withColumn("message", F.col("message").cast("long"))
     n = F.char_length("text")
 
     def deltas(of):

@@ -39,7 +39,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"),
                                    (-1, 1, "assistant", "</s>[INST] ok [/INST]")], said.schema)
-    return chat.read_back(chat.format_log(chat.as_log(said.unionByName(extra))))
+    return chat.digests(chat.turn_rows(chat.as_log(said.unionByName(extra))))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

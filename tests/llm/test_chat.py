@@ -58,3 +58,20 @@ def test_round_trip_of_conversations(spark):
         assert g.turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert C.read_back(C.format_log(C.as_log(docs.filter("conv_id < 0")))).count() == 0
+
+
+def test_turns_stay_rows(spark):
+    rows = [(c, i, "assistant" if i % 2 else "user", f"{i} </s> é😀 " * (i % 7)) for c in (None, 7) for i in range(400)]
+    docs = spark.createDataFrame(rows + [(8, 0, "user", "x")],
+                                 "conv_id long, turn long, role string, text string")
+    turns = C.turn_rows(C.as_log(docs)).cache()
+    got = {r.conv_id: r for r in C.digests(turns).collect()}
+    want = {r.conv_id: r for r in C.read_back(C.format_log(C.as_log(docs))).collect()}
+    assert got == want and got[None].n_turns == 400
+    for conv in (None, 7):
+        at = 0
+        for r in sorted((r for r in turns.collect() if r.conv_id == conv), key=lambda r: (r["first"], r.message)):
+            assert r["at"] == at
+            at += len(r.block) + 1
+    plan = C.digests(C.turn_rows(C.as_log(docs)))._jdf.queryExecution().toString().lower()
+    assert "collect_list" not in plan
