@@ -79,13 +79,15 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, longest: int) -
     """(label, text) of at most ``per_label`` rows of each label, for fitting a
     classifier on the driver: those with the least hash of their text, among
     texts of at most ``longest`` characters. ``rows`` has that label column
-    and ``text``. The hash limit follows each label's count, so about twice
-    the bound is collected, whatever the size of the input."""
+    and ``text``. The hash limit follows each label's count of distinct texts
+    (by hash), so about twice the bound is collected, whatever the size of the
+    input and however many copies it holds."""
     rows = (rows.filter(F.col(label).isNotNull() & F.col("text").isNotNull()
                         & (F.char_length("text") <= longest))
             .select(F.col(label).alias("label"), "text",
                     F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("_h")))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["label"]: r["n"] for r in rows.select("label", "_h").distinct()
+              .groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
     limit = F.lit(0)

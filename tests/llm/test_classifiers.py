@@ -92,6 +92,14 @@ def test_language_on_held_out_documents(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_copies_do_not_thin_a_language_sample(spark):
+    from staffwise.llm.common import labelled_sample
+    rows = [("fr", "copie")] * 20_000 + [("fr", f"texte {i}") for i in range(300)] + [("en", f"text {i}") for i in range(300)]
+    got = labelled_sample(spark.createDataFrame(rows, "lang string, text string"), "lang", 200, 1000)
+    assert [sum(k == x for k, _ in got) for x in ("en", "fr")] == [200, 200]
+    assert len(set(got)) == 400
+
+
 def test_language_edges(spark):
     got = G.identify(documents(spark, EDGES)).collect()
     assert len(got) == len(EDGES)
