@@ -1,6 +1,9 @@
 """Known licence texts and notices, and spellings counted as the same.
 
-Fixed values: the wording of public licences."""
+Fixed values: the wording of public licences. Long ones lie in license_data."""
+
+import functools
+import pkgutil
 
 # letters and phrases written alike in all texts before digests are taken; the
 # rules are coarse on purpose (both sides pass through them)
@@ -105,3 +108,23 @@ NOTICES = {
     "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause"],
     "ISC": ["SPDX-License-Identifier: ISC"],
 }
+
+FULL = ["Apache-2.0", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+_END = "END OF TERMS AND CONDITIONS"
+_APACHE_BLANK = "   Copyright [yyyy] [name of copyright owner]\n"
+
+
+@functools.cache
+def full_texts() -> dict[str, list[str]]:
+    """Entire texts of the long licences: as published, without what follows
+    the terms, and with the blank copyright line filled in (such lines are
+    dropped from canonical forms)."""
+    out = {}
+    for name in FULL:
+        text = pkgutil.get_data(__package__, f"license_data/{name}.txt").decode("utf-8")
+        forms = [text, text.replace(_APACHE_BLANK, "")]
+        if _END in text:
+            terms = text[:text.index(_END)]
+            forms += [terms, terms + _END]
+        out[name] = list(dict.fromkeys(forms))
+    return out

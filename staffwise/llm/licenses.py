@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import NOTICES, SPELLINGS, TEXTS, full_texts
 
 # a larger table of known texts is joined by shuffle
 BROADCAST_ROWS = 100_000
@@ -54,7 +54,9 @@ def digest(form: Column) -> Column:
 
 def known_licenses(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """(license, digest) of known texts and notices; one licence per digest."""
-    texts = texts or {k: [*TEXTS.get(k, []), *NOTICES.get(k, [])] for k in {**TEXTS, **NOTICES}}
+    if not texts:
+        full = full_texts()
+        texts = {k: [*TEXTS.get(k, []), *full.get(k, []), *NOTICES.get(k, [])] for k in {**TEXTS, **full, **NOTICES}}
     rows = spark.createDataFrame([(k, t) for k, ts in sorted(texts.items()) for t in ts],
                                  "license string, text string")
     form = F.array_join(canonical_lines(F.col("text")), " ")

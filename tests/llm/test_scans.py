@@ -176,3 +176,15 @@ def test_queries_against_sql(spark, query):
     assert cols == sorted(want.columns)
     rows = lambda x: sorted(map(repr, x))
     assert rows(map(tuple, got.select(*cols).collect())) == rows(want.select(*cols).fetchall())
+
+
+def test_entire_long_licenses(spark):
+    from staffwise.llm.license_texts import FULL, full_texts
+    texts = full_texts()
+    rows = [(i, texts[k][0].upper().replace(",", " ,")) for i, k in enumerate(FULL)]
+    rows += [(100, texts["Apache-2.0"][0].replace("[yyyy] [name of copyright owner]", "2020 A. Holder")),
+             (101, texts["GPL-3.0"][0] + "more text\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license for r in L.scan(docs, L.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(FULL))] == FULL
+    assert got[100] == "Apache-2.0" and got[101] is None
