@@ -126,3 +126,38 @@ FROM w LEFT JOIN known k USING (form)
 LEFT JOIN (SELECT rid, sum(n) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
            FROM named GROUP BY rid) n USING (rid)
 """
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('mix' || coalesce(doc_id::VARCHAR, '')) AS lot FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+  FROM d GROUP BY source),
+-- sources by how soon they reach their limit; a level for each number of limited
+-- ones, which rises up to the right number and falls beyond it
+p AS (
+  SELECT *, 3 * source_size AS cap,
+         sum(3 * source_size) OVER o - 3 * source_size AS given, sum(w) OVER () - sum(w) OVER o + w AS rest
+  FROM s WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+level AS (
+  SELECT max(((SELECT sum(source_size) FROM s) - given)::BIGINT / rest::BIGINT) AS lam FROM p),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN cap < lam * w THEN cap::DOUBLE ELSE lam * w END AS target FROM p, level),
+r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+         ('0x' || substr(md5('mix' || coalesce('s' || source, 'n')), 1, 10))::HUGEINT AS shift FROM t),
+k AS (
+  SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY substr(lot, 1, 1) >= '8',
+           CASE WHEN substr(lot, 1, 1) >= '8' THEN -size ELSE size END, lot) - 1 AS k FROM d),
+c AS (
+  SELECT k.doc_id, k.size, r.source_size, r.target, k.k::HUGEINT AS k, floor(rate)::BIGINT AS whole,
+         floor((rate - floor(rate)) * 1099511627776)::HUGEINT AS part, shift
+  FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + ((k + 1) * part + shift) // 1099511627776
+                - (k * part + shift) // 1099511627776))::BIGINT AS taken
+FROM c
+"""

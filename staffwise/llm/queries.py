@@ -78,9 +78,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("doc_id", "key").join(by_text, "key").drop("key")
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_secret_scan, op3_toxicity, op4_chat_formatting, op5_language_id, op6_quality_rules, op7_best_fit_packing, op8_document_fingerprints,
-    op9_license_scan, op10_bpe)}
+    op9_license_scan, op10_bpe, op13_source_mix)}
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": oracle.OP1, "op2_secret_scan": oracle.OP2,
-    "op4_chat_formatting": oracle.OP4, "op9_license_scan": oracle.OP9}
+    "op4_chat_formatting": oracle.OP4, "op9_license_scan": oracle.OP9,
+    "op13_source_mix": oracle.OP13}
