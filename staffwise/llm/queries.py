@@ -78,6 +78,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("doc_id", "key").join(by_text, "key").drop("key")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import align
+    return align.summary(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                         tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -85,7 +91,8 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_secret_scan, op3_toxicity, op4_chat_formatting, op5_language_id, op6_quality_rules, op7_best_fit_packing, op8_document_fingerprints,
-    op9_license_scan, op10_bpe, op13_source_mix)}
+    op9_license_scan, op10_bpe,
+    op12_token_alignment, op13_source_mix)}
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": oracle.OP1, "op2_secret_scan": oracle.OP2,
     "op4_chat_formatting": oracle.OP4, "op9_license_scan": oracle.OP9,
