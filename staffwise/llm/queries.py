@@ -78,6 +78,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("doc_id", "key").join(by_text, "key").drop("key")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whitening
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import align
     return align.summary(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
@@ -92,7 +97,7 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_secret_scan, op3_toxicity, op4_chat_formatting, op5_language_id, op6_quality_rules, op7_best_fit_packing, op8_document_fingerprints,
     op9_license_scan, op10_bpe,
-    op12_token_alignment, op13_source_mix)}
+    op11_embedding_whitening, op12_token_alignment, op13_source_mix)}
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": oracle.OP1, "op2_secret_scan": oracle.OP2,
     "op4_chat_formatting": oracle.OP4, "op9_license_scan": oracle.OP9,
