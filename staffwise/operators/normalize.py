@@ -10,27 +10,24 @@ All candidate generation is by equi-join, never a Cartesian product:
 * alias (C3)   join on the fixed alias table;
 * prefix (C4)  the registry is exploded to its lower-case prefixes of length
                >= 4 and joined on the value;
-* fuzzy (C5)   for each length that a partner can have, a value is cut into
-               one piece more than edits are allowed, and joined to what the
-               registry names have near the same place; one piece of a true
-               partner is always unedited. Only such pairs are scored;
+* fuzzy (C5)   multiset prefix filter (``similarity.candidates``): names that
+               share one of their rarest characters, then an edit-distance
+               bound; only what is left is scored;
 * cluster (C6) unmatched values are paired with each other in the same way,
-               verified, and merged by iterated min-label propagation
-               (connected components).
+               verified, and merged by star contraction (``components``).
 
 Join strategies are left to adaptive execution, which goes by measured sizes.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from ..functions import constants as K
 from ..functions.columns import clean_name
+from .components import components
+from .similarity import candidates, levenshtein_score, near, ratcliff_ratio
 
 DEFAULT_MODE = "ratcliff"  # the specified measure; "levenshtein" is the other one
 KINDS = {"Project": "projects", "Department": "departments", "Position": "positions"}
@@ -40,75 +37,6 @@ def alias_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(K.ALIASES, "alias_key string, alias_canonical string")
 
 
-@pandas_udf(DoubleType())
-def ratcliff_ratio(candidate: pd.Series, value: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity (stdlib difflib), Arrow-batched; runs on
-    pre-filtered candidate pairs only."""
-    import difflib
-    out = []
-    for a, b in zip(candidate, value):
-        if a is None or b is None:
-            out.append(None)
-        else:
-            out.append(difflib.SequenceMatcher(None, a, b).ratio())
-    return pd.Series(out, dtype="float64")
-
-
-def levenshtein_score(a, b):
-    a, b = F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-
-
-def _bounds(la, mode: str, cutoff: float):
-    """Admissible lengths [lo, hi] of a partner of a value of length ``la``."""
-    eps = 1e-9
-    if mode == "ratcliff":  # 2 * min / (la + lb) >= c
-        lo = F.ceil(la * cutoff / (2 - cutoff) - eps)
-        hi = F.floor(la * (2 - cutoff) / cutoff + eps)
-    else:  # min / max >= c
-        lo = F.ceil(la * cutoff - eps)
-        hi = F.floor(la / cutoff + eps)
-    return F.greatest(lo, F.lit(1)).cast("int"), hi.cast("int")
-
-
-def _most_edits(la, lb, mode: str, cutoff: float):
-    """Largest number of edits between texts of these lengths that can still
-    reach the cutoff. Ratcliff-Obershelp matches m characters in order, so
-    la + lb - 2 m characters are inserted or deleted, and 2 m / (la + lb) >= c."""
-    if mode == "ratcliff":
-        return F.floor((1 - cutoff) * (la + lb) + 1e-9).cast("int")
-    return F.floor((1 - cutoff) * F.greatest(la, lb) + 1e-9).cast("int")
-
-
-def _left_pieces(df: DataFrame, text: str, mode: str, cutoff: float) -> DataFrame:
-    """Rows (columns of df, la, lb, i, piece): for each admissible partner
-    length the text cut into one piece more than edits are allowed, so one of
-    them stands unedited in the partner."""
-    lo, hi = _bounds(F.col("la"), mode, cutoff)
-    d = (df.withColumn("la", F.length(text)).withColumn("lb", F.explode(F.sequence(lo, hi)))
-           .withColumn("_k", F.least(_most_edits(F.col("la"), F.col("lb"), mode, cutoff) + 1, F.col("la")))
-           .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))))
-    return d.withColumn("piece", F.expr(
-        f"substring({text}, int(1 + floor(i * la / _k)), "
-        f"int(floor((i + 1) * la / _k) - floor(i * la / _k)))")).drop("_k")
-
-
-def _right_pieces(df: DataFrame, text: str, mode: str, cutoff: float) -> DataFrame:
-    """Rows (columns of df, la, lb, i, piece) of the partner's side: what
-    stands where piece i can have moved to, at most as far as there are edits."""
-    lo, hi = _bounds(F.col("lb"), mode, cutoff)
-    d = (df.withColumn("lb", F.length(text)).withColumn("la", F.explode(F.sequence(lo, hi)))
-           .withColumn("_d", _most_edits(F.col("la"), F.col("lb"), mode, cutoff))
-           .withColumn("_k", F.least(F.col("_d") + 1, F.col("la")))
-           .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-           .withColumn("_s", F.expr("int(floor(i * la / _k))"))
-           .withColumn("_n", F.expr("int(floor((i + 1) * la / _k))") - F.col("_s"))
-           .withColumn("_p", F.explode(F.expr(
-               "filter(sequence(_s - _d, _s + _d), x -> x >= 0 AND x + _n <= lb)"))))
-    return (d.withColumn("piece", F.expr(f"substring({text}, _p + 1, _n)"))
-             .drop("_d", "_k", "_s", "_n", "_p").distinct())
-
-
 def normalize_values(values: DataFrame, registry: DataFrame, mode: str = DEFAULT_MODE,
                      cutoff: float = K.FUZZY_CUTOFF, cluster: bool = False) -> DataFrame:
     """C1-C5, C7 (and C6 when ``cluster``) on distinct (kind, value).
@@ -138,13 +66,11 @@ def normalize_values(values: DataFrame, registry: DataFrame, mode: str = DEFAULT
 
     early = exact.join(alias, ["kind", "cleaned"], "full").join(prefix, ["kind", "cleaned"], "full")
     rest = c.join(early.select("kind", "cleaned"), ["kind", "cleaned"], "left_anti")
-    key = ["kind", "la", "lb", "i", "piece"]
-    cand = (_left_pieces(rest.select("kind", "cleaned"), "cleaned", mode, cutoff)
-            .join(_right_pieces(reg.select("kind", "canonical"), "canonical", mode, cutoff), key)
-            .select("kind", "cleaned", "canonical").distinct())
-    score = (ratcliff_ratio(F.col("canonical"), F.col("cleaned")) if mode == "ratcliff"
-             else levenshtein_score("cleaned", "canonical"))
-    fuzzy = (cand.withColumn("score", score).where(F.col("score") >= cutoff)
+    cand = near(candidates(rest.select("kind", F.col("cleaned").alias("x")),
+                           reg.select("kind", F.col("canonical").alias("y")), mode, cutoff), mode, cutoff)
+    score = ratcliff_ratio("y", "x") if mode == "ratcliff" else levenshtein_score("x", "y")
+    cand = cand.select("kind", F.col("x").alias("cleaned"), F.col("y").alias("canonical"), score.alias("score"))
+    fuzzy = (cand.where(F.col("score") >= cutoff)
                  .groupBy("kind", "cleaned")
                  .agg(F.max_by(F.struct("canonical", "score"),
                                F.struct("score", "canonical")).alias("f"))
@@ -176,50 +102,29 @@ def similar_pairs(values: DataFrame, mode: str = DEFAULT_MODE,
                   cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
     """Verified pairs (kind, a, b), a < b, with similarity >= cutoff.
 
-    Candidates come from the same pieces as in C5, of values against values,
-    so no pair is missed in either mode. Ratcliff-Obershelp depends on the
-    order of its arguments; a pair counts if either order reaches the cutoff."""
-    vals = values.select("kind", "cleaned").distinct()
-    key = ["kind", "la", "lb", "i", "piece"]
-    cand = (_left_pieces(vals.withColumnRenamed("cleaned", "x"), "x", mode, cutoff)
-            .join(_right_pieces(vals.withColumnRenamed("cleaned", "y"), "y", mode, cutoff), key)
-            .where(F.col("x") != F.col("y"))
-            .select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    score = (F.greatest(ratcliff_ratio(F.col("a"), F.col("b")), ratcliff_ratio(F.col("b"), F.col("a")))
-             if mode == "ratcliff" else levenshtein_score("a", "b"))
-    return cand.where(score >= cutoff)
+    Candidates come as in C5, of values against values, so no pair is missed in
+    either mode. Ratcliff-Obershelp depends on the order of its arguments; a
+    pair counts if either order reaches the cutoff."""
+    vals = values.select("kind", F.col("cleaned").alias("x")).distinct()
+    pairs = near(candidates(vals, vals.withColumnRenamed("x", "y"), mode, cutoff, ordered=True), mode, cutoff)
+    score = (F.greatest(ratcliff_ratio("x", "y"), ratcliff_ratio("y", "x")) if mode == "ratcliff"
+             else levenshtein_score("x", "y"))
+    return pairs.where(score >= cutoff).select("kind", F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def cluster_values(values: DataFrame, mode: str = DEFAULT_MODE, cutoff: float = K.FUZZY_CUTOFF) -> DataFrame:
     """Connected components of similar unmatched values; canonical =
-    longest member (ties: smallest text). Returns (kind, cleaned, cluster).
-
-    Min-label propagation; each round's labels are written to the shared
-    checkpoint folder (spark.checkpoint.dir) to keep lineage short and survive
-    executor loss; the edges are materialized once."""
+    longest member (ties: smallest text). Returns (kind, cleaned, cluster)."""
     from ..session import materialize
     vals = materialize(values.select("kind", "cleaned").distinct(), "cluster-values")
-    e = materialize(similar_pairs(vals, mode, cutoff), "cluster-edges")
-    edges = e.unionByName(e.select("kind", F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = vals.select("kind", "cleaned", F.col("cleaned").alias("label"))
-    while True:  # until no label changes
-        nb = (edges.join(labels.select("kind", F.col("cleaned").alias("b"), F.col("label").alias("nl")),
-                         ["kind", "b"])
-                   .groupBy("kind", F.col("a").alias("cleaned")).agg(F.min("nl").alias("nl")))
-        new = materialize(labels.join(nb, ["kind", "cleaned"], "left")
-                          .select("kind", "cleaned",
-                                  F.least("label", F.coalesce("nl", "label")).alias("label")),
-                          "cluster-labels")
-        changed = (new.join(labels.withColumnRenamed("label", "old"), ["kind", "cleaned"])
-                      .where(F.col("label") != F.col("old")).limit(1).count())
-        labels = new
-        if changed == 0:
-            break
+    edges = materialize(similar_pairs(vals, mode, cutoff), "cluster-edges")
+    found = components(edges, ("kind",)).withColumnRenamed("node", "cleaned")
+    labels = materialize(vals.join(found, ["kind", "cleaned"], "left").select(
+        "kind", "cleaned", F.coalesce("component", "cleaned").alias("label")), "cluster-labels")
     best = labels.groupBy("kind", "label").agg(
         F.min_by("cleaned", F.struct((-F.length("cleaned")).alias("l"),
                                      F.col("cleaned").alias("c"))).alias("cluster"))
-    return labels.join(best.select("kind", "label", "cluster"), ["kind", "label"]) \
-                 .select("kind", "cleaned", "cluster")
+    return labels.join(best, ["kind", "label"]).select("kind", "cleaned", "cluster")
 
 
 def apply_mapping(rows: DataFrame, mapping: DataFrame, columns: dict) -> DataFrame:

@@ -16,10 +16,6 @@ from ..sources.store import stored
 from . import sqlparts as S
 from .sqlparts import MT, PCT, R1, R2, q
 
-# DuckDB has no Ratcliff-Obershelp measure (the operators' default), so queries
-# with SQL run the other one; norm_fuzzy_ratcliff runs the default
-SQL_MODE = "levenshtein"
-
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -924,7 +920,7 @@ LEFT JOIN (SELECT file_name, sum(e) AS e, sum(w) AS w FROM (
               JOIN hmap m ON m.value = o.project_name
               LEFT JOIN hnames n ON n.canonical = m.canonical""")]))
 def _q_quality_report_hc(spark, sf):
-    return VA.validate_headcount(V.raw_headcount(spark, sf), V.registry(spark, sf), mode=SQL_MODE)["report"]
+    return VA.validate_headcount(V.raw_headcount(spark, sf), V.registry(spark, sf))["report"]
 
 
 @register("month_from_filename", q(f"""
@@ -941,7 +937,10 @@ def _q_month_from_filename(spark, sf):
 
 _DIRTY_SQL = """SELECT kind, value FROM dirty_dimension
   UNION SELECT DISTINCT 'projects', c_mktsegment FROM customer
-  UNION SELECT DISTINCT 'positions', lower(p_brand) FROM part"""
+  UNION SELECT DISTINCT 'positions', lower(p_brand) FROM part
+  UNION SELECT DISTINCT 'positions', CASE p_partkey % 4 WHEN 0 THEN p_name
+    WHEN 1 THEN substr(p_name, 1, length(p_name) - 1) WHEN 2 THEN p_name || substr(p_name, length(p_name), 1)
+    ELSE substr(p_name, 1, 2) || substr(p_name, 4) END FROM part"""
 
 
 def _dirty_values(spark, sf):
@@ -949,11 +948,16 @@ def _dirty_values(spark, sf):
                                              F.col("c_mktsegment").alias("value"))
     p = V.load(spark, sf, "part").select(F.lit("positions").alias("kind"),
                                          F.lower("p_brand").alias("value"))
-    return V.dirty_dimension(spark, sf).unionByName(c).unionByName(p).distinct()
+    # names that no registry entry has, as written, cut, with a letter twice or left out
+    n = V.load(spark, sf, "part").select(F.lit("positions").alias("kind"), F.expr(
+        "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 1, length(p_name) - 1) "
+        "WHEN 2 THEN p_name || substr(p_name, length(p_name), 1) "
+        "ELSE substr(p_name, 1, 2) || substr(p_name, 4) END").alias("value"))
+    return V.dirty_dimension(spark, sf).unionByName(c).unionByName(p).unionByName(n).distinct()
 
 
 def _mapping(spark, sf):
-    return N.normalize_values(_dirty_values(spark, sf), V.registry(spark, sf), mode=SQL_MODE)
+    return N.normalize_values(_dirty_values(spark, sf), V.registry(spark, sf))
 
 
 _NORM_LOCAL = norm_ctes(_DIRTY_SQL, "SELECT * FROM registry")
@@ -980,17 +984,38 @@ def _q_norm_mapping(spark, sf):
     return _mapping(spark, sf)
 
 
-@register("norm_fuzzy_ratcliff")
+@register("norm_fuzzy_ratcliff", ORACLE["norm_fuzzy"])
 def _q_norm_fuzzy_ratcliff(spark, sf):
-    """C5 in the default measure, which DuckDB lacks; brute force in tests."""
-    return N.normalize_values(_dirty_values(spark, sf), V.registry(spark, sf)).where(F.col("step") == "fuzzy")
+    """C5 in the specified measure, which is the default, by its name."""
+    return N.normalize_values(_dirty_values(spark, sf), V.registry(spark, sf), mode="ratcliff").where(
+        F.col("step") == "fuzzy")
+
+
+_EDIT_SQL = q("""
+SELECT v.kind, v.value, s.cleaned, s.canonical, s.step, s.score FROM nv v JOIN (
+  SELECT * FROM (
+    SELECT c.kind, c.cleaned, r.canonical, 'fuzzy' AS step,
+           1 - levenshtein(c.cleaned, r.canonical) / greatest(length(c.cleaned), length(r.canonical)) AS score
+    FROM nc c JOIN nreg r ON c.kind = r.kind
+    JOIN nm0 m ON m.kind = c.kind AND m.cleaned = c.cleaned AND m.step IN ('fuzzy', 'none')) e
+  WHERE score >= 0.78
+  QUALIFY row_number() OVER (PARTITION BY kind, cleaned ORDER BY score DESC, canonical DESC) = 1) s
+ON s.kind = v.kind AND s.cleaned = v.cleaned""", "dirty_dimension", "registry", local=_NORM_LOCAL)
+
+
+@register("norm_fuzzy_edit_distance", _EDIT_SQL)
+def _q_norm_fuzzy_edit_distance(spark, sf):
+    """C5 in the other measure, 1 - edit distance / longer length."""
+    return N.normalize_values(_dirty_values(spark, sf), V.registry(spark, sf), mode="levenshtein").where(
+        F.col("step") == "fuzzy")
 
 
 _CLUSTER_LOCAL = _NORM_LOCAL + [
     ("loose", "SELECT DISTINCT kind, cleaned FROM nmap WHERE step = 'none'"),
-    ("near", """SELECT a.kind, a.cleaned AS x, b.cleaned AS y FROM loose a JOIN loose b
-             ON a.kind = b.kind AND a.cleaned <> b.cleaned
-             AND 1 - levenshtein(a.cleaned, b.cleaned) / greatest(length(a.cleaned), length(b.cleaned)) >= 0.78"""),
+    *S.ratcliff_ctes("""SELECT a.kind, a.cleaned AS a, b.cleaned AS b FROM loose a JOIN loose b
+             ON a.kind = b.kind AND a.cleaned <> b.cleaned""", "k"),
+    ("near", """SELECT kind, a AS x, b AS y FROM kratio WHERE score >= 0.78
+             UNION SELECT kind, b, a FROM kratio WHERE score >= 0.78"""),
     ("reach", """SELECT kind, cleaned AS node, cleaned AS other FROM loose
              UNION SELECT r.kind, r.node, n.y FROM reach r JOIN near n ON n.kind = r.kind AND n.x = r.other"""),
 ]
@@ -998,13 +1023,12 @@ _CLUSTER_LOCAL = _NORM_LOCAL + [
 
 @register("norm_cluster", q("""
 SELECT kind, node AS cleaned, (list(other ORDER BY length(other) DESC, other))[1] AS cluster
-FROM reach GROUP BY kind, node""", "dirty_dimension", "registry", local=_CLUSTER_LOCAL)
-          .replace("WITH ", "WITH RECURSIVE ", 1))
+FROM reach GROUP BY kind, node""", "dirty_dimension", "registry", local=_CLUSTER_LOCAL))
 def _q_norm_cluster(spark, sf):
     """Clusters of the values that no registry step matched."""
     m = _mapping(spark, sf)
     unmatched = m.where(F.col("step") == "none").select("kind", "cleaned")
-    return N.cluster_values(unmatched, mode=SQL_MODE)
+    return N.cluster_values(unmatched)
 
 
 # ------------------------------------------------------------ G17 - G20
@@ -1198,7 +1222,7 @@ _G_PARTS = ("lvchkg", "lvcleang", "registry")
 
 
 def _gated_leavers(spark, sf):
-    res = VA.validate_leavers(V.raw_leavers(spark, sf, clean_even=True), V.registry(spark, sf), mode=SQL_MODE)
+    res = VA.validate_leavers(V.raw_leavers(spark, sf, clean_even=True), V.registry(spark, sf))
     return res, ST.gated_rows(res["valid"], res["report"])
 
 
@@ -1271,7 +1295,7 @@ _HCG_LOCAL = [(n, gated(s)) for n, s in [_HC_OK] + _HC_VALID_LOCAL + [
 
 
 def _gated_headcount(spark, sf):
-    res = VA.validate_headcount(V.raw_headcount(spark, sf, clean_even=True), V.registry(spark, sf), mode=SQL_MODE)
+    res = VA.validate_headcount(V.raw_headcount(spark, sf, clean_even=True), V.registry(spark, sf))
     return ST.gated_rows(res["valid"], res["report"])
 
 
@@ -1294,7 +1318,7 @@ def _q_upsert_hc(spark, sf):
 def _q_directory_audit(spark, sf):
     """Per landing file of both folders: valid flag, rows, error count."""
     a = _leaver_validation(spark, sf)["report"]
-    b = VA.validate_headcount(V.raw_headcount(spark, sf), V.registry(spark, sf), mode=SQL_MODE)["report"]
+    b = VA.validate_headcount(V.raw_headcount(spark, sf), V.registry(spark, sf))["report"]
     return a.unionByName(b).select("file_name", "file_type", "is_valid", "total_rows", "error_count")
 
 
@@ -1425,7 +1449,7 @@ def _q_incremental_ingest(spark, sf):
     for w in (1, 0):
         FS.stage_landing(raw.where(F.col("_w") == w), landing, K.LEAVER_COLUMNS)
         start_ingest(spark, landing, "leavers", reg, tables, ckpt,
-                     labels=V.raw_labels(spark, sf), mode=SQL_MODE).awaitTermination()
+                     labels=V.raw_labels(spark, sf)).awaitTermination()
     return read_table(spark, tables, "leavers")
 
 

@@ -166,7 +166,7 @@ def q(body: str, *names: str, local=()) -> str:
     ctes = [(n, PARTS[n][1]) for n in order] + list(local)
     if not ctes:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({s}\n)" for n, s in ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s}\n)" for n, s in ctes) + "\n" + body
 
 
 def range_months(ranges: str, keys: list[str]) -> str:
@@ -278,9 +278,38 @@ PARTS["lvclean"] = (["lvchk"], f"""
   FROM lvchk WHERE NOT {LV_ERROR}""")
 
 
+def ratcliff_ctes(pairs_sql: str, prefix: str) -> list:
+    """CTEs that end in ``{prefix}ratio`` (kind, a, b, score): the
+    Ratcliff-Obershelp ratio of the pairs (kind, a, b) of texts under 200
+    characters whose lengths do not rule the cutoff out. The longest common
+    block is taken out and what is left and right of it compared again, until
+    nothing is left; of equally long blocks the first in a, then in b."""
+    p = prefix
+    longest = """list_transform(range(length(l)), lambda i: len(list_filter(range(1, length(l) - i + 1),
+                 lambda k: contains(r, substr(l, i + 1, k)))))"""
+    return [
+        (f"{p}pair", f"""SELECT * FROM ({pairs_sql}) p0
+             WHERE 2 * least(length(a), length(b)) >= {K.FUZZY_CUTOFF} * (length(a) + length(b)) AND length(a) > 0"""),
+        # m: characters of the block that was found; the rows with m = 0 are
+        # texts to compare, each gives its block and its two sides
+        (f"{p}part", f"""SELECT kind, a, b, a AS l, b AS r, 0::BIGINT AS m FROM {p}pair
+             UNION ALL
+             SELECT kind, a, b, s.l, s.r, s.m FROM (
+               SELECT kind, a, b, unnest([
+                 {{'l': '', 'r': '', 'm': n}},
+                 {{'l': substr(l, 1, i), 'r': substr(r, 1, strpos(r, substr(l, i + 1, n)) - 1), 'm': 0::BIGINT}},
+                 {{'l': substr(l, i + n + 1), 'r': substr(r, strpos(r, substr(l, i + 1, n)) + n), 'm': 0::BIGINT}}]) AS s
+               FROM (SELECT *, list_max(runs)::BIGINT AS n, list_position(runs, list_max(runs)) - 1 AS i
+                     FROM (SELECT kind, a, b, l, r, {longest} AS runs FROM {p}part
+                           WHERE m = 0 AND l <> '' AND r <> '')) WHERE n > 0)"""),
+        (f"{p}ratio", f"""SELECT kind, a, b, 2.0::DOUBLE * sum(m)::BIGINT / (length(a) + length(b)) AS score
+             FROM {p}part GROUP BY kind, a, b"""),
+    ]
+
+
 def norm_ctes(values_sql: str, registry_sql: str, prefix: str = "n") -> list:
-    """Mirror of normalize.normalize_values (levenshtein mode) as local CTEs;
-    the last one, ``{prefix}map``, has (kind, value, cleaned, canonical, step, score)."""
+    """Mirror of normalize.normalize_values as local CTEs; the last one,
+    ``{prefix}map``, has (kind, value, cleaned, canonical, step, score)."""
     p = prefix
     aliases = ", ".join(f"({lit(k)}, {lit(v)})" for k, v in K.ALIASES)
     return [
@@ -294,14 +323,10 @@ def norm_ctes(values_sql: str, registry_sql: str, prefix: str = "n") -> list:
         (f"{p}pf", f"""SELECT c.kind, c.cleaned, arg_min(r.canonical, r.ordinal) AS prefix
              FROM {p}c c JOIN {p}reg r ON c.kind = r.kind AND length(c.lv) >= 4
               AND starts_with(r.lc, c.lv) GROUP BY 1, 2"""),
-        (f"{p}fz", f"""SELECT kind, cleaned, canonical AS fuzzy, score FROM (
-               SELECT c.kind, c.cleaned, r.canonical,
-                      1 - levenshtein(c.cleaned, r.canonical)
-                          / greatest(length(c.cleaned), length(r.canonical)) AS score
-               FROM {p}c c JOIN {p}reg r ON c.kind = r.kind) s
-             WHERE score >= 0.78
-             QUALIFY row_number() OVER (PARTITION BY kind, cleaned
-                                        ORDER BY score DESC, canonical DESC) = 1"""),
+        *ratcliff_ctes(f"""SELECT DISTINCT c.kind, r.canonical AS a, c.cleaned AS b
+             FROM {p}c c JOIN {p}reg r ON c.kind = r.kind""", f"{p}q"),
+        (f"{p}fz", f"""SELECT kind, b AS cleaned, a AS fuzzy, score FROM {p}qratio WHERE score >= {K.FUZZY_CUTOFF}
+             QUALIFY row_number() OVER (PARTITION BY kind, b ORDER BY score DESC, a DESC) = 1"""),
         (f"{p}m0", f"""SELECT c.kind, c.cleaned, ex.exact, al.alias, pf.prefix, fz.fuzzy, fz.score,
                CASE WHEN ex.exact IS NOT NULL THEN 'exact' WHEN al.alias IS NOT NULL THEN 'alias'
                     WHEN pf.prefix IS NOT NULL THEN 'prefix' WHEN fz.fuzzy IS NOT NULL THEN 'fuzzy'

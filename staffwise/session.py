@@ -92,4 +92,14 @@ def materialize(df, tag: str = "table"):
     if _SCOPES:
         _SCOPES[-1].append(path)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(df) -> None:
+    """Delete a table that ``materialize`` wrote and that no later plan reads."""
+    path = getattr(df, "_stored_path", None)
+    if path:
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
