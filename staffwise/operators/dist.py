@@ -91,9 +91,17 @@ def leaver_counts_project_month(lv: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------- F4 - F8
 
-def distribution(lv: DataFrame, periods: DataFrame, dims=DIMENSIONS) -> DataFrame:
-    """departures by each dimension value, per period."""
-    return dim_counts(lv, periods, dims)
+SERIES = 15  # values that a chart shows
+
+
+def distribution(lv: DataFrame, periods: DataFrame, dims=DIMENSIONS, most: int | None = None) -> DataFrame:
+    """departures by each dimension value, per period; with ``most`` only
+    that many of each series, largest first, ties in order of the value."""
+    counts = dim_counts(lv, periods, dims)
+    if most is None:
+        return counts
+    order = Window.partitionBy("period_key", "dimension").orderBy(F.desc("departures"), F.asc_nulls_last("value"))
+    return counts.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most).drop("_place")
 
 
 def summary_metrics(lv: DataFrame, periods: DataFrame) -> DataFrame:

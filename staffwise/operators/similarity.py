@@ -22,118 +22,84 @@ LONG, POPULAR = 200, 100
 
 
 # ------------------------------------------------- Ratcliff-Obershelp ratio
+#
+# Written as SQL text: as Column calls the nested lambdas take seconds to build.
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _part(text: Column, start, length) -> Column:
-    return F.substring(text, start, length)
+def _row(**fields) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def _row(**fields) -> Column:
-    return F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()))
-
-
-def _longest_block(a: Column, b: Column) -> Column:
+def _longest_block(a: str, b: str) -> str:
     """(at, n): where in ``a`` the longest text that both have starts first, and
     its length. One walk over ``a``: the block found grows while it can, then
     its start moves on, so that only longer ones are tried."""
-    def step(s, _):
-        longer = F.contains(b, _part(a, s["i"] + 1, s["n"] + 1))
-        return F.when(s["i"] + s["n"] >= F.length(a), s).when(
-            longer, _row(i=s["i"], n=s["n"] + 1, at=s["i"])).otherwise(_row(i=s["i"] + 1, n=s["n"], at=s["at"]))
+    return f"""aggregate(sequence(1, 2 * length({a})), {_row(i=0, n=0, at=0)}, (w, _) -> CASE
+        WHEN w.i + w.n >= length({a}) THEN w
+        WHEN contains({b}, substring({a}, w.i + 1, w.n + 1)) THEN {_row(i="w.i", n="w.n + 1", at="w.i")}
+        ELSE {_row(i="w.i + 1", n="w.n", at="w.at")} END)"""
 
-    return F.aggregate(F.sequence(F.lit(1), 2 * F.length(a)), _row(i=0, n=0, at=0), step)
 
-
-def _same_start(a: Column, b: Column) -> Column:
+def _same_start(a: str, b: str) -> str:
     """Number of characters that two texts have in common from their start."""
-    def count(t):
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(t["n"], F.lit(1))), F.lit(0), lambda n, i: F.when(
-            (n == i - 1) & (i <= t["n"]) & (_part(t["a"], i, F.lit(1)) == _part(t["b"], i, F.lit(1))), i).otherwise(n))
-
-    return _let(_row(a=a, b=b), lambda t: _let(
-        _row(a=t["a"], b=t["b"], n=F.least(F.length(t["a"]), F.length(t["b"]))), count))
-
-
-def _matched(whole: Column, block) -> Column:
-    """Characters in the blocks of two texts: the longest block, then the same
-    left and right of it. ``whole`` is a struct of texts of which a and b count;
-    ``block`` gives (i, j, n) of a struct. Texts still to be compared wait in
-    an array, so there is no recursion."""
-    names = ("a", "b", "x", "y")  # x, y: the texts in which blocks start
-
-    def cut(t, at, then):
-        """Left and right of the block in all four texts."""
-        i, j, n = at
-        starts = {"a": i, "x": i, "b": j, "y": j}
-        if then == "left":
-            return _row(**{k: _part(t[k], F.lit(1), starts[k]) for k in names})
-        return _row(**{k: _part(t[k], starts[k] + n + 1, F.length(t[k])) for k in names})
+    count = """aggregate(sequence(1, greatest(least(length(p.a), length(p.b)), 1)), 0, (n, i) -> IF(
+        n = i - 1 AND substring(p.a, i, 1) <> '' AND substring(p.a, i, 1) = substring(p.b, i, 1), i, n))"""
+    return _let(_row(a=a, b=b), "p", count)
 
-    def step(s, _):
-        rest = F.slice(s["todo"], F.lit(1), F.size(s["todo"]) - 1)
 
-        def found(t):
-            return lambda m: F.when(m["n"] == 0, _row(todo=rest, n=s["n"])).otherwise(_row(
-                todo=F.concat(rest, F.filter(F.array(cut(t, (m["i"], m["j"], m["n"]), "left"),
-                                                     cut(t, (m["i"], m["j"], m["n"]), "right")),
-                                             lambda p: (p["a"] != "") & (p["b"] != ""))), n=s["n"] + m["n"]))
+def _plain_block() -> str:
+    return _let(_longest_block("t.a", "t.b"), "m", _row(
+        i="m.at", j="position(substring(t.a, m.at + 1, m.n), t.b) - 1", n="m.n"))
 
-        return F.when(F.size(s["todo"]) == 0, s).otherwise(
-            _let(F.element_at(s["todo"], -1), lambda t: _let(block(t), found(t))))
 
-    shorter = F.least(F.length(whole["a"]), F.length(whole["b"]))
-    return F.aggregate(F.sequence(F.lit(1), 2 * shorter + 1),
-                       _row(todo=F.array(whole), n=0), step, lambda s: s["n"])
-
-
-def _plain_block(t: Column) -> Column:
-    return _let(_longest_block(t["a"], t["b"]), lambda m: _row(
-        i=m["at"], j=F.position(_part(t["a"], m["at"] + 1, m["n"]), t["b"]) - 1, n=m["n"]))
-
-
-def _popular_block(t: Column) -> Column:
+def _popular_block() -> str:
     """As ``_plain_block``, but a block starts from characters that are not
     popular (x and y have others in their place) and then spreads over all."""
-    def spread(m):
-        before = lambda text, n: F.reverse(_part(text, F.lit(1), n))
-        behind = lambda text, n: _part(text, n + 1, F.length(text))
-        back = F.when(m["n"] > 0, _same_start(before(t["a"], m["i"]), before(t["b"], m["j"]))).otherwise(0)
-        on = _same_start(behind(t["a"], m["i"] + m["n"]), behind(t["b"], m["j"] + m["n"]))
-        return _let(back, lambda k: _row(i=m["i"] - k, j=m["j"] - k, n=m["n"] + k + on))
-
-    return _let(_let(_longest_block(t["x"], t["y"]), lambda m: _row(
-        i=F.when(m["n"] > 0, m["at"]).otherwise(0),
-        j=F.when(m["n"] > 0, F.position(_part(t["x"], m["at"] + 1, m["n"]), t["y"]) - 1).otherwise(0),
-        n=m["n"])), spread)
-
-
-def ratcliff_ratio(a: Column | str, b: Column | str) -> Column:
-    """Ratcliff-Obershelp similarity of two texts, 2 * matched / both lengths,
-    as the standard library's ``SequenceMatcher(None, a, b).ratio()`` gives it,
-    in the JVM. Not symmetric: of equally long blocks the first in ``a`` counts,
-    and popular characters are those of ``b``. Two empty texts are equal; null
-    gives null. U+0001 and U+0002 match nothing in texts of LONG characters."""
-    a, b = F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b
-    both = F.length(a) + F.length(b)
-    plain = _row(a=a, b=b, x="", y="")
-    n = F.length(b)
-    often = F.array_join(F.filter(F.array_distinct(F.split(b, "")), lambda c: n - F.length(F.replace(b, c, F.lit("")))
-                                  > F.floor(n / POPULAR) + 1), "")
-
-    hidden = F.concat(often, F.lit("\x01\x02"))
-    long = _let(hidden, lambda chars: _row(a=a, b=b, x=_translated(a, chars, "\x01"), y=_translated(b, chars, "\x02")))
-    matched = F.when(n < LONG, _matched(plain, _plain_block)).otherwise(
-        _let(long, lambda t: _matched(t, _popular_block)))
-    return F.when(both == 0, F.lit(1.0)).when((F.length(a) == 0) | (n == 0), F.lit(0.0)).otherwise(
-        2.0 * matched / both)
+    start = _let(_longest_block("t.x", "t.y"), "l", _row(
+        i="IF(l.n > 0, l.at, 0)", j="IF(l.n > 0, position(substring(t.x, l.at + 1, l.n), t.y) - 1, 0)", n="l.n"))
+    back = _same_start("reverse(substring(t.a, 1, m.i))", "reverse(substring(t.b, 1, m.j))")
+    on = _same_start("substring(t.a, m.i + m.n + 1, length(t.a))", "substring(t.b, m.j + m.n + 1, length(t.b))")
+    return _let(start, "m", _let(f"IF(m.n > 0, {back}, 0)", "k",
+                                 _row(i="m.i - k", j="m.j - k", n=f"m.n + k + {on}")))
 
 
-def _translated(text: Column, chars: Column, sign: str) -> Column:
-    return F.call_function("translate", text, chars, F.repeat(F.lit(sign), F.length(chars)))
+def _matched(whole: str, block: str) -> str:
+    """Characters in the blocks of two texts: the longest block, then the same
+    left and right of it. ``whole`` is a struct of texts of which a and b count
+    (x, y: the texts in which blocks start); ``block`` gives (i, j, n) of such a
+    struct t. Texts still to be compared wait in an array, so there is no
+    recursion."""
+    sides = {"a": "i", "b": "j", "x": "i", "y": "j"}
+    left = _row(**{k: f"substring(t.{k}, 1, f.{p})" for k, p in sides.items()})
+    right = _row(**{k: f"substring(t.{k}, f.{p} + f.n + 1, length(t.{k}))" for k, p in sides.items()})
+    rest = "slice(s.todo, 1, size(s.todo) - 1)"
+    step = _let("element_at(s.todo, -1)", "t", _let(block, "f", f"""CASE
+        WHEN f.n = 0 THEN {_row(todo=rest, n="s.n")}
+        ELSE {_row(todo=f"concat({rest}, filter(array({left}, {right}), e -> e.a <> '' AND e.b <> ''))", n="s.n + f.n")}
+        END"""))
+    return _let(whole, "whole", f"""aggregate(sequence(1, 2 * least(length(whole.a), length(whole.b)) + 1),
+        {_row(todo="array(whole)", n=0)}, (s, _) -> IF(size(s.todo) = 0, s, {step}), s -> s.n)""")
+
+
+def ratcliff_ratio(a: str, b: str) -> Column:
+    """Ratcliff-Obershelp similarity of two text columns, 2 * matched / both
+    lengths, as the standard library's ``SequenceMatcher(None, a, b).ratio()``
+    gives it, in the JVM. Not symmetric: of equally long blocks the first in
+    ``a`` counts, and popular characters are those of ``b``. Two empty texts are
+    equal; null gives null. U+0001 and U+0002 match nothing in texts of LONG
+    characters."""
+    a, b = f"`{a}`", f"`{b}`"
+    often = f"""concat(array_join(filter(array_distinct(split({b}, '')), c ->
+        length({b}) - length(replace({b}, c, '')) > floor(length({b}) / {POPULAR}) + 1), ''), '\\u0001\\u0002')"""
+    masked = {k: f"translate({text}, o, repeat('\\u000{n}', length(o)))" for k, text, n in (("x", a, 1), ("y", b, 2))}
+    long = _let(often, "o", _row(a=a, b=b, **masked))
+    return F.expr(f"""CASE WHEN length({a}) + length({b}) = 0 THEN 1D WHEN length({a}) = 0 OR length({b}) = 0 THEN 0D
+        ELSE 2D * CASE WHEN length({b}) < {LONG} THEN {_matched(_row(a=a, b=b, x="''", y="''"), _plain_block())}
+                       ELSE {_matched(long, _popular_block())} END / (length({a}) + length({b})) END""")
 
 
 def levenshtein_score(a, b) -> Column:
@@ -143,31 +109,29 @@ def levenshtein_score(a, b) -> Column:
 
 # --------------------------------------------------------- candidate pairs
 
-def _shared_at_least(la: Column, lb: Column, mode: str, cutoff: float) -> Column:
-    """Least number of common characters of texts of these lengths that reach
-    the cutoff: 2 m >= cutoff * (la + lb), or no more than (1 - cutoff) * max
-    edits, each of which leaves one character of the longer text unmatched."""
-    need = cutoff * (la + lb) / 2 if mode == "ratcliff" else cutoff * F.greatest(la, lb)
-    return F.greatest(F.ceil(need - 1e-9).cast("int"), F.lit(1))
+def _shared_at_least(mode: str, cutoff: float) -> str:
+    """Least number of common characters of texts of lengths la and lb that
+    reach the cutoff: 2 m >= cutoff * (la + lb), or no more than (1 - cutoff) *
+    max edits, each of which leaves one character of the longer text unmatched."""
+    need = f"{cutoff}D * (la + lb) / 2" if mode == "ratcliff" else f"{cutoff}D * greatest(la, lb)"
+    return f"greatest(int(ceil({need} - 1e-9D)), 1)"
 
 
-def _partner_lengths(la: Column, cutoff: float, mode: str) -> Column:
-    """Every length of a partner that can reach the cutoff."""
-    least = la * cutoff / (2 - cutoff) if mode == "ratcliff" else la * cutoff
-    most = la * (2 - cutoff) / cutoff if mode == "ratcliff" else la / cutoff
-    return F.sequence(F.greatest(F.ceil(least - 1e-9), F.lit(1)).cast("int"), F.floor(most + 1e-9).cast("int"))
+def _partner_lengths(cutoff: float, mode: str) -> str:
+    """Every length of a partner of a text of length n that can reach the cutoff."""
+    part = cutoff / (2 - cutoff) if mode == "ratcliff" else cutoff
+    return f"sequence(greatest(int(ceil(n * {part}D - 1e-9D)), 1), int(floor(n / {part}D + 1e-9D)))"
 
 
 def _bags(texts: DataFrame) -> DataFrame:
-    """(kind, text, n, bag): the tokens of each text, rarest of the kind first."""
-    sorted_ = F.array_sort(F.split("text", ""))
-    tokens = _let(sorted_, lambda s: F.transform(s, lambda c, i: F.concat(
-        c, (i - F.array_position(s, c) + 1).cast("string"))))
-    each = texts.filter(F.length("text") > 0).select("kind", "text", F.explode(tokens).alias("token"))
+    """The rows of ``texts`` (kind, text, ...) that are not empty, with n, the
+    length, and bag, the text's tokens, rarest of the kind first."""
+    tokens = _let("array_sort(split(text, ''))", "s", "transform(s, (c, i) -> concat(c, i - array_position(s, c) + 1))")
+    each = texts.filter("text <> ''").select("*", F.explode(F.expr(tokens)).alias("token"))
     often = each.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("often"))
-    return (each.join(often, ["kind", "token"]).groupBy("kind", "text")
+    return (each.join(often, ["kind", "token"]).groupBy(*texts.columns)
             .agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("bag"))
-            .select("kind", "text", F.length("text").alias("n"), F.col("bag.token").alias("bag")))
+            .select(*texts.columns, F.length("text").alias("n"), F.col("bag.token").alias("bag")))
 
 
 def candidates(left: DataFrame, right: DataFrame, mode: str, cutoff: float, ordered: bool = False) -> DataFrame:
@@ -181,24 +145,24 @@ def candidates(left: DataFrame, right: DataFrame, mode: str, cutoff: float, orde
     first n - need + 1 of each. At the first one that they share, no more than
     what is left behind it can follow; rows that cannot reach ``need`` go."""
     from ..session import materialize
-    texts = left.select("kind", F.col("x").alias("text")).union(right.select("kind", F.col("y").alias("text")))
-    bags = materialize(_bags(texts.distinct()), "bags")
-    x = left.select("kind", F.col("x").alias("text")).distinct().join(bags, ["kind", "text"])
-    y = right.select("kind", F.col("y").alias("text")).distinct().join(bags, ["kind", "text"])
-    # lengths of both sides that occur and fit
-    lengths = (x.select("kind", F.col("n").alias("la")).distinct()
-               .withColumn("lb", F.explode(_partner_lengths(F.col("la"), cutoff, mode)))
-               .join(y.select("kind", F.col("n").alias("lb")).distinct(), ["kind", "lb"])
-               .withColumn("need", _shared_at_least(F.col("la"), F.col("lb"), mode, cutoff))
-               .filter(F.col("need") <= F.least("la", "lb")))
-
-    def first(side, length, name, place):
-        return (side.withColumnRenamed("n", length).join(lengths, ["kind", length])
-                .select("kind", "la", "lb", "need", F.col("text").alias(name),
-                        F.posexplode(F.slice("bag", F.lit(1), F.col(length) - F.col("need") + 1)).alias(place, "token")))
-
-    met = first(x, "la", "x", "p").join(first(y, "lb", "y", "q").drop("need"), ["kind", "la", "lb", "token"])
-    reach = met.filter(F.least(F.col("la") - F.col("p"), F.col("lb") - F.col("q")) >= F.col("need"))
+    texts = (left.select("kind", F.col("x").alias("text"), F.lit(True).alias("is_x"), F.lit(False).alias("is_y"))
+             .union(right.select("kind", F.col("y"), F.lit(False), F.lit(True)))
+             .groupBy("kind", "text").agg(F.max("is_x").alias("is_x"), F.max("is_y").alias("is_y")))
+    bags = materialize(_bags(texts), "bags")
+    need = _shared_at_least(mode, cutoff)
+
+    def first(side, other, own, partner, name, place):
+        """Own first tokens for each partner length that occurs."""
+        occurs = bags.filter(other).select("kind", F.col("n").alias(partner)).distinct()
+        return (bags.filter(side).select("kind", "text", "bag", F.col("n").alias(own),
+                                         F.explode(F.expr(_partner_lengths(cutoff, mode))).alias(partner))
+                .join(occurs, ["kind", partner]).withColumn("need", F.expr(need)).filter("need <= least(la, lb)")
+                .select("kind", "la", "lb", F.col("text").alias(name),
+                        F.posexplode(F.expr(f"slice(bag, 1, {own} - need + 1)")).alias(place, "token")))
+
+    met = first("is_x", "is_y", "la", "lb", "x", "p").join(first("is_y", "is_x", "lb", "la", "y", "q"),
+                                                          ["kind", "la", "lb", "token"])
+    reach = met.filter(F.expr(f"least(la - p, lb - q) >= {need}"))
     if ordered:
         reach = reach.filter("x < y")
     return materialize(reach.select("kind", "x", "y").distinct(), "name-pairs")

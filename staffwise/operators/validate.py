@@ -100,14 +100,22 @@ def _registry_names(registry: DataFrame) -> DataFrame:
                    .withColumn("_in_registry", F.lit(True))
 
 
-def _map_column(rows: DataFrame, mapping: DataFrame, names: DataFrame, colname: str, kind: str):
-    m = (mapping.where(F.col("kind") == kind)
-                .select(F.col("value").alias(colname), F.col("canonical").alias("_canon"))
-                .join(names.where(F.col("kind") == kind).drop("kind"), "_canon", "left"))
+def with_registry_flag(mapping: DataFrame, registry: DataFrame) -> DataFrame:
+    """The value mapping with ``in_registry`` (its canonical name is known), so
+    that rows look a value up once."""
+    names = _registry_names(registry).withColumnRenamed("_canon", "canonical")
+    return (mapping.join(names, ["kind", "canonical"], "left")
+            .select(*mapping.columns, F.coalesce("_in_registry", F.lit(False)).alias("in_registry")))
+
+
+def _map_column(rows: DataFrame, mapping: DataFrame, colname: str, kind: str):
+    """``mapping`` as from ``with_registry_flag``."""
+    m = mapping.where(F.col("kind") == kind).select(
+        F.col("value").alias(colname), F.col("canonical").alias("_canon"), F.col("in_registry").alias("_known"))
     return (rows.join(m, colname, "left")
-                .withColumn(colname + "_in_registry", F.coalesce("_in_registry", F.lit(False)))
+                .withColumn(colname + "_in_registry", F.coalesce("_known", F.lit(False)))
                 .withColumn(colname + "_canonical", F.coalesce("_canon", F.col(colname)))
-                .drop("_canon", "_in_registry"))
+                .drop("_canon", "_known"))
 
 
 def validate_headcount(raw: DataFrame, registry: DataFrame, mode: str = DEFAULT_MODE,
@@ -118,11 +126,11 @@ def validate_headcount(raw: DataFrame, registry: DataFrame, mode: str = DEFAULT_
         rows = _materialize(rows)
     ok_rows = rows.where(~_has_error(F.col("issues")))
     values = ok_rows.select(F.lit("projects").alias("kind"), F.col("project_name").alias("value"))
-    mapping = normalize_values(values, registry.where(F.col("kind") == "projects"), mode=mode)
+    mapping = with_registry_flag(
+        normalize_values(values, registry.where(F.col("kind") == "projects"), mode=mode), registry)
     if materialize:
         mapping = _materialize(mapping)
-    names = _registry_names(registry)
-    mapped = _map_column(ok_rows, mapping, names, "project_name", "projects")
+    mapped = _map_column(ok_rows, mapping, "project_name", "projects")
     reg_issues = mapped.select(
         "file_name", F.lit(None).cast("int").alias("row_num"),
         F.filter(F.array(
@@ -162,11 +170,12 @@ def leaver_checks(raw: DataFrame, existing_ids: DataFrame | None = None) -> Data
     eid = strip_ws("Employee ID")
     blank_id = is_blank("Employee ID")
     d = d.withColumn("_eid", eid).withColumn("_blank_id", blank_id)
-    # rows without an id are spread over groups of their own: nothing is
-    # numbered there, and they never meet in one task
-    apart = F.when(F.col("_blank_id"), F.col("row_num")).otherwise(F.lit(-1))
-    w = Window.partitionBy("file_name", "_eid", apart).orderBy("row_num")
-    d = d.withColumn("_occ", F.when(~F.col("_blank_id"), F.row_number().over(w)))
+    # the first row of each id that a file repeats: reduced map-side, so an id
+    # that fills a file is one row of the table that is joined back
+    first = (d.where(~blank_id).groupBy("file_name", eid.alias("_eid"))
+             .agg(F.min("row_num").alias("_first"), F.count(F.lit(1)).alias("_n"))
+             .where("_n > 1").drop("_n"))
+    d = d.join(first, ["file_name", "_eid"], "left")
     if existing_ids is not None:
         # semi-join the stored ids against this batch's ids (the small side is
         # broadcast at run time), so the stored table is scanned, not shuffled
@@ -192,7 +201,7 @@ def leaver_checks(raw: DataFrame, existing_ids: DataFrame | None = None) -> Data
     rules = {
         "b3_id_required": F.when(F.col("_blank_id"),
                                  issue("error", "Employee ID", F.col("Employee ID"), K.MSG_ID_EMPTY)),
-        "b4_dup_in_file": F.when(F.col("_occ") > 1,
+        "b4_dup_in_file": F.when(~F.col("_blank_id") & (F.col("row_num") > F.col("_first")),
                                  issue("error", "Employee ID", F.col("_eid"),
                                        _msg(K.MSG_ID_DUPLICATE, F.col("_eid")))),
         "b5_exists_warning": F.when(~F.col("_blank_id") & F.coalesce("_exists", F.lit(False)),
@@ -268,6 +277,16 @@ def clean_leaver_rows(checked: DataFrame) -> DataFrame:
         "record_month")
 
 
+PREVIEW = 10  # rows of a file shown before it is committed
+
+
+def preview(rows: DataFrame, most: int = PREVIEW) -> DataFrame:
+    """The first ``most`` rows of each file by row number. Each task keeps that
+    many of a file before the shuffle, so a large file is no large group."""
+    order = Window.partitionBy("file_name").orderBy("row_num")
+    return rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most).drop("_place")
+
+
 LEAVER_KINDS = [("project_name", "projects", "Project"),
                 ("department", "departments", "Department"),
                 ("position", "positions", "Position")]
@@ -281,14 +300,14 @@ def leaver_mapping(clean: DataFrame, registry: DataFrame, mode: str = DEFAULT_MO
     return normalize_values(values, registry, mode=mode)
 
 
-def registry_check(clean: DataFrame, mapping: DataFrame, registry: DataFrame) -> DataFrame:
+def registry_check(clean: DataFrame, mapping: DataFrame) -> DataFrame:
     """B15, B16 per row occurrence: unrecognized -> error (row dropped);
-    auto-corrected -> warning. Returns rows with ``issues`` and ``in_registry``."""
-    names = _registry_names(registry)
+    auto-corrected -> warning. ``mapping`` as from ``with_registry_flag``.
+    Returns rows with ``issues`` and ``in_registry``."""
     m = clean
     checks = []
     for colname, kind, label in LEAVER_KINDS:
-        m = _map_column(m, mapping, names, colname, kind)
+        m = _map_column(m, mapping, colname, kind)
         ok = F.col(colname + "_in_registry")
         canon = F.col(colname + "_canonical")
         checks.append(F.when(~ok, issue("error", label, F.col(colname),
@@ -314,14 +333,15 @@ def validate_leavers(raw: DataFrame, registry: DataFrame, existing: DataFrame |
     With ``materialize`` the checked rows and the (small) value mapping are
     checkpointed once, since issues, clean rows, registry check and report
     all read them."""
-    checked = leaver_checks(raw, existing)
+    # the issue array holds what the rules said: their own columns are not stored
+    checked = leaver_checks(raw, existing).drop(*[c for cs in RULE_COLUMNS.values() for c in cs])
     if materialize:
         checked = _materialize(checked)
     clean = clean_leaver_rows(checked)
-    mapping = leaver_mapping(clean, registry, mode)
+    mapping = with_registry_flag(leaver_mapping(clean, registry, mode), registry)
     if materialize:
         mapping = _materialize(mapping)
-    reg = registry_check(clean, mapping, registry)
+    reg = registry_check(clean, mapping)
     valid = reg.where("in_registry").select(
         "file_name", "row_num", "employee_id", "employee_name",
         F.col("project_name_canonical").alias("project_name"),

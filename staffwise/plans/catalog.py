@@ -377,6 +377,16 @@ def _q_distribution(spark, sf):
     return DI.distribution(lv, cal(lv))
 
 
+@register("chart_series", q(f"""
+SELECT * FROM {S.dim_counts(DI.DIMENSIONS)} d
+QUALIFY row_number() OVER (PARTITION BY period_key, dimension ORDER BY departures DESC, value NULLS LAST)
+        <= {DI.SERIES}""", "lv", "pm"))
+def _q_chart_series(spark, sf):
+    """F4 as charts show it: the first values of each series."""
+    lv = V.hr_leavers(spark, sf)
+    return DI.distribution(lv, cal(lv), most=DI.SERIES)
+
+
 @register("summary_metrics", q(f"""
 SELECT period_key, total_leavers,
        {R2('coalesce(CASE WHEN service_n > 0 THEN service_sum / service_n END, 0.0)')}
@@ -806,6 +816,14 @@ def _q_lv_clean(spark, sf):
     return VA.clean_leaver_rows(_checked(spark, sf, False))
 
 
+@register("landing_preview", q(f"""
+SELECT * FROM lvclean QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY row_num) <= {VA.PREVIEW}""",
+                               "lvclean"))
+def _q_landing_preview(spark, sf):
+    """The first clean rows of each file, as shown before a commit."""
+    return VA.preview(VA.clean_leaver_rows(_checked(spark, sf, False)))
+
+
 _LV_VALUES = """SELECT 'projects' AS kind, project_name AS value FROM lvclean
   UNION ALL SELECT 'departments', department FROM lvclean
   UNION ALL SELECT 'positions', position FROM lvclean"""
@@ -840,7 +858,7 @@ def _leaver_validation(spark, sf, existing=False):
 
 def _reg_issues(spark, sf, severity):
     res = _leaver_validation(spark, sf)
-    reg = VA.registry_check(res["clean"], res["mapping"], V.registry(spark, sf))
+    reg = VA.registry_check(res["clean"], res["mapping"])
     iss = VA._explode_issues(reg.select("file_name", F.lit(None).cast("int").alias("row_num"), "issues"))
     return iss.where(F.col("severity") == severity)
 
@@ -1148,15 +1166,14 @@ def _q_report_kpis(spark, sf):
 
 @register("report_marts")
 def _q_report_marts(spark, sf):
-    """Write every report section (partitioned by period) to the shared
-    staging folder, read them back and list (mart, rows)."""
+    """Write every report section to the shared staging folder, read them
+    back and list (mart, rows, digest of the contents)."""
     from ..session import staging_path
     hc, lv = hc_lv(spark, sf)
     paths = KP.write_report_marts(KP.report_marts(hc, lv, cal(lv)), staging_path(spark, "marts"))
     out = None
     for name, path in paths.items():
-        d = spark.read.parquet(path).groupBy().count().select(F.lit(name).alias("mart"),
-                                                              F.col("count").alias("rows"))
+        d = KP.mart_digest(spark.read.parquet(path)).select(F.lit(name).alias("mart"), "rows", "digest")
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -1458,9 +1475,33 @@ _MART_SOURCES = [("kpis", "report_kpis"), ("net_change", "headcount_net_change_r
                  ("positions", "position_top10"), ("reasons", "reason_share"),
                  ("voluntary", "voluntary_split"), ("tenure", "bracket_counts"),
                  ("monthly_trend", "monthly_turnover_trend")]
-ORACLE["report_marts"] = " UNION ALL ".join(
-    f"SELECT '{mart}' AS mart, CAST(count(*) AS BIGINT) AS rows FROM ({ORACLE[src]}) s{i}"
-    for i, (mart, src) in enumerate(_MART_SOURCES))
+# columns of each section in order of name: t text, b boolean, else a number
+_MART_COLUMNS = {
+    "kpis": "change_text:t period_key:t projects_analyzed total_departures total_headcount turnover_change turnover_rate",
+    "net_change": "current_headcount direction:t net_change pct_change period_key:t previous_headcount project_name:t",
+    "project_rates": "current_rate difference period_key:t previous_rate project_name:t trend:t",
+    "departments": "departures department:t is_top:b period_key:t risk_level:t share_pct",
+    "positions": "departures period_key:t position:t rank",
+    "reasons": "category:t departures period_key:t share_pct",
+    "voluntary": "departures period_key:t separation_type:t share_pct",
+    "tenure": "departures implication:t ordinal period_key:t service_bracket:t share_pct",
+    "monthly_trend": "adjusted_headcount alert:b departures month:t turnover_rate",
+}
+
+
+def _mart_digest_sql(mart, sql):
+    def text(c):
+        name, _, kind = c.partition(":")
+        name = '"key"' if mart == "net_change" and name == "period_key" else name
+        x = {"t": name, "b": f"{name}::INT::VARCHAR"}.get(kind, f"round({name} * 100)::BIGINT::VARCHAR")
+        return f"coalesce({x}, '-')"
+
+    row = " || '|' || ".join(text(c) for c in sorted(_MART_COLUMNS[mart].split(), key=lambda c: c.partition(":")[0]))
+    return (f"SELECT '{mart}' AS mart, CAST(count(*) AS BIGINT) AS rows, "
+            f"CAST(coalesce(sum(('0x' || substr(md5({row}), 1, 10))::BIGINT), 0) AS BIGINT) AS digest FROM ({sql}) s")
+
+
+ORACLE["report_marts"] = " UNION ALL ".join(_mart_digest_sql(mart, ORACLE[src]) for mart, src in _MART_SOURCES)
 
 
 def _v(c):
@@ -1479,8 +1520,14 @@ _BODY = " || chr(10) || ".join([
     f"'by department: ' || highest_dept || ' ' || {_v('highest_dept_count')}",
     f"'by reason: ' || most_common_reason || ' ' || {_v('most_common_reason_count')}",
     f"'**' || {_v('early_turnover_count')} || '** early departures'",
-    """'look at: ' || highest_dept || '; ' || most_common_reason
-        || CASE WHEN early_turnover_count > 0 THEN '; first six months of service' ELSE '' END"""])
+    "'recommended:'",
+    f"""'1) department ' || highest_dept || ': ask there first why people go, it lost '
+        || {_v('highest_dept_count')}""",
+    f"""'2) reason ' || most_common_reason || ': check what can be changed about it, '
+        || {_v('most_common_reason_count')} || ' named it'""",
+    f"""'3) ' || CASE WHEN early_turnover_count > 0 THEN 'first months: ' || {_v('early_turnover_count')}
+        || ' stayed under half a year; follow new colleagues through their first weeks'
+        ELSE 'first months: nobody left early; keep the introduction of new colleagues as it is' END"""])
 _EMPTY = _LINE1 + " || chr(10) || 'Nothing recorded.'"
 ORACLE["period_narrative"] = (
     "SELECT period_key, CASE WHEN total_departures = 0 AND current_turnover = 0.0 THEN "

@@ -127,14 +127,17 @@ def _num(c):
 
 def period_narrative(kpis: DataFrame) -> DataFrame:
     """A text per period made of its KPI row: the rate and how it moved,
-    where departures concentrate, and what to look at; a short note where
-    nothing was recorded."""
+    where departures concentrate, and three recommendations, the third by
+    whether there were early departures; a short note where nothing was
+    recorded."""
     c = F.col
     moved = (F.when(c("difference") > 0, F.concat(F.lit("up "), _num("difference")))
               .when(c("difference") < 0, F.concat(F.lit("down "), F.abs(c("difference")).cast("string")))
               .otherwise(F.lit("unchanged")))
-    look_at = F.concat_ws("; ", c("highest_dept"), c("most_common_reason"),
-                          F.when(c("early_turnover_count") > 0, "first six months of service"))
+    early = F.when(c("early_turnover_count") > 0, F.concat(
+        F.lit("first months: "), _num("early_turnover_count"),
+        F.lit(" stayed under half a year; follow new colleagues through their first weeks"))).otherwise(
+        F.lit("first months: nobody left early; keep the introduction of new colleagues as it is"))
     lines = [
         F.concat(F.lit("Executive Summary - "), c("current_label")),
         F.concat_ws(" | ", F.concat(F.lit("rate: "), _num("current_turnover"), F.lit("%")),
@@ -147,7 +150,12 @@ def period_narrative(kpis: DataFrame) -> DataFrame:
         F.concat(F.lit("by department: "), c("highest_dept"), F.lit(" "), _num("highest_dept_count")),
         F.concat(F.lit("by reason: "), c("most_common_reason"), F.lit(" "), _num("most_common_reason_count")),
         F.concat(F.lit("**"), _num("early_turnover_count"), F.lit("** early departures")),
-        F.concat(F.lit("look at: "), look_at),
+        F.lit("recommended:"),
+        F.concat(F.lit("1) department "), c("highest_dept"), F.lit(": ask there first why people go, it lost "),
+                 _num("highest_dept_count")),
+        F.concat(F.lit("2) reason "), c("most_common_reason"), F.lit(": check what can be changed about it, "),
+                 _num("most_common_reason_count"), F.lit(" named it")),
+        F.concat(F.lit("3) "), early),
     ]
     empty = F.concat(lines[0], F.lit("\nNothing recorded."))
     none = (c("total_departures") == 0) & (c("current_turnover") == 0.0)
@@ -173,16 +181,30 @@ def report_marts(headcount: DataFrame, leavers: DataFrame, periods: DataFrame) -
 
 
 def write_report_marts(marts: dict, root: str) -> dict:
-    """Persist each section as Parquet, partitioned by period_key where it has one."""
+    """Persist each section as one Parquet table in order of its period (or
+    month): sections are aggregates of a few thousand rows, so a folder per
+    period would be mostly file listing; a reader of one period skips by the
+    statistics of row groups and, in larger tables, by ranges of files."""
     paths = {}
     for name, df in marts.items():
         path = f"{root.rstrip('/')}/{name}"
-        if "period_key" in df.columns:
-            # sections are per-period aggregates (bounded per period by the
-            # distinct dimension values): one file per period folder
-            w = df.repartition("period_key").write.mode("overwrite").partitionBy("period_key")
-        else:
-            w = df.write.mode("overwrite")
-        w.parquet(path)
+        key = "period_key" if "period_key" in df.columns else df.columns[0]
+        df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
         paths[name] = path
     return paths
+
+
+def mart_digest(mart: DataFrame) -> DataFrame:
+    """(rows, digest) of a section: the sum of a hash of each row, its numbers
+    in hundredths (they have two decimals at most), columns in order of name."""
+    def text(name, kind):
+        if kind == "boolean":
+            return F.col(name).cast("int").cast("string")
+        if kind == "string":
+            return F.col(name)
+        return F.round(F.col(name) * 100).cast("long").cast("string")
+
+    row = F.concat_ws("|", *(F.coalesce(text(n, k), F.lit("-")) for n, k in sorted(mart.dtypes)))
+    return mart.agg(F.count(F.lit(1)).alias("rows"),
+                    F.coalesce(F.sum(F.conv(F.substring(F.md5(row), 1, 10), 16, 10).cast("long")),
+                               F.lit(0)).alias("digest"))

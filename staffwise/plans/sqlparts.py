@@ -166,7 +166,9 @@ def q(body: str, *names: str, local=()) -> str:
     ctes = [(n, PARTS[n][1]) for n in order] + list(local)
     if not ctes:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s}\n)" for n, s in ctes) + "\n" + body
+    # only where a part reads itself: elsewhere a part may read a table of its own name
+    kind = "WITH RECURSIVE " if any(n.endswith(("qpart", "kpart", "reach")) for n, _ in ctes) else "WITH "
+    return kind + ",\n".join(f"{n} AS ({s}\n)" for n, s in ctes) + "\n" + body
 
 
 def range_months(ranges: str, keys: list[str]) -> str:

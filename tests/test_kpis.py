@@ -3,6 +3,8 @@
 import pytest
 
 from conftest import HC_SCHEMA, leavers_df
+from pyspark.sql import functions as F
+
 from staffwise.operators import classify as H
 from staffwise.operators import periods as P
 from staffwise.plans import kpis as KP
@@ -37,8 +39,11 @@ def test_period_kpis(spark, f9):
     text = {r["period_key"]: r["narrative"] for r in KP.period_narrative(KP.period_kpis(hc, lv, per)).collect()}
     t = text["2026-06"]
     for phrase in ["Executive Summary - 2026-06", "Site M", "F&B", "Supervisor / Management Issue",
-                   "**2** early departures"]:
+                   "**2** early departures", "1) department F&B: ", "it lost 2", "2) reason Supervisor",
+                   "3) first months: 2 stayed under half a year"]:
         assert phrase in t
+    calm = KP.period_narrative(KP.period_kpis(hc, lv, per).withColumn("early_turnover_count", F.lit(0)))
+    assert "3) first months: nobody left early" in calm.where("period_key = '2026-06'").first()["narrative"]
 
 
 def test_empty_period_narrative(spark, f9):

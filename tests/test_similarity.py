@@ -54,7 +54,7 @@ def test_ratio_equals_the_standard_library(spark):
     got = {r["i"]: r["r"] for r in df.select("i", S.ratcliff_ratio("a", "b").alias("r")).collect()}
     assert [(p, got[i]) for i, p in enumerate(pairs) if got[i] != ratio(*p)] == []
     null = spark.sql("select cast(null as string) as a, 'x' as b")
-    assert null.select(S.ratcliff_ratio("a", "b"), S.ratcliff_ratio("b", "a")).first()[:] == (None, None)
+    assert null.select(S.ratcliff_ratio("a", "b").alias("r"), S.ratcliff_ratio("b", "a").alias("s")).first()[:] == (None, None)
 
 
 def job_titles():
