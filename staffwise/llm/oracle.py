@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_texts import NOTICES, SPELLINGS, TEXTS
-from .secrets import ACCESS, ASSIGN, EXAMPLE_OWNERS, GENERIC, HEX
+from .secrets import ACCESS, ASSIGN, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, GENERIC, HEX
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -62,8 +62,10 @@ spans AS (
      OR (kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]')
          AND regexp_matches(v, '[A-Z]'))),
 judged AS (
-  SELECT s.*, n, CASE WHEN n >= {EXAMPLE_OWNERS} THEN 'example' WHEN n = 1 THEN 'live' ELSE 'shared' END AS verdict
-  FROM spans s JOIN (SELECT v, count(DISTINCT owner) AS n FROM spans GROUP BY v) o USING (v)),
+  SELECT s.*, n, m, CASE WHEN n >= {EXAMPLE_OWNERS} OR m >= {EXAMPLE_REPOSITORIES} THEN 'example'
+                         WHEN n = 1 AND m = 1 THEN 'live' ELSE 'shared' END AS verdict
+  FROM spans s JOIN (SELECT v, count(DISTINCT owner) AS n, count(DISTINCT coalesce(repo, '')) AS m
+                     FROM spans GROUP BY v) o USING (v)),
 kept AS (
   SELECT * FROM judged j WHERE kind < 3 OR (verdict = 'live' AND NOT EXISTS (
     SELECT 1 FROM judged b WHERE b.rid = j.rid AND b.kind < 3 AND b.start < j.stop AND b.stop > j.start))),
@@ -71,6 +73,7 @@ named AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || sta
 SELECT d.doc_id, count(kind) FILTER (kind = 0) AS n_assign, count(kind) FILTER (kind = 1) AS n_access,
        count(kind) FILTER (kind = 2) AS n_hex, count(kind) FILTER (kind = 3) AS n_owned,
        count(kind) FILTER (verdict = 'live') AS n_live, count(kind) FILTER (verdict = 'example') AS n_example,
+       coalesce(max(n), 0)::BIGINT AS most_owners, coalesce(max(m), 0)::BIGINT AS most_repositories,
        sha256(coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
        coalesce(string_agg(s, ',' ORDER BY start, kind), '') AS spans
 FROM d LEFT JOIN named USING (rid) GROUP BY d.rid, d.doc_id

@@ -4,10 +4,12 @@ Candidates are found by pattern. Matches and the gaps between them come from
 one pattern each (extract and split), so their places are running sums of
 lengths in code points. The hash of every candidate value is then counted
 over the whole corpus by distinct owner and distinct repository: a value seen
-at ``example_owners`` owners or more is a widely copied example, one seen at a
-single owner is owner-specific and live-looking. Spans of generic tokens (20
-or more characters with digits and letters of both cases) that no base pattern
-covers are added when their value belongs to one owner only.
+at ``example_owners`` owners or more, or in ``example_repositories``
+repositories or more, is a widely copied example; one seen at a single owner
+and in a single repository is owner-specific and live-looking; others are
+shared. Spans of generic tokens (20 or more characters with digits and letters
+of both cases) that no base pattern covers are added when their value is
+live-looking.
 
 Shuffles hold candidates only, never texts. A value that many rows carry is
 one group of an aggregate with map-side combination, and one key of a join
@@ -16,7 +18,7 @@ that adaptive execution splits.
 Defined results: a null text counts as empty; null owners and repositories
 count as one owner and repository each; repeated rows are scanned once each
 and get a result each; an empty table gives an empty result; other columns are
-ignored.
+ignored, and ``redact`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ KINDS = ["assign", "access", "hex", "owned"]
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 4
 
 
 def found_by(kind: int, pattern: str) -> Column:
@@ -81,27 +84,28 @@ def placed(found: DataFrame) -> DataFrame:
                                       F.md5("value").alias("hash"))
 
 
-def ownership(spans: DataFrame, example_owners: int) -> DataFrame:
+def ownership(spans: DataFrame, example_owners: int, example_repositories: int) -> DataFrame:
     """Per value hash: distinct owners and repositories, and the verdict."""
     counted = spans.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"),
                                         F.countDistinct("repository").alias("n_repositories"))
     return counted.withColumn(
-        "verdict", F.when(F.col("n_owners") >= example_owners, "example")
-        .when(F.col("n_owners") == 1, "live").otherwise("shared"))
+        "verdict", F.when((F.col("n_owners") >= example_owners)
+                          | (F.col("n_repositories") >= example_repositories), "example")
+        .when((F.col("n_owners") == 1) & (F.col("n_repositories") == 1), "live").otherwise("shared"))
 
 
-def scan(docs: DataFrame, owner: Column, repository: Column,
-         example_owners: int = EXAMPLE_OWNERS) -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, owner: Column, repository: Column, example_owners: int = EXAMPLE_OWNERS,
+         example_repositories: int = EXAMPLE_REPOSITORIES) -> tuple[DataFrame, DataFrame]:
     """(documents, spans). Documents: _row, doc_id. Spans: _row, kind (a
     number into KINDS), start, end, value, n_owners, n_repositories, verdict;
     both from one staged scan of the texts, so row numbers agree."""
     found = staged(candidates(docs, owner, repository), "secrets")
-    return found.select("_row", "doc_id"), spans_of(found, example_owners)
+    return found.select("_row", "doc_id"), spans_of(found, example_owners, example_repositories)
 
 
-def spans_of(found: DataFrame, example_owners: int) -> DataFrame:
+def spans_of(found: DataFrame, example_owners: int, example_repositories: int) -> DataFrame:
     spans = placed(found)
-    judged = spans.join(ownership(spans, example_owners), "hash").drop("hash", "owner", "repository")
+    judged = spans.join(ownership(spans, example_owners, example_repositories), "hash").drop("hash", "owner", "repository")
     by_start = Window.partitionBy("_row").orderBy("start", "kind")
     base = F.col("kind") < 3
     touched = (F.coalesce(F.max(F.when(base, F.col("end"))).over(
@@ -120,8 +124,9 @@ def listed(items: Column) -> Column:
 
 
 def summary(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """Per document: counts by kind, base spans' digest, all spans, and how
-    many values are live-looking or widely copied."""
+    """Per document: counts by kind, base spans' digest, all spans, how many
+    values are live-looking or widely copied, and the most owners and
+    repositories that one of its values has."""
     item = F.struct("start", "kind", "end")
     n = lambda c: F.count(F.when(c, 1))
     kind = F.col("kind")
@@ -129,23 +134,25 @@ def summary(documents: DataFrame, spans: DataFrame) -> DataFrame:
         n(kind == 0).alias("n_assign"), n(kind == 1).alias("n_access"), n(kind == 2).alias("n_hex"),
         n(kind == 3).alias("n_owned"), n(F.col("verdict") == "live").alias("n_live"),
         n(F.col("verdict") == "example").alias("n_example"),
+        F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"),
         F.collect_list(F.when(kind < 3, item)).alias("_base"), F.collect_list(item).alias("_all"))
     none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
-    counts = ["n_assign", "n_access", "n_hex", "n_owned", "n_live", "n_example"]
+    counts = ["n_assign", "n_access", "n_hex", "n_owned", "n_live", "n_example",
+              "most_owners", "most_repositories"]
     return documents.join(per_row, "_row", "left").select(
         "doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
         F.sha2(listed(F.coalesce("_base", none)).cast("binary"), 256).alias("base_sha256"),
         listed(F.coalesce("_all", none)).alias("spans"))
 
 
-def redact(docs: DataFrame, owner: Column, repository: Column,
-           example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, owner: Column, repository: Column, example_owners: int = EXAMPLE_OWNERS,
+           example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """``docs`` with every span replaced by ``[secret]`` or, for a widely
     copied example, ``[example]``; overlapping spans become one mark. Columns
     and rows are those of ``docs``; n_chars, if there, follows the new text."""
     # what is found depends on the text alone, so spans are joined by its key
     found = staged(candidates(docs, owner, repository), "redact")
-    spans = spans_of(found, example_owners).dropDuplicates(["key", "kind", "start", "end"])
+    spans = spans_of(found, example_owners, example_repositories).dropDuplicates(["key", "kind", "start", "end"])
     order = Window.partitionBy("key").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     merged = (spans.withColumn("_new", F.coalesce((before <= F.col("start")).cast("int"), F.lit(1)))
@@ -156,7 +163,7 @@ def redact(docs: DataFrame, owner: Column, repository: Column,
               .withColumn("past", F.coalesce(F.lag("end").over(Window.partitionBy("key").orderBy("start")),
                                              F.lit(0))))
     marks = merged.groupBy("key").agg(F.array_sort(F.collect_list(
-        F.struct("start", "end", "past", "example"))).alias("_marks"))
+        F.struct("start", "end", "past", "example"))).alias("marks"))
 
     def cut(chars: Column) -> Column:
         """What stands before each mark, the mark, and what follows the last;
@@ -164,14 +171,24 @@ def redact(docs: DataFrame, owner: Column, repository: Column,
         def part(begin, end):
             return F.array_join(F.slice(chars, (begin + 1).cast("int"), (end - begin).cast("int")), "")
         return F.concat(
-            F.array_join(F.transform("_marks", lambda m: F.concat(
+            F.array_join(F.transform("marks", lambda m: F.concat(
                 part(m["past"], m["start"]), F.when(m["example"], "[example]").otherwise("[secret]"))), ""),
-            part(F.element_at("_marks", -1)["end"], F.size(chars).cast("long")))
-
-    rebuilt = F.transform(F.array(F.split("text", "", -1)), cut)[0]
-    out = (docs.withColumn("_key", text_key()).join(marks.withColumnRenamed("key", "_key"), "_key", "left")
-           .withColumn("text", F.when(F.col("_marks").isNull(), F.col("text")).otherwise(rebuilt)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_marks").isNull(), F.col("n_chars"))
-                             .otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+            part(F.element_at("marks", -1)["end"], F.size(chars).cast("long")))
+
+    # the documents' columns stay in a struct, apart from the names used here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key().alias("key"))
+    text = F.col("row")["text"]
+    rebuilt = F.transform(F.array(F.split(text, "", -1)), cut)[0]
+    marked = (rows.join(marks, "key", "left")
+              .select("row", F.when(F.col("marks").isNull(), text).otherwise(rebuilt).alias("text"),
+                      F.col("marks").isNotNull().alias("changed")))
+
+    def column(c):
+        if c == "text":
+            return F.col("text")
+        if c == "n_chars":
+            return F.when(F.col("changed"), F.char_length("text").cast(docs.schema[c].dataType)) \
+                .otherwise(F.col("row")[c]).alias(c)
+        return F.col("row")[c].alias(c)
+
+    return marked.select(*map(column, docs.columns))
