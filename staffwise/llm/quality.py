@@ -13,7 +13,7 @@ the counts of vote patterns.
 
 Defined results: a null text has no words; rows with no vote have the prior as
 posterior; an empty table gives an empty result; repeated rows count as often
-as they occur; other columns stay as they are.
+as they occur; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from .common import WORD, staged
 
 RULES = ["symbols", "letters", "letterless_words", "word_length", "repeated_words", "vocabulary", "repeated_lines", "capitals",
          "length"]
-#: Bounds of the accuracies: a rule is right on most good documents, so that
-#: a poor vote always counts against a document and a good one for it.
-GOOD_ACCURACY = (0.97, 0.999)
+#: Bounds of the accuracies. On good documents a rule is no worse than chance:
+#: rules that only speak against documents have no right vote there to count.
+GOOD_ACCURACY = (0.5, 0.999)
 POOR_ACCURACY = (0.05, 0.999)
 PRIOR = (0.5, 0.99)
 
@@ -56,10 +56,12 @@ def _covered(windows: Column) -> Column:
         .otherwise(walked["n"])
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words and, for the rules, _lines, _capitals, _letters,
-    _letterless, _distinct."""
+def measures(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Per document: row (a struct of the columns ``keep``, by default all),
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and, for the
+    rules, _lines, _capitals, _letters, _letterless, _distinct. Columns of
+    ``docs`` are in the struct only, so their names are free."""
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"), "text")
     # each step's arrays are columns of their own, so that later expressions
     # read them instead of computing them again
     split = docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn(
@@ -71,7 +73,7 @@ def measures(docs: DataFrame) -> DataFrame:
         lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
         .otherwise(F.array().cast("array<bigint>")))
     return hashed.select(
-        *docs.columns, n.cast("long").alias("n_words"),
+        "row", n.cast("long").alias("n_words"),
         F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -169,20 +171,27 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of docs (default: doc_id) plus the measures,
-    base_failed, quality (posterior) and kept. Measures are staged once; both
-    the counts of votes and the verdicts read them from there."""
-    voted = measures(docs).select(
-        *(keep or ["doc_id"]), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        *[v.alias(f"_v_{k}") for k, v in votes().items()])
-    voted = staged(voted, "quality")
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """row (a struct of the columns ``keep``), the measures, base_failed,
+    quality (posterior) and kept. Measures are staged once; both the counts of
+    votes and the verdicts read them from there."""
+    voted = staged(measures(docs, keep).select("row", *MEASURES, *[v.alias(f"_v_{k}") for k, v in votes().items()]),
+                   "quality")
     model = estimate(count_patterns(voted))
     return (voted.withColumn("base_failed", base_failed()).withColumn("quality", probability(model))
             .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
             .drop(*[f"_v_{r}" for r in RULES]))
 
 
+def judge(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, the measures, base_failed, quality and kept."""
+    return judged(docs, ["doc_id"]).select("row.doc_id", *MEASURES, "base_failed", "quality", "kept")
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that pass the base rules and are probably good."""
-    return judge(docs, docs.columns).filter("kept").select(*docs.columns)
+    """Rows of ``docs`` that pass the base rules and are probably good; all
+    columns as they are, whatever their names."""
+    return judged(docs, docs.columns).filter("kept").select("row.*")
