@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import row_number_within
 from .arrow import mapped
-from .common import ship, staged
+from .common import ship, staged, unstage
 
 # fixed values of the template: opening and closing marker by role
 MARKERS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -111,13 +111,16 @@ def turn_rows(events: DataFrame) -> DataFrame:
             out, start, end = rendered(role, text)
             yield conv, message, first, out, (start if role == "assistant" else -1), end
 
-    blocks = mapped(ordered, turns, "conv_id long, message long, first long, block string, start int, end int")
+    # written before it is dealt by ranges, whose bounds are found in a run of their own
+    blocks = staged(mapped(ordered, turns, "conv_id long, message long, first long, block string, start int, end int"),
+                    "blocks")
     # turns in order of their first event, a line feed between them; offsets
     # are sums over ranges of turns and sums inside a range, so that a large
     # conversation spreads over tasks
     order = ["first", "message"]
     dealt = staged(blocks.repartitionByRange("conv_id", *order).withColumn("_range", F.spark_partition_id())
                    .withColumn("_n", (F.char_length("block") + 1).cast("long")), "turns")
+    unstage(blocks)
     ranges = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("conv_id", "_range").agg(F.sum("_n").alias("_sum")).select(
         F.col("conv_id").alias("_conv"), F.col("_range").alias("_of"),
