@@ -63,7 +63,23 @@ def staging_path(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local
     on a cluster, because the checkpoint folder is the shared one)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return "/".join([base, "staffwise-staging", *parts, uuid.uuid4().hex])
+    path = "/".join([base, "staffwise-staging", *parts, uuid.uuid4().hex])
+    _STAGED.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+_STAGED: dict[str, set[str]] = {}  # staging folders given out, by application
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete every table that this application has staged and not deleted
+    itself; returns how many folders were there. For the end of a job: results
+    of queries that were not written or collected cannot be read afterwards."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for path in _STAGED.pop(spark.sparkContext.applicationId, ()):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(p.getFileSystem(conf).delete(p, True))
+    return n
 
 
 _SCOPES: list[list[str]] = []

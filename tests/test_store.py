@@ -123,3 +123,14 @@ def test_wide_matrix_mapping_and_category_split(spark):
     split = FI.separation_split_by_category(spark.createDataFrame(
         [("1", "Termination"), ("2", "Education"), ("3", None)], "employee_id string, ai_category string"))
     assert {r.employee_id: r.is_termination for r in split.collect()} == {"1": True, "2": False, "3": False}
+
+
+def test_staged_tables_are_released_on_demand(spark):
+    import os
+    from staffwise.session import ensure_checkpoint_dir, materialize, release_staged
+    root = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "staffwise-staging")
+    df = materialize(spark.range(5), "released")
+    folder = df._stored_path.removeprefix("file:")
+    assert os.path.isdir(folder) and folder.startswith(root) and df.count() == 5
+    assert release_staged(spark) >= 1 and not os.path.exists(folder)
+    assert release_staged(spark) == 0
