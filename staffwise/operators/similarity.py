@@ -123,11 +123,16 @@ def _partner_lengths(cutoff: float, mode: str) -> str:
     return f"sequence(greatest(int(ceil(n * {part}D - 1e-9D)), 1), int(floor(n / {part}D + 1e-9D)))"
 
 
+def _tokens(text: str) -> str:
+    """The characters of a text, each with the number of its occurrence."""
+    return _let(f"array_sort(split({text}, ''))", "s",
+                "transform(s, (c, i) -> concat(c, i - array_position(s, c) + 1))")
+
+
 def _bags(texts: DataFrame) -> DataFrame:
     """The rows of ``texts`` (kind, text, ...) that are not empty, with n, the
     length, and bag, the text's tokens, rarest of the kind first."""
-    tokens = _let("array_sort(split(text, ''))", "s", "transform(s, (c, i) -> concat(c, i - array_position(s, c) + 1))")
-    each = texts.filter("text <> ''").select("*", F.explode(F.expr(tokens)).alias("token"))
+    each = texts.filter("text <> ''").select("*", F.explode(F.expr(_tokens("text"))).alias("token"))
     often = each.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("often"))
     return (each.join(often, ["kind", "token"]).groupBy(*texts.columns)
             .agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("bag"))
@@ -169,8 +174,11 @@ def candidates(left: DataFrame, right: DataFrame, mode: str, cutoff: float, orde
 
 
 def near(pairs: DataFrame, mode: str, cutoff: float) -> DataFrame:
-    """Pairs whose edit distance does not rule the cutoff out: what lies between
-    the matched characters is at most la + lb - 2 m edits."""
+    """Pairs that cheaper bounds leave: what lies between the matched characters
+    is at most la + lb - 2 m edits, and m at most the tokens that both have."""
     la, lb = F.length("x"), F.length("y")
-    most = (1 - cutoff) * ((la + lb) if mode == "ratcliff" else F.greatest(la, lb)) + 1e-9
-    return pairs.filter(F.levenshtein("x", "y") <= most)
+    if mode != "ratcliff":
+        return pairs.filter(F.levenshtein("x", "y") <= (1 - cutoff) * F.greatest(la, lb) + 1e-9)
+    common = F.size(F.expr(f"array_intersect({_tokens('x')}, {_tokens('y')})"))
+    return (pairs.filter(F.levenshtein("x", "y") <= (1 - cutoff) * (la + lb) + 1e-9)
+            .filter(2 * common >= cutoff * (la + lb) - 1e-9))
