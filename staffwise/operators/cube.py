@@ -9,7 +9,7 @@ fact; queries that use several of them store it first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -19,6 +19,14 @@ ALL, BRACKET, TERMINATED = "(all)", "(bracket)", "(terminated)"
 DIMENSIONS = ["project_name", "department", "position", "original_reason", "ai_category", "record_month"]
 
 
+def exact_sum(c) -> Column:
+    """Sum of months as a decimal: a sum of doubles would depend on the order
+    in which tasks add, and a mean that lies on a rounding tie with it. Values
+    of 10^24 and more are left out."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(c.try_cast("decimal(30, 6)"))
+
+
 def monthly_cube(leavers: DataFrame) -> DataFrame:
     s = F.col("length_of_service_months")
     values = {d: F.col(d).cast("string") for d in DIMENSIONS}
@@ -28,7 +36,7 @@ def monthly_cube(leavers: DataFrame) -> DataFrame:
                                for k, v in values.items()]))
     return (leavers.select("record_month", s.alias("_s"), each.alias("_d"))
             .groupBy("record_month", F.col("_d.dimension").alias("dimension"), F.col("_d.value").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("_s").alias("service_sum"),
+            .agg(F.count(F.lit(1)).alias("n"), exact_sum("_s").alias("service_sum"),
                  F.count("_s").alias("service_n"),
                  F.sum(F.when(F.col("_s") < K.EARLY_SERVICE_MONTHS, 1).otherwise(0)).alias("early_n"))
             .withColumn("mi", month_index("record_month")))

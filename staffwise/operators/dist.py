@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.columns import (month_index, r1, r2, service_bracket, service_bracket_ordinal)
-from .cube import ALL, BRACKET, DIMENSIONS, TERMINATED, is_cube, of, stored_cube
+from .cube import ALL, BRACKET, DIMENSIONS, TERMINATED, exact_sum, is_cube, of, stored_cube
 from .periods import range_months
 
 
@@ -55,7 +55,7 @@ def period_totals(lv: DataFrame, periods: DataFrame) -> DataFrame:
     else:
         s = F.col("length_of_service_months")
         monthly = (_with_mi(lv).groupBy("mi").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(s).alias("ss"), F.count(s).alias("sn"),
+            F.count(F.lit(1)).alias("n"), exact_sum(s).alias("ss"), F.count(s).alias("sn"),
             F.sum(F.when(s < K.EARLY_SERVICE_MONTHS, 1).otherwise(0)).alias("early")))
     agg = (monthly.join(_pm(periods), "mi").groupBy("period_key")
                   .agg(F.sum("n").alias("total_leavers"), F.sum("ss").alias("service_sum"),
@@ -63,7 +63,7 @@ def period_totals(lv: DataFrame, periods: DataFrame) -> DataFrame:
     out = periods.select("period_key").join(agg, "period_key", "left")
     return out.select("period_key",
                       F.coalesce("total_leavers", F.lit(0)).cast("long").alias("total_leavers"),
-                      "service_sum", "service_n",
+                      F.col("service_sum").cast("double").alias("service_sum"), "service_n",
                       F.coalesce("early_n", F.lit(0)).cast("long").alias("early_n"))
 
 

@@ -215,7 +215,7 @@ PARTS["ptot"] = (["periods", "lv", "pm"], """
   SELECT p.period_key, CAST(coalesce(a.n, 0) AS BIGINT) AS total_leavers, a.ss AS service_sum,
          a.sn AS service_n, CAST(coalesce(a.early, 0) AS BIGINT) AS early_n
   FROM periods p LEFT JOIN (
-    SELECT period_key, count(*) AS n, sum(length_of_service_months) AS ss,
+    SELECT period_key, count(*) AS n, sum(length_of_service_months::DECIMAL(30, 6))::DOUBLE AS ss,
            count(length_of_service_months) AS sn,
            sum(CASE WHEN length_of_service_months < 6.0 THEN 1 ELSE 0 END) AS early
     FROM lv JOIN pm USING (mi) GROUP BY period_key) a USING (period_key)""")
