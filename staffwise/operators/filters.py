@@ -26,12 +26,20 @@ def project_dimension(*facts: DataFrame) -> DataFrame:
     return u.where(F.col("name") != "").distinct().orderBy("name")
 
 
+def _names(projects: DataFrame) -> DataFrame:
+    """The dimension's names, stored: it has no proven size bound, so its measured
+    size decides on broadcast before the fact's rows move. Adaptive execution
+    decides after that, and not for a table that fills few partitions: the rows
+    of a project then meet in one task."""
+    from ..session import materialize
+    return materialize(projects.select(F.col("name").alias("project_name")), "projects")
+
+
 def headcount_with_project(headcount: DataFrame, projects: DataFrame,
                            project=None, start=None, end=None) -> DataFrame:
     """Fact joined to the (small) project dimension, ordered by month, name."""
     h = filter_project_month(headcount, project, start, end)
-    # the dimension has no proven size bound: AQE picks broadcast at run time
-    j = h.join(projects.select(F.col("name").alias("project_name")), "project_name")
+    j = h.join(_names(projects), "project_name")
     return j.select("project_name", "record_month", "headcount").orderBy("record_month", "project_name")
 
 
@@ -39,7 +47,7 @@ def leavers_with_project(leavers: DataFrame, projects: DataFrame,
                          project=None, start=None, end=None) -> DataFrame:
     """Same for leavers, ordered by month, leaving date."""
     l = filter_project_month(leavers, project, start, end)
-    j = l.join(projects.select(F.col("name").alias("project_name")), "project_name")
+    j = l.join(_names(projects), "project_name")
     return j.orderBy("record_month", "date_of_leaving")
 
 
