@@ -148,3 +148,32 @@ def test_leaver_views_are_those_of_plain_windows(spark, tmpdir_path):
     ids = V.raw_leavers(spark, tmpdir_path, clean_even=True, base=base).where(
         "file_name RLIKE '_0[1357]'").groupBy("file_name", "Employee ID").count()
     assert ids.where("count > 1").count() == 0
+
+
+def test_usual_dates_are_read_without_a_parser(spark):
+    texts = ["1996-02-03", "1996/02/03", "03/02/1996", "02/13/1996", "13/02/1996", "03-02-1996", "02-13-1996",
+             "1996-02-30", "1996-02-3T", "1996-02/03", "0000-01-01", "01/02/0000", "00/02/1996", "1996-02-03\x85",
+             "\x851996-02-03", "1996-02-03\n", "1996-02-03 1", "3/2/1996", "+1996-2-3", "31/04/1996", "04/31/1996",
+             "12/12/1996 ", "١٩٩٦-٠٢-٠٣", "29/02/1900", "02/29/1996"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*[F.try_to_date(strip_ws("t"), f) for f, _ in K.DATE_FORMATS])
+    assert df.where(~parse_date("t").eqNullSafe(plain)).collect() == []
+    assert "CASE WHEN" in plan(df.select(parse_date("t"))).split("gettimestamp")[0]  # the parser is the last case
+
+
+def test_issues_are_not_stored_to_find_clean_rows(spark, registry, monkeypatch):
+    stored, write = [], VA._materialize
+    monkeypatch.setattr(VA, "_materialize", lambda df: stored.append(df) or write(df))
+    raw = leaver_rows(spark)
+    res = VA.validate_leavers(raw, registry)
+    assert stored and not [df for df in stored if "issues" in df.columns]
+    clean = next(df for df in stored if "employee_id" in df.columns)
+    assert "cannot be empty" not in plan(clean)  # no issue is built for them
+    assert res["clean"].count() == VA.clean_leaver_rows(VA.leaver_checks(raw)).count() > 0
+
+
+def test_candidates_are_those_of_all_issues(spark, registry):
+    res = VA.validate_leavers(leaver_rows(spark), registry)
+    every = VA.unrecognized_candidates(res["issues"])
+    some = VA.unrecognized_candidates(res["registry_issues"])
+    assert sorted(every.collect()) == sorted(some.collect()) and some.count() > 0
