@@ -1,11 +1,13 @@
 """Plans that hold at size: what is moved, what is computed once a row."""
 
 import datetime as dt
+import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from staffwise.functions import constants as K
+from staffwise.functions import frames
 from staffwise.functions.columns import parse_date, strip_ws
 from staffwise.functions.frames import computed
 from staffwise.operators import filters as FI
@@ -177,3 +179,24 @@ def test_candidates_are_those_of_all_issues(spark, registry):
     every = VA.unrecognized_candidates(res["issues"])
     some = VA.unrecognized_candidates(res["registry_issues"])
     assert sorted(every.collect()) == sorted(some.collect()) and some.count() > 0
+
+
+def test_ranges_are_found_without_computing_the_rows(spark):
+    rows = [(None if i % 17 == 0 else 20 + i % 3 if i % 2 else 20, i * 7919 % 5000, i) for i in range(60000)]
+    df = spark.createDataFrame(rows, "g int, k long, x long")
+    seen = spark.sparkContext.accumulator(0)
+    once = F.udf(lambda v: seen.add(1) or v, "long")
+    dealt = frames.dealt_like(df.withColumn("x", once("x")), df, "g", ["k", "x"])
+    dealt.write.parquet(path := tempfile.mkdtemp() + "/dealt")
+    assert seen.value == len(rows)
+    stored = spark.read.parquet(path)
+    assert stored.select("_pid").distinct().count() > 1
+    w = Window.partitionBy("g").orderBy("k", "x")
+    for few in (True, False):
+        got = frames.placed(stored, "g", few=few).select("g", "k", "x", "row_num")
+        want = df.withColumn("row_num", F.row_number().over(w))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    none = frames.dealt_like(df.where("k < 0"), df.where("k < 0"), "g", ["k", "x"])
+    assert none.count() == 0
+    other = frames.dealt_like(df, df.where("g IS NULL"), "g", ["k", "x"])  # groups that were not drawn
+    assert other.count() == len(rows)
