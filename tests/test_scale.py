@@ -181,6 +181,14 @@ def test_candidates_are_those_of_all_issues(spark, registry):
     assert sorted(every.collect()) == sorted(some.collect()) and some.count() > 0
 
 
+def test_issues_of_checked_rows_are_their_issues(spark):
+    checked = VA.leaver_checks(leaver_rows(spark))
+    want, got = VA._explode_issues(checked), VA.leaver_issues(checked)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == VA.ISSUE_COLUMNS
+    counted = got.groupBy("file_name").agg(F.sum(F.when(F.col("severity") == "error", 1)))
+    assert "Recommended format" not in plan(counted)  # no message is built to be counted
+
+
 def test_ranges_are_found_without_computing_the_rows(spark):
     rows = [(None if i % 17 == 0 else 20 + i % 3 if i % 2 else 20, i * 7919 % 5000, i) for i in range(60000)]
     df = spark.createDataFrame(rows, "g int, k long, x long")
