@@ -208,3 +208,23 @@ def test_ranges_are_found_without_computing_the_rows(spark):
     assert none.count() == 0
     other = frames.dealt_like(df, df.where("g IS NULL"), "g", ["k", "x"])  # groups that were not drawn
     assert other.count() == len(rows)
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    import time
+    from staffwise.llm.common import staged
+    from staffwise.session import materialize
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = manager.getAllFiles()
+        return {n for n in (names.apply(i).getName() for i in range(names.size())) if n.startswith("shuffle_")}
+
+    before = shuffles()
+    for write in (materialize, staged):
+        stored = write(spark.range(5000).withColumn("k", F.col("id") % 7).groupBy("k").count(), "few")
+        for _ in range(100):  # files go in the background
+            if not shuffles() - before:
+                break
+            time.sleep(0.1)
+        assert not shuffles() - before and stored.count() == 7
